@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, langid, mil, quality
+from . import bpe, dac, langid, mil, neardup, quality
 from .common import documents, held_out, new_path
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_shards(spark.read.schema(dac.SHARDS).parquet(path))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(documents(spark, sf_dir))
+
+
 def op9_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = mil.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id"))))
@@ -41,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), labels.filter(~held_out(F.col("doc_id"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_language_spans, op5_token_shards, op9_quality_attention, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_language_spans, op5_token_shards, op7_near_duplicates, op9_quality_attention, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
