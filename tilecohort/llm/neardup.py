@@ -2,12 +2,13 @@
 
 Texts with equal shingle sets fall together first. Of the others, every band of
 the signature is a bucket; a document of a bucket is compared with the bucket's
-smallest one (first round), then with a member of another component of its
-bucket (second), and in a last round what is still apart within a bucket is
-compared throughout. Buckets that a round has joined up drop out, so a group of
-n copies costs about n comparisons, not n squared. A pair becomes a link only on
-its full shingle sets; the signature can only drop pairs that are far from the
-threshold.
+smallest one (first round), then with a member of another component of each of
+its buckets (second). Buckets that a round has joined up drop out, so a group of
+n copies costs about n comparisons, not n squared. In the last round the
+documents of buckets still apart are joined on the rarest quarter of their
+shingles, one of which any link must share: exact, and blind to what a group has
+in common. A pair becomes a link only on its full shingle sets; the signature can
+only drop pairs that are far from the threshold.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -30,6 +31,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Equal minima from which a pair is compared in full: 4.7 standard deviations under what a pair at the threshold has.
 AGREE = 73
+#: Sets that hold a common shingle, in the last round, are more than this.
+COMMON = 32
 _A = (multipliers(MINIMA, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (multipliers(MINIMA, 32) >> np.uint64(32)).astype(np.uint32)
 
@@ -132,11 +135,46 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFra
     return rows.mapInArrow(run, "doc long, x binary")
 
 
-def _best(alike: DataFrame) -> DataFrame:
-    """Of each a, the pair whose signatures agree most (ties: the smaller b)."""
-    top = alike.groupBy("a").agg(F.max(F.col("same").cast("long") * (1 << 32) + F.xxhash64("b") % (1 << 31)).alias("top"))
-    held = alike.withColumn("top", F.col("same").cast("long") * (1 << 32) + F.xxhash64("b") % (1 << 31))
-    return held.join(top, ["a", "top"]).select("a", "b")
+def _best(alike: DataFrame, n: int) -> DataFrame:
+    """Of each a, the n pairs whose signatures agree most."""
+    order = Window.partitionBy("a").orderBy(F.desc("same"), F.xxhash64("a", "b"))
+    return alike.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).select("a", "b")
+
+
+def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the rarest shingles of both.
+
+    Of two sets with similarity 0.75 or more, each holds at most a quarter outside the other, so the
+    first floor(n / 4) + 1 shingles of each in one common order, rarest first, meet. Take the first
+    shingle they meet in. What they share is at most what each shares with anyone, and if that shingle
+    is in over COMMON sets, at most what each has of such shingles, for the rarer ones came before; and
+    it must be 3/7 of their sizes' sum. So a common shingle joins only sets nearly all of common ones,
+    which are of one component already. The largest component of a shingle isn't paired with itself.
+    """
+    docs = rest.select("doc", "c").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.frombuffer(s.as_buffer(), np.int64) for s in column(batch, "x")]
+            n = np.array([len(s) for s in x], np.int64)
+            for i in range(0, len(x), 500):
+                m = n[i : i + 500]
+                take = pa.array(np.repeat(np.arange(i, i + len(m)), m))
+                yield pa.RecordBatch.from_arrays([column(batch, "doc").take(take), column(batch, "c").take(take), pa.array(np.repeat(m, m)), pa.array(np.concatenate(x[i : i + 500]))], names=["doc", "c", "n", "g"])
+
+    rows = sets.join(docs, "doc").select("doc", "c", "x").mapInArrow(run, "doc long, c long, n long, g long")
+    counted = rows.join(rows.groupBy("g").agg(F.count("*").alias("df")), "g")
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "g"))
+    own = Window.partitionBy("doc")
+    most = F.when(F.col("df") > COMMON, F.count_if(F.col("df") > COMMON).over(own)).otherwise(F.count_if(F.col("df") > 1).over(own))
+    kept = counted.withColumn("r", rank).withColumn("s", most).filter("df > 1 AND r <= floor(n / 4) + 1 AND 4 * s >= 3 * n")
+    rare = written(kept.select("g", "doc", "c", "n", "s"), "rare")
+    sizes = rare.groupBy("g", "c").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("g", F.col("m.c").alias("most"))
+    minor = rare.join(major, "g").filter("c <> most")
+    left = rare.select("g", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    right = minor.select("g", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    return left.join(right, "g").filter("ca <> cb AND 7 * least(sa, sb) >= 3 * (na + nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,22 +194,20 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     sets = written(_sets(docs, live.select("doc").distinct(), doc_id, text).dropDuplicates(["doc"]), "sets")
 
     first = live.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(_links(_best(written(_alike(first, nodes), "alike")), sets), "links")
+    links = written(_links(_best(_alike(first, nodes), 2), sets), "links")
     same = written(connected(links), "components")
 
     # second round: each document against a member of another component of its bucket
     members = written(_members(live, same), "members")
-    hashed = members.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("doc", F.lit(2)).alias("h"), "doc")).alias("m"))
+    hashed = members.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc")).alias("m"))
     ends = hashed.groupBy("key").agg(F.min(F.struct("c", "m.doc")).alias("low"), F.max(F.struct("c", "m.doc")).alias("high"))
     second = members.join(ends, "key").select(F.col("doc").alias("a"), F.when(F.col("c") == F.col("low.c"), F.col("high.doc")).otherwise(F.col("low.doc")).alias("b")).distinct()
-    more = written(_links(_best(written(_alike(second, nodes), "alike")), sets), "links")
+    more = written(_links(_best(_alike(second, nodes), 4), sets), "links")
     same = written(connected(_joined(same, more)), "components")
 
     # last round: what is still apart within a bucket
     rest = written(_members(members.select("key", "doc"), same), "members")
-    left, right = rest.select("key", F.col("doc").alias("a"), F.col("c").alias("ca")), rest.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"))
-    third = left.join(right, "key").filter("ca < cb").select("a", "b").distinct()
-    last = written(_links(_alike(third, nodes), sets), "links")
+    last = written(_links(_alike(_across(rest, sets), nodes), sets), "links")
     same = written(connected(_joined(same, last)), "components")
 
     named = nodes.select("k1", "k2", "doc").join(same.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "k2", F.coalesce("component", "doc").alias("component"))

@@ -6,17 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, langid, mil, neardup, quality
+from . import bpe, dac, langid, leaks, licenses, mil, neardup, quality, secrets, substrings
 from .common import documents, held_out, new_path
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.scan(docs.withColumn("path", licenses.document_path(F.col("source"), F.col("doc_id"))))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe.encode_decode(docs, VOCAB, bpe.make_lexicon(docs, VOCAB))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.learn(docs.filter(~held_out(F.col("doc_id"))))
@@ -30,10 +39,18 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_shards(spark.read.schema(dac.SHARDS).parquet(path))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir))
 
 
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(documents(spark, sf_dir), new_path(spark, "ledger"))
+
+
 def op9_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = mil.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id"))))
@@ -45,5 +62,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), labels.filter(~held_out(F.col("doc_id"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_language_spans, op5_token_shards, op7_near_duplicates, op9_quality_attention, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_license_inheritance, op2_bpe_round_trip, op3_benchmark_leaks, op4_language_spans, op5_token_shards, op6_repeated_passages, op7_near_duplicates, op8_secret_ledger, op9_quality_attention, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

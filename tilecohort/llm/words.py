@@ -88,11 +88,11 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def split(texts: pa.Array, *, lower: bool = False) -> Words:
-    """Words of every text; with lower, A-Z count as a-z."""
+def split(texts: pa.Array, *, lower: bool = False, table: np.ndarray | None = None) -> Words:
+    """Words of every text; with lower, A-Z count as a-z. A table of 256 ASCII-preserving bytes replaces bytes first."""
     data, offsets = raw(texts)
-    if lower:
-        data = LOWER[data]
+    if lower or table is not None:
+        data = (LOWER if table is None else table)[data]
     space = SPACE[data]
     word = ~space
     edge = np.empty(len(data), dtype=bool)
