@@ -41,7 +41,7 @@ TEMPLATES = [
 MARKER = r"(?i)licen[cs]e|copyright|public domain|permission|redistribution|spdx"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Cosines from which a header or a licence file counts.
-HEADER, FILE = 0.6, 0.4
+HEADER, FILE = 0.6, 0.3
 
 
 def term_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[str, float]], float, list[tuple[int, str, str, float]]]:

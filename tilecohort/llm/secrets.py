@@ -126,9 +126,12 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_
 
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     rows = addresses.join(by_blob(held, rules), "blob", "left").withColumn("found", F.coalesce("found", nothing))
-    count = {r.kind: F.size(F.filter("found", lambda x, i=i: x["kind"] == i)).cast("long") for i, r in enumerate(rules) if r.base}
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == number)).cast("long")
+
     own = F.filter("found", lambda x: x["kind"].isin(base))
-    return rows.select(doc_id, *[c.alias(f"n_{k}") for k, c in count.items()], F.sha2(spelled(own).cast("binary"), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"))
+    return rows.select(doc_id, *[count(i).alias(f"n_{rules[i].kind}") for i in base], F.sha2(spelled(own).cast("binary"), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
