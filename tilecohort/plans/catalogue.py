@@ -1,4 +1,616 @@
-"""Every query of the engine and its SQL, by name."""
+"""Every query of the engine and its SQL, by name.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Bindings: a document's label and length stand for truth and score, a customer for a
+patient, a finished order for a slide, an embedding for a tile (label under 5: good),
+and a user's events for a step log.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as text_functions
+from ..operators import assembly, metrics, ranking, scaling, steps, tiling, vectors
+from ..streaming import steps as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Statistics ---------------------------------------------------------------------------------
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    predicted = F.when(F.col("n_chars") < 100, metrics.CALL_MORE).when(F.col("n_chars") >= 1000, metrics.POSITIVE).otherwise(metrics.NEGATIVE)
+    return rows.select("doc_id", "source", F.when(F.col("quality") == 1, metrics.POSITIVE).otherwise(metrics.NEGATIVE).alias("truth"), predicted.alias("predicted"), F.when(F.col("doc_id") % 11 == 0, "error").otherwise("ok").alias("status"))
+
+
+_CONFUSION = """
+WITH p AS (SELECT d.source, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS truth,
+    CASE WHEN n_chars < 100 THEN 'call for more' WHEN n_chars >= 1000 THEN 'positive' ELSE 'negative' END AS predicted,
+    CASE WHEN d.doc_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT {by} count(*) AS total_all, count(*) FILTER (status <> 'error') AS in_statistics,
+    count(*) FILTER (status <> 'error' AND truth = 'positive') AS positives, count(*) FILTER (status <> 'error' AND truth = 'negative') AS negatives,
+    count(*) FILTER (status = 'ok') AS ok_runs, count(*) FILTER (status = 'error') AS error_runs,
+    count(*) FILTER (status <> 'error' AND predicted = 'call for more') AS call_more,
+    count(*) FILTER (status <> 'error' AND truth = 'positive' AND predicted = 'positive') AS tp,
+    count(*) FILTER (status <> 'error' AND truth = 'negative' AND predicted = 'negative') AS tn,
+    count(*) FILTER (status <> 'error' AND truth = 'negative' AND predicted = 'positive') AS fp,
+    count(*) FILTER (status <> 'error' AND truth = 'positive' AND predicted = 'negative') AS fn FROM p {group}),
+s AS (SELECT *, CASE WHEN in_statistics = 0 THEN '' ELSE printf('%.2f', 100.0::DOUBLE * (tp + tn) / in_statistics) END AS accuracy,
+    CASE WHEN tp + fn = 0 THEN '' ELSE printf('%.2f', 100.0::DOUBLE * tp / (tp + fn)) END AS sensitivity,
+    CASE WHEN tn + fp = 0 THEN '' ELSE printf('%.2f', 100.0::DOUBLE * tn / (tn + fp)) END AS specificity,
+    CASE WHEN tp + fp = 0 THEN '' ELSE printf('%.2f', 100.0::DOUBLE * tp / (tp + fp)) END AS precision,
+    CASE WHEN tn + fn = 0 THEN '' ELSE printf('%.2f', 100.0::DOUBLE * tn / (tn + fn)) END AS npv,
+    CASE WHEN 2 * tp + fp + fn = 0 THEN '' ELSE printf('%.2f', 100.0::DOUBLE * 2 * tp / (2 * tp + fp + fn)) END AS f1,
+    CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN '' ELSE printf('%.2f', (100.0::DOUBLE * tp / (tp + fn) + 100.0::DOUBLE * tn / (tn + fp)) / 2) END AS balanced_accuracy FROM c)
+"""
+_METRICS = ["total_all", "in_statistics", "positives", "negatives", "ok_runs", "error_runs", "call_more", "tp", "tn", "fp", "fn", "accuracy", "sensitivity", "specificity", "precision", "npv", "f1", "balanced_accuracy"]
+
+
+@query(_CONFUSION.format(by="", group="") + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS VARCHAR) AS value FROM s" for m in _METRICS))
+def confusion_summary(spark, sf_dir):
+    return metrics.metric_rows(metrics.confusion(_predictions(spark, sf_dir)))
+
+
+@query(_CONFUSION.format(by="source,", group="GROUP BY source") + "SELECT * FROM s")
+def confusion_by_source(spark, sf_dir):
+    return metrics.confusion(_predictions(spark, sf_dir), by=["source"])
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    labels = table(spark, sf_dir, "labels")
+    long = labels.select("doc_id", F.explode(F.array(F.struct(F.lit("quality").alias("target"), F.col("quality").alias("truth")), F.struct(F.lit("toxic").alias("target"), F.col("toxic").alias("truth")))).alias("t"))
+    return docs.join(long, "doc_id").select("doc_id", (F.col("doc_id") % 5).alias("fold"), "t.target", "t.truth", "score")
+
+
+_SCORED = """
+WITH x AS (SELECT d.doc_id, d.doc_id % 5 AS fold, t.target, t.truth, n_chars::DOUBLE AS score FROM documents d JOIN
+    (SELECT doc_id, 'quality' AS target, quality AS truth FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) t ON d.doc_id = t.doc_id),
+g AS (SELECT target, fold, score, sum(truth)::DOUBLE AS p, sum(1 - truth)::DOUBLE AS n FROM x GROUP BY ALL)
+"""
+_AUROC = """, a AS (SELECT target, fold, p, n, p * (coalesce(sum(n) OVER (PARTITION BY target, fold ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS won FROM g),
+r AS (SELECT target, fold, round(sum(won) / nullif(sum(p) * sum(n), 0), 6) AS auroc FROM a GROUP BY target, fold)
+"""
+
+
+@query(_SCORED + _AUROC + "SELECT * FROM r")
+def auroc_by_fold(spark, sf_dir):
+    return metrics.auroc(_scored(spark, sf_dir), ["target", "fold"])
+
+
+@query(_SCORED + """, a AS (SELECT target, fold, p, p * sum(p) OVER w / sum(p + n) OVER w AS x FROM g WINDOW w AS (PARTITION BY target, fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT target, fold, round(sum(x) / nullif(sum(p), 0), 6) AS average_precision FROM a GROUP BY target, fold""")
+def average_precision_by_fold(spark, sf_dir):
+    return metrics.average_precision(_scored(spark, sf_dir), ["target", "fold"])
+
+
+@query(_SCORED + _AUROC + "SELECT target, count(auroc) AS folds, round(avg(auroc), 6) AS mean, round(CASE WHEN count(auroc) > 1 THEN stddev_samp(auroc) / sqrt(count(auroc)) END, 6) AS sem FROM r GROUP BY target")
+def fold_mean_sem(spark, sf_dir):
+    return metrics.fold_mean_sem(metrics.auroc(_scored(spark, sf_dir), ["target", "fold"]), ["target"], "auroc")
+
+
+_CURVE = """, c AS (SELECT target, score, sum(p) AS p, sum(n) AS n FROM g GROUP BY target, score),
+d AS (SELECT target, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY target) AS ap, sum(n) OVER (PARTITION BY target) AS an FROM c
+    WINDOW w AS (PARTITION BY target ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+"""
+
+
+@query(_SCORED + _CURVE + "SELECT target, score, round(fp / nullif(an, 0), 6) AS fpr, round(tp / nullif(ap, 0), 6) AS tpr FROM d")
+def roc_points(spark, sf_dir):
+    return metrics.curve_points(_scored(spark, sf_dir), ["target"]).select("target", "score", "fpr", "tpr")
+
+
+@query(_SCORED + _CURVE + "SELECT target, score, round(tp / nullif(ap, 0), 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM d")
+def pr_points(spark, sf_dir):
+    return metrics.curve_points(_scored(spark, sf_dir), ["target"]).select("target", "score", F.col("tpr").alias("recall"), "precision")
+
+
+@query(_SCORED + """, s AS (SELECT target, count(*) FILTER (truth = 1) AS n1, count(*) FILTER (truth <> 1) AS n0, avg(score) FILTER (truth = 1) AS m1, avg(score) FILTER (truth <> 1) AS m0,
+    var_samp(score) FILTER (truth = 1) AS v1, var_samp(score) FILTER (truth <> 1) AS v0 FROM x GROUP BY target)
+SELECT target, n1 + n0 - 2 AS df, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0)), 6) AS t FROM s""")
+def ttest_statistic(spark, sf_dir):
+    return metrics.t_statistic(_scored(spark, sf_dir), ["target"], "truth", "score")
+
+
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@query("""WITH p AS (SELECT doc_id % 5 AS fold, lang AS truth, [n_chars % 7, n_chars % 5, doc_id % 3, doc_id % 4] AS s FROM documents),
+q AS (SELECT fold, truth, ['de', 'en', 'es', 'fr'][list_position(s, list_max(s))] AS predicted FROM p),
+e AS (SELECT q.*, unnest(['de', 'en', 'es', 'fr']) AS class FROM q),
+c AS (SELECT fold, class, count(*) FILTER (truth = class) AS "count", count(*) FILTER (truth = class AND predicted = class) AS tp, count(*) FILTER (truth = class OR predicted = class) AS u FROM e GROUP BY fold, class)
+SELECT fold, class, "count", round(coalesce(2.0::DOUBLE * tp / nullif(u + tp, 0), 0), 6) AS f1 FROM c""")
+def f1_argmax_by_class(spark, sf_dir):
+    scores = F.array(F.col("n_chars") % 7, F.col("n_chars") % 5, F.col("doc_id") % 3, F.col("doc_id") % 4)
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("fold"), F.col("lang").alias("truth"), metrics.argmax_class(scores, F.array(*map(F.lit, _LANGS))).alias("predicted"))
+    return metrics.f1_by_class(rows, ["fold"], _LANGS)
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 1500 AS x FROM lineitem)
+SELECT l_returnflag, count(*) AS "count", round(1 - sum((y - x) * (y - x)) / nullif(regr_syy(y, x), 0), 6) AS r2, round(corr(y, x), 6) AS pearson_r, round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) * (y - x))), 6) AS rmse FROM r GROUP BY l_returnflag""")
+def regression_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("x"))
+    return metrics.regression(rows, ["l_returnflag"], "y", "x")
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) ** 2 / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2) / regr_sxx(l_extendedprice, l_quantity)), 6) AS stderr FROM lineitem GROUP BY l_returnflag""")
+def ols_line(spark, sf_dir):
+    return metrics.ols(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
+
+
+def _survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    start = orders.agg(F.min("o_orderdate").alias("d0"), F.percentile("o_totalprice", 0.5).alias("median"))
+    days = F.datediff("o_orderdate", "d0")
+    return orders.join(F.broadcast(start)).select("o_orderkey", "o_custkey", "o_orderpriority", days.alias("time"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), F.col("o_totalprice").alias("risk"), (F.col("o_totalprice") > F.col("median")).cast("int").alias("high"))
+
+
+_SURVIVAL = """
+WITH d AS (SELECT min(o_orderdate) AS d0, quantile_cont(o_totalprice, 0.5) AS median FROM orders),
+x AS (SELECT o_orderkey, o_custkey, o_orderpriority, date_diff('day', CAST(d0 AS DATE), CAST(o_orderdate AS DATE))::INTEGER AS time, (o_orderstatus = 'F')::INTEGER AS event, o_totalprice AS risk, (o_totalprice > median)::INTEGER AS high FROM orders, d)
+"""
+_AT_RISK = """, t AS (SELECT o_orderpriority, time, sum(event) AS d, count(*) AS n FROM x GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM t)
+"""
+
+
+@query(_SURVIVAL + """, t AS (SELECT time, sum(event) AS d, count(*) AS n, sum(event * high) AS d1, sum(high) AS n1 FROM x GROUP BY time),
+r AS (SELECT d, d1, sum(n) OVER w AS y, sum(n1) OVER w AS y1 FROM t WINDOW w AS (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s AS (SELECT sum(d1 - d * (y1 / y)) AS o, sum(CASE WHEN y > 1 THEN d * (y1 / y) * (1 - y1 / y) * (y - d) / (y - 1) ELSE 0 END) AS v FROM r WHERE d > 0)
+SELECT round(o * o / nullif(v, 0), 6) AS chi2 FROM s""")
+def logrank_statistic(spark, sf_dir):
+    return metrics.logrank(_survival(spark, sf_dir), "high", "time", "event")
+
+
+@query(_SURVIVAL + _AT_RISK + """, k AS (SELECT *, max((d = y)::INTEGER) OVER w AS gone, sum(CASE WHEN d < y THEN ln(1 - d / y) ELSE 0 END) OVER w AS l FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY time ROWS UNBOUNDED PRECEDING))
+SELECT o_orderpriority, time, y::BIGINT AS at_risk, d::BIGINT AS events, round(CASE WHEN gone = 1 THEN 0 ELSE exp(l) END, 6) AS survival FROM k""")
+def km_curve(spark, sf_dir):
+    return metrics.kaplan_meier(_survival(spark, sf_dir), ["o_orderpriority"], "time", "event")
+
+
+@query(_SURVIVAL + _AT_RISK + "SELECT o_orderpriority, sum(d * (y - n))::BIGINT AS pairs FROM r GROUP BY o_orderpriority")
+def comparable_pairs(spark, sf_dir):
+    return metrics.comparable_pairs(_survival(spark, sf_dir), ["o_orderpriority"], "time", "event")
+
+
+@query(_SURVIVAL + """SELECT a.o_custkey, count(*) AS pairs, round(avg(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END), 6) AS c_index
+FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.time < b.time WHERE a.event = 1 GROUP BY a.o_custkey""")
+def c_index(spark, sf_dir):
+    return metrics.c_index(_survival(spark, sf_dir), ["o_custkey"], "time", "event", "risk", "o_orderkey")
+
+
+@query(_SURVIVAL + """, z AS (SELECT o_orderpriority, time, event, risk / 500000 - max(risk / 500000) OVER (PARTITION BY o_orderpriority) AS z FROM x),
+t AS (SELECT o_orderpriority, time, sum(event) AS d, sum(exp(z)) AS e, sum(event * z) AS s FROM z GROUP BY ALL),
+l AS (SELECT o_orderpriority, s - d * ln(sum(e) OVER (PARTITION BY o_orderpriority ORDER BY time DESC ROWS UNBOUNDED PRECEDING)) AS l FROM t)
+SELECT o_orderpriority, round(sum(l), 4) AS loglik FROM l GROUP BY o_orderpriority""")
+def cox_breslow_loglik(spark, sf_dir):
+    rows = _survival(spark, sf_dir).withColumn("risk", F.col("risk") / 500000)
+    return metrics.cox_breslow(rows, ["o_orderpriority"], "time", "event", "risk")
+
+
+@query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN max(lang) END AS lang, CASE WHEN count(DISTINCT n_chars >= 0) = 1 THEN max(n_chars >= 0) END AS sized FROM documents GROUP BY source")
+def common_settings(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", "lang", (F.col("n_chars") >= 0).alias("sized"))
+    return metrics.common_settings(rows, ["lang", "sized"], ["source"])
+
+
+@query("""WITH h AS (SELECT source, least(n_chars // 256, 255) AS b, count(*) AS n FROM documents GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM h GROUP BY source""")
+def histogram_entropy(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", F.least(F.floor(F.col("n_chars") / 256), F.lit(255)).alias("b"))
+    return metrics.shannon_entropy(rows, ["source"], "b")
+
+
+# Vectors and ranking ------------------------------------------------------------------------
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("label") < 5).alias("good"))
+
+
+def _references(tiles: DataFrame) -> DataFrame:
+    return tiles.filter("id % 10 = 0")
+
+
+_UNIT = """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS v, label < 5 AS good FROM embeddings),
+u AS (SELECT id, good, list_transform(v, lambda a: a / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u FROM e)
+"""
+_KNN = _UNIT + """, s AS (SELECT q.id, r.id AS ref, r.good, round(list_dot_product(q.u, r.u), 12) AS sim FROM u q, u r WHERE r.id % 10 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, good ORDER BY sim DESC, ref) AS rn FROM s),
+m AS (SELECT id, round(avg(sim) FILTER (good), 6) AS good_score, round(max(sim) FILTER (good), 6) AS good_top1, round(avg(sim) FILTER (NOT good), 6) AS bad_score, round(max(sim) FILTER (NOT good), 6) AS bad_top1 FROM k WHERE rn <= 7 GROUP BY id),
+f AS (SELECT *, round(coalesce(good_score - bad_score, good_score, -bad_score), 6) AS margin FROM m),
+t AS (SELECT *, round(1 / (1 + exp(-least(greatest(-3 * margin, -30), 30))), 6) AS bad_likelihood FROM f)
+"""
+
+
+@query(_UNIT + "SELECT id, round(list_sum(list_transform(u, lambda a: a * a)), 6) AS square, round(u[1], 6) AS first_value FROM u")
+def l2_normalize(spark, sf_dir):
+    unit = _tiles(spark, sf_dir).select("id", vectors.normalized(F.col("vector")).alias("u"))
+    return unit.select("id", F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("square"), F.round(F.element_at("u", 1), 6).alias("first_value"))
+
+
+@query(_UNIT + """, s AS (SELECT q.id, r.id AS ref, round(list_dot_product(q.u, r.u), 12) AS sim FROM u q, u r WHERE r.id % 10 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, ref) AS rank FROM s) SELECT id, ref, round(sim, 6) AS sim, rank::INTEGER AS rank FROM k WHERE rank <= 7""")
+def ref_knn_topk(spark, sf_dir):
+    tiles = _tiles(spark, sf_dir)
+    return vectors.nearest(tiles, _references(tiles), vectors.TOP_K).select("id", "ref", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(_KNN + "SELECT id, good_score, good_top1, bad_score, bad_top1, margin, bad_likelihood FROM t")
+def ref_margin_likelihood(spark, sf_dir):
+    tiles = _tiles(spark, sf_dir)
+    return vectors.reference_scores(tiles, _references(tiles))
+
+
+_NOVELTY = """, ns AS (SELECT q.id, r.id AS ref, round(list_dot_product(q.u, r.u), 12) AS sim FROM u q, u r WHERE r.id <> q.id),
+nk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, ref) AS rn FROM ns),
+nv AS (SELECT id, round(avg(1 - sim), 6) AS novelty FROM nk WHERE rn <= 20 GROUP BY id),
+ps AS (SELECT p, avg(u[p]) AS x FROM u, (SELECT unnest(range(1, 65)) AS p) GROUP BY p),
+c0 AS (SELECT list(x ORDER BY p) AS c FROM ps), c AS (SELECT list_transform(c, lambda a: a / greatest(sqrt(list_dot_product(c, c)), 1e-12)) AS c FROM c0),
+cd AS (SELECT id, round(1 - list_dot_product(u, c), 6) AS centroid_distance FROM u, c)
+"""
+
+
+@query(_UNIT + _NOVELTY + "SELECT * FROM nv")
+def novelty_knn(spark, sf_dir):
+    return vectors.novelty(_tiles(spark, sf_dir))
+
+
+@query(_UNIT + _NOVELTY + "SELECT * FROM cd")
+def centroid_distance(spark, sf_dir):
+    return vectors.centroid_distance(_tiles(spark, sf_dir))
+
+
+@query(_UNIT + _NOVELTY + """SELECT nv.id, novelty, centroid_distance, round(0.55 * (novelty - avg(novelty) OVER ()) / stddev_pop(novelty) OVER () + 0.40 * (centroid_distance - avg(centroid_distance) OVER ()) / stddev_pop(centroid_distance) OVER (), 4) AS score
+FROM nv JOIN cd ON nv.id = cd.id""")
+def generic_rank(spark, sf_dir):
+    tiles = _tiles(spark, sf_dir)
+    both = vectors.novelty(tiles).join(vectors.centroid_distance(tiles), "id")
+    # one slide: the moments are a one-row table
+    m = both.agg(*[f(c).alias(f"{n}_{c}") for c in ("novelty", "centroid_distance") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda c: F.when(F.col(f"s_{c}") < scaling.FLAT, 0.0).otherwise((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))
+    return both.join(F.broadcast(m)).select("id", "novelty", "centroid_distance", F.round(vectors.W_NOVELTY * z("novelty") + vectors.W_CENTROID * z("centroid_distance"), 4).alias("score"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles with reference scores and places, each a slide of 250 tiles."""
+    tiles = _tiles(spark, sf_dir)
+    scored = vectors.reference_scores(tiles, _references(tiles))
+    place = lambda c, e: (F.floor(e) * 400 + 112).cast("double").alias(c)
+    return scored.select("*", F.floor(F.col("id") / 250).alias("slide"), place("cx", F.col("id") % 25), place("cy", (F.col("id") % 250) / 25), (F.col("id") * 37 % 100 / 100.0).alias("dark"), F.col("good_score").alias("retrieval"))
+
+
+_CANDIDATES = _KNN + """, q AS (SELECT *, id // 250 AS slide, ((id % 25) * 400 + 112)::DOUBLE AS cx, ((id % 250) // 25 * 400 + 112)::DOUBLE AS cy, (id * 37 % 100) / 100.0::DOUBLE AS dark, good_score AS retrieval FROM t)
+"""
+_VIEW = (0, 0, 8000, 3000)
+_STRONG = "good_top1 >= 0.19 AND bad_top1 <= 0.69 AND bad_likelihood <= 0.825"
+_HINT = f"""CASE WHEN (bad_top1 >= 1.0 OR (bad_top1 >= 0.78 AND good_top1 - bad_top1 <= 0.025) OR bad_likelihood >= 0.72 OR margin <= -0.075) AND NOT ({_STRONG}) THEN 'bad_like'
+WHEN margin > 0.015 AND bad_likelihood < 0.66 AND good_top1 >= bad_top1 + 0.02 THEN 'good_like'
+WHEN (margin <= -0.075 OR (bad_likelihood >= 0.78 AND margin <= 0.02 AND good_top1 <= bad_top1 + 0.015)) AND NOT ({_STRONG}) THEN 'bad_like' ELSE 'uncertain' END"""
+
+
+@query(_CANDIDATES + ", n AS (SELECT *, count(*) FILTER (dark >= 0.5) OVER (PARTITION BY slide) AS c FROM q) SELECT slide, id, dark FROM n WHERE c < 120 OR dark >= 0.5")
+def conditional_floor(spark, sf_dir):
+    return ranking.conditional_floor(_candidates(spark, sf_dir), ["slide"], F.col("dark") >= 0.5, 120).select("slide", "id", "dark")
+
+
+@query(_CANDIDATES + f"SELECT slide, id, {_HINT} AS hint FROM q")
+def quality_hints(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("slide", "id", ranking.quality_hint().alias("hint"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _candidates(spark, sf_dir).filter(ranking.in_view(F.col("cx"), F.col("cy"), _VIEW))
+    kept = ranking.conditional_floor(seen, ["slide"], F.col("dark") >= ranking.DEFAULT.min_dark, 12)
+    scored = ranking.combined_score(kept, ["slide"]).withColumn("combined", F.round("combined", 4)).withColumn("hint", ranking.quality_hint())
+    return ranking.top_k(scored, ["slide"], 40, F.desc("combined"), F.col("id"))
+
+
+_Z = "CASE WHEN stddev_pop({0}) OVER w < 1e-12 THEN 0 ELSE (({0}) - avg({0}) OVER w) / stddev_pop({0}) OVER w END"
+
+
+@query(_CANDIDATES + f""", v AS (SELECT * FROM q WHERE cx BETWEEN 0 AND 8000 AND cy BETWEEN 0 AND 3000),
+fl AS (SELECT *, count(*) FILTER (dark >= 0.02) OVER (PARTITION BY slide) AS c FROM v), h AS (SELECT * FROM fl WHERE c < 12 OR dark >= 0.02),
+z AS (SELECT *, round(0.18 * {_Z.format('dark')} + 0.20 * {_Z.format('retrieval')} + 0.26 * {_Z.format('0.70 * margin + 0.30 * (good_top1 - bad_top1)')}
+    - 0.22 * (0.72 * least(greatest((bad_likelihood - 0.40) / 0.6, 0), 1) + 0.28 * least(greatest((bad_top1 - good_top1 + 0.02) / 0.16, 0), 1)) + CASE WHEN {_STRONG} THEN 0.06 ELSE 0 END, 4) AS combined FROM h WINDOW w AS (PARTITION BY slide)),
+n AS (SELECT slide, id, combined, {_HINT} AS hint, row_number() OVER (PARTITION BY slide ORDER BY combined DESC, id)::INTEGER AS rank FROM z) SELECT * FROM n WHERE rank <= 40""")
+def view_candidates_ranked(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("slide", "id", "combined", "hint", "rank")
+
+
+@query()
+def spatial_nms(spark, sf_dir):
+    return ranking.suppress(_ranked(spark, sf_dir), ["slide"], 900.0, 12).select("slide", "id", "combined", "rank")
+
+
+@query()
+def diversified_candidates(spark, sf_dir):
+    pool = ranking.two_pools(_ranked(spark, sf_dir), ["slide"], 40)
+    return ranking.diversify(pool, ["slide"], [(112.0, 112.0)], 800.0, 500.0, 6, 20).select("slide", "id", "hint", "rank")
+
+
+# Assembly -----------------------------------------------------------------------------------
+
+
+def _patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("patient"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("label"), "c_nationkey")
+
+
+def _slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("slide"))
+
+
+_PATIENTS = """WITH p AS (SELECT c_custkey AS patient, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS label, c_nationkey FROM customer),
+s AS (SELECT o_custkey AS patient, o_orderkey AS slide FROM orders WHERE o_orderstatus = 'F')
+"""
+
+
+@query(_PATIENTS + """SELECT p.patient, label, count(*) AS n_slides, min(slide) AS first_slide, max(slide) AS last_slide FROM p JOIN (SELECT DISTINCT * FROM s WHERE slide % 5 <> 0) s ON p.patient = s.patient
+WHERE label IS NOT NULL GROUP BY p.patient, label""")
+def patient_slide_inner(spark, sf_dir):
+    slides = _slides(spark, sf_dir)
+    features = slides.select("slide").filter("slide % 5 <> 0")
+    full = assembly.complete_patients(assembly.labelled(_patients(spark, sf_dir), ["label"]), slides, features, "patient", "slide")
+    return full.select("patient", "label", F.size("slides").cast("long").alias("n_slides"), F.element_at("slides", 1).alias("first_slide"), F.element_at("slides", -1).alias("last_slide"))
+
+
+@query(_PATIENTS + "SELECT patient, label FROM p WHERE patient NOT IN (SELECT patient FROM s WHERE slide % 5 <> 0)")
+def patients_without_slides(spark, sf_dir):
+    return assembly.missing(_patients(spark, sf_dir), _slides(spark, sf_dir).filter("slide % 5 <> 0"), "patient").select("patient", "label")
+
+
+@query(_PATIENTS + "SELECT patient, slide FROM s WHERE patient NOT IN (SELECT patient FROM p WHERE label IS NOT NULL)")
+def slides_without_patient(spark, sf_dir):
+    return assembly.missing(_slides(spark, sf_dir), _patients(spark, sf_dir).filter("label IS NOT NULL"), "patient").select("patient", "slide")
+
+
+@query(_PATIENTS + "SELECT s.slide, s.patient, coalesce(n_name, '') AS n_name, coalesce(label, '') AS label FROM s LEFT JOIN p ON s.patient = p.patient LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON c_nationkey = n_nationkey")
+def two_hop_ground_truth(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").filter("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return assembly.two_hops(_slides(spark, sf_dir), _patients(spark, sf_dir), nation, ("patient", "c_nationkey"), ["n_name", "label"]).select("slide", "patient", "n_name", "label")
+
+
+@query("SELECT c_custkey AS patient FROM customer WHERE c_custkey % 4 = 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
+def leakage_overlap(spark, sf_dir):
+    deployed = _patients(spark, sf_dir).filter("patient % 4 = 0").select("patient")
+    trained = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("patient"))
+    return assembly.present(deployed, trained, "patient")
+
+
+@query("SELECT source, n_chars, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
+def dedupe_last_wins(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "n_chars", "doc_id", "lang")
+    return assembly.first_of(docs, ["source", "n_chars"], F.desc("doc_id"))
+
+
+@query("SELECT host, page_id FROM (SELECT split_part(url, '/', 3) AS host, page_id, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS r FROM pages) WHERE r = 1")
+def dedupe_first_wins(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "page_id")
+    return assembly.first_of(pages, ["host"], F.asc("page_id"))
+
+
+@query(_PATIENTS + ", n AS (SELECT label AS class, count(*) AS n FROM p WHERE label IS NOT NULL GROUP BY label) SELECT class, n, round((1.0::DOUBLE / n) / sum(1.0::DOUBLE / n) OVER (), 6) AS weight, n < 16 AS underpopulated FROM n")
+def class_weights(spark, sf_dir):
+    return assembly.class_weights(_patients(spark, sf_dir), "label")
+
+
+@query(_PATIENTS + "SELECT label AS class, count(*) AS n FROM p WHERE label IS NOT NULL GROUP BY label")
+def class_distribution(spark, sf_dir):
+    return assembly.class_counts(_patients(spark, sf_dir), "label")
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(_PATIENTS + "SELECT patient, " + ", ".join(f"coalesce((label = '{s}')::INTEGER, 0) AS is_{s.lower()}" for s in _SEGMENTS) + " FROM p")
+def one_hot_segment(spark, sf_dir):
+    hot = _patients(spark, sf_dir).select("patient", assembly.one_hot(F.col("label"), _SEGMENTS).alias("v"))
+    return hot.select("patient", *[F.col("v")[i].alias(f"is_{s.lower()}") for i, s in enumerate(_SEGMENTS)])
+
+
+@query(_PATIENTS + "SELECT patient, label, ((row_number() OVER (PARTITION BY label ORDER BY patient) - 1) % 5)::INTEGER AS fold FROM p WHERE label IS NOT NULL")
+def stratified_folds(spark, sf_dir):
+    return assembly.stratified_folds(_patients(spark, sf_dir).filter("label IS NOT NULL").select("patient", "label"), ["label"], 5, F.asc("patient"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, i::INTEGER AS slot FROM x WHERE n <= 3 UNION ALL SELECT l_orderkey, l_linenumber, s::INTEGER FROM x, (SELECT unnest(range(3)) AS s) WHERE n > 3 AND round_even(s * (n - 1) / 2.0::DOUBLE, 0) = i""")
+def equidistant_bag(spark, sf_dir):
+    return assembly.equidistant_bag(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber", 3)
+
+
+@query("SELECT c_custkey, ((row_number() OVER (ORDER BY c_custkey) - 1) // CAST(ceil(count(*) OVER () / 7.0::DOUBLE) AS BIGINT))::INTEGER AS chunk FROM customer")
+def chunk_rows(spark, sf_dir):
+    return assembly.chunks(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7)
+
+
+@query("""WITH m AS (SELECT label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS s FROM embeddings),
+a AS (SELECT label, p, avg(s[p]) AS x FROM m, (SELECT unnest([1, 2, 3]) AS p) GROUP BY label, p) SELECT label, round(max(x) FILTER (p = 1), 6) AS s1, round(max(x) FILTER (p = 2), 6) AS s2, round(max(x) FILTER (p = 3), 6) AS s3 FROM a GROUP BY label""")
+def ensemble_mean(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("s"))
+    return assembly.ensemble_mean(rows, "label", "s").select("label", *[F.element_at("s", i).alias(f"s{i}") for i in (1, 2, 3)])
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS v, label FROM embeddings), p AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p, label FROM e)
+SELECT vec_id, round(-p[label + 1] + ln(list_sum(list_transform(p, lambda x: exp(x)))), 6) AS loss FROM p""")
+def double_softmax_loss(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double"))).alias("v"))
+    p = e.withColumn("total", F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).withColumn("p", F.transform("v", lambda x: x / F.col("total")))
+    return p.select("vec_id", F.round(assembly.double_softmax_loss(F.col("p"), F.col("label")), 6).alias("loss"))
+
+
+@query("""WITH x AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS t, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS b FROM documents)
+SELECT source, doc_id, n_chars, 'top' AS side, t::INTEGER AS rank FROM x WHERE t <= 5 UNION ALL SELECT source, doc_id, n_chars, 'bottom', b::INTEGER FROM x WHERE b <= 5""")
+def topk_bottomk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    top = ranking.top_k(docs, ["source"], 5, F.desc("n_chars"), F.asc("doc_id")).withColumn("side", F.lit("top"))
+    low = ranking.top_k(docs, ["source"], 5, F.asc("n_chars"), F.asc("doc_id")).withColumn("side", F.lit("bottom"))
+    return top.unionByName(low)
+
+
+# Step logs ----------------------------------------------------------------------------------
+
+_ORDER = ["ts", "event_id"]
+
+
+@query("SELECT event_id, user_id, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS clicks FROM events")
+def step_lookback_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return steps.lookback_count(rows, "user_id", _ORDER, F.col("event_type") == "click", "clicks").select("event_id", "user_id", "clicks")
+
+
+_RUNS = """WITH a AS (SELECT *, row_number() OVER w AS i, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, (i - max(CASE WHEN c = 1 THEN i END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1)::INTEGER AS run FROM a"""
+
+
+@query(_RUNS)
+def same_type_run_length(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return steps.run_length(rows, "user_id", _ORDER, "event_type", "run").select("event_id", "user_id", F.col("run").cast("int").alias("run"))
+
+
+@query("SELECT user_id, event_id, age::INTEGER AS age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 8")
+def last_8_history(spark, sf_dir):
+    return steps.last_rows(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", _ORDER).select("user_id", "event_id", "age")
+
+
+@query("""WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i, value > 20 AS h FROM events)
+SELECT user_id, coalesce(min(i) FILTER (NOT h), count(*) + 1) - 1 AS run FROM a GROUP BY user_id""")
+def trailing_high_values(spark, sf_dir):
+    return steps.trailing_run(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "user_id", _ORDER, F.col("value") > 20)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_hourly_counts(spark, sf_dir):
+    """The tumbling window as a stream that reads the table once; each batch replaces the result."""
+    source = table(spark, sf_dir, "events")
+    base = _scratch(spark, "hourly")
+    stream = spark.readStream.schema(source.schema).parquet(_folder(sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = streams.tumbling(stream, "ts", "event_type", "value", "1 hour", late="3650 days").select("start", "event_type", "n")
+    run = counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out")).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query(_RUNS)
+def stream_run_length(spark, sf_dir):
+    """The stateful run length as a stream; the table arrives as one batch."""
+    source = table(spark, sf_dir, "events")
+    base = _scratch(spark, "runs")
+    stream = spark.readStream.schema(source.schema).parquet(_folder(sf_dir, "events"))
+    runs = streams.running_runs(stream.select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_type", "event_id")
+    run = runs.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").option("path", f"{base}/out").start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "run")
+
+
+def _folder(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet*"
+
+
+def _scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+# Scaling, grids, text -----------------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS lo, quantile_cont(l_extendedprice, 0.9) AS hi FROM lineitem GROUP BY l_returnflag)
+SELECT l_orderkey, l_linenumber, round(least(greatest((l_extendedprice - lo) / greatest(hi - lo, 1e-6), 0), 1), 6) AS scaled FROM lineitem JOIN q USING (l_returnflag)""")
+def robust_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return scaling.unit_scale(rows, ["l_returnflag"], "l_extendedprice", "scaled").select("l_orderkey", "l_linenumber", F.round("scaled", 6).alias("scaled"))
+
+
+@query("WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.97) AS top FROM part GROUP BY p_brand) SELECT p_partkey, round(least(p_retailprice, top), 6) AS price FROM part JOIN q USING (p_brand)")
+def winsorize_p97(spark, sf_dir):
+    return scaling.winsorize(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", "price").select("p_partkey", F.round("price", 6).alias("price"))
+
+
+@query(f"SELECT p_partkey, round({_Z.format('p_retailprice')}, 6) AS z FROM part WINDOW w AS (PARTITION BY p_brand)")
+def zscore(spark, sf_dir):
+    return scaling.with_zscore(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", "z").select("p_partkey", F.round("z", 6).alias("z"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slide"), (F.col("p_size") * 100).alias("width"), (F.col("p_size") * 70).alias("height"))
+
+
+_GRID = """WITH s AS (SELECT p_partkey AS slide, p_size * 100 AS width, p_size * 70 AS height FROM part),
+g AS (SELECT slide, unnest(range(0, height, 512))::INTEGER AS y0, width FROM s), t AS (SELECT slide, y0, unnest(range(0, width, 512))::INTEGER AS x0 FROM g)
+"""
+
+
+@query(_GRID + "SELECT slide, x0, y0 FROM t")
+def tile_grid(spark, sf_dir):
+    return tiling.supertiles(_parts(spark, sf_dir), "width", "height", 512).select("slide", "x0", "y0")
+
+
+@query("""WITH r AS (SELECT p_partkey AS slide, p_size * 100 AS width, p_size * 70 AS height, (p_partkey * 31 % (p_size * 100))::INTEGER AS cx, (p_partkey * 17 % (p_size * 70))::INTEGER AS cy, unnest([0, 1, 2, 3]) AS quadrant FROM part)
+SELECT slide, quadrant, greatest(least(cx + (quadrant % 2 - 1) * 224, width - 224), 0)::INTEGER AS x0, greatest(least(cy + (quadrant // 2 - 1) * 224, height - 224), 0)::INTEGER AS y0 FROM r""")
+def roi_2x2_grid(spark, sf_dir):
+    rois = _parts(spark, sf_dir).withColumn("cx", (F.col("slide") * 31 % F.col("width")).cast("int")).withColumn("cy", (F.col("slide") * 17 % F.col("height")).cast("int"))
+    return tiling.roi_grid(rois, "cx", "cy", 224, F.col("width"), F.col("height")).select("slide", "quadrant", "x0", "y0")
+
+
+@query(_GRID + """, b AS (SELECT l_partkey AS slide, (l_orderkey * 13 % 3000)::INTEGER AS x, (l_orderkey * 7 % 2000)::INTEGER AS y, (l_quantity * 20)::INTEGER AS w, (l_linenumber * 90)::INTEGER AS h FROM lineitem WHERE l_returnflag = 'R')
+SELECT t.slide, x0, y0, round(least(coalesce(sum(greatest(least(x0 + 512, x + w) - greatest(x0, x), 0) * greatest(least(y0 + 512, y + h) - greatest(y0, y), 0)), 0) / (512.0::DOUBLE * 512), 1), 6) AS overlap
+FROM t LEFT JOIN b ON t.slide = b.slide GROUP BY t.slide, x0, y0""")
+def box_overlap_fraction(spark, sf_dir):
+    cells = tiling.supertiles(_parts(spark, sf_dir), "width", "height", 512).select("slide", "x0", "y0")
+    boxes = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("slide"), (F.col("l_orderkey") * 13 % 3000).cast("int").alias("x"), (F.col("l_orderkey") * 7 % 2000).cast("int").alias("y"), (F.col("l_quantity") * 20).cast("int").alias("w"), (F.col("l_linenumber") * 90).cast("int").alias("h"))
+    return tiling.overlap_fraction(cells, boxes, "slide", ["x0", "y0"], 512)
+
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Acute leukemia' WHEN 1 THEN 'Normal marrow' WHEN 2 THEN 'Call for more diagnostics' ELSE '' END AS decision FROM conversations""")
+def decision_extract(spark, sf_dir):
+    """Decisions announced in, named by or absent from each turn's text."""
+    said = F.when(F.col("turn") % 4 == 0, "Final diagnosis: ACUTE leukemia. Not normal marrow.").when(F.col("turn") % 4 == 1, "acute leukemia was weighed against normal marrow").when(F.col("turn") % 4 == 2, "Conclusion - call for more diagnostics").otherwise("no opinion")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("\n", F.regexp_replace("text", "(?i)diagnos|decision|conclusion|marrow|leukemia", "x"), said).alias("text"))
+    return rows.select("conv_id", "turn", text_functions.final_decision(F.col("text")).alias("decision"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(split_part(url, '/', -1), '\\.[^.]*$', ''), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages WHERE split_part(url, '/', -1) <> '' AND split_part(url, '/', -1) NOT LIKE '.%' AND NOT regexp_matches(split_part(url, '/', -1), '^[._-]|[._-]$|[._-]\\.')")
+def sanitized_stems(spark, sf_dir):
+    last = F.element_at(F.split("url", "/"), -1)
+    rows = table(spark, sf_dir, "pages").filter((last != "") & ~last.startswith(".") & ~last.rlike(r"^[._-]|[._-]$|[._-]\."))
+    return rows.select("page_id", text_functions.sanitized(text_functions.stem(F.col("url"))).alias("name"))
