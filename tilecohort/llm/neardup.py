@@ -147,7 +147,8 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     Of two sets with similarity 0.75 or more, each holds at most a quarter outside the other, so the
     first floor(n / 4) + 1 shingles of each in one common order, rarest first, meet. Take the first
     shingle they meet in. What they share is at most what each shares with anyone, and if that shingle
-    is in over COMMON sets, at most what each has of such shingles, for the rarer ones came before; and
+    is in over COMMON sets, at most what each has of such shingles, for the rarer ones came before; it is
+    at most what each has from that shingle on; and
     it must be 3/7 of their sizes' sum. So a common shingle joins only sets nearly all of common ones,
     which are of one component already. The largest component of a shingle isn't paired with itself.
     """
@@ -168,13 +169,13 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc")
     most = F.when(F.col("df") > COMMON, F.count_if(F.col("df") > COMMON).over(own)).otherwise(F.count_if(F.col("df") > 1).over(own))
     kept = counted.withColumn("r", rank).withColumn("s", most).filter("df > 1 AND r <= floor(n / 4) + 1 AND 4 * s >= 3 * n")
-    rare = written(kept.select("g", "doc", "c", "n", "s"), "rare")
+    rare = written(kept.select("g", "doc", "c", "n", "s", "r"), "rare")
     sizes = rare.groupBy("g", "c").agg(F.count("*").alias("n"))
     major = sizes.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("g", F.col("m.c").alias("most"))
     minor = rare.join(major, "g").filter("c <> most")
-    left = rare.select("g", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = minor.select("g", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    return left.join(right, "g").filter("ca <> cb AND 7 * least(sa, sb) >= 3 * (na + nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = rare.select("g", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("r").alias("ra"))
+    right = minor.select("g", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("r").alias("rb"))
+    return left.join(right, "g").filter("ca <> cb AND 7 * least(sa, sb, na - ra + 1, nb - rb + 1) >= 3 * (na + nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
