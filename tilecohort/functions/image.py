@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TISSUE_BELOW = 240
-METRICS = "tissue double, mean double, std double, edge double, entropy double, dark double, saturation double"
+NAMES = ["tissue", "mean", "std", "edge", "entropy", "dark", "saturation"]
+METRICS = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
+BOXES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("x", "y", "w", "h", "area")]))
 
 
 def box_mean(image: np.ndarray) -> np.ndarray:
@@ -47,7 +50,7 @@ def metrics(rgb: np.ndarray) -> dict[str, float]:
 @F.pandas_udf(METRICS)
 def tile_metrics(pixels: pd.Series, side: pd.Series) -> pd.DataFrame:
     """Metrics of square RGB tiles given as flat pixels, row by row."""
-    return pd.DataFrame([metrics(np.asarray(p, np.int64).reshape(s, s, 3)) for p, s in zip(pixels, side)], columns=["tissue", "mean", "std", "edge", "entropy", "dark", "saturation"])
+    return pd.DataFrame([metrics(np.asarray(p, np.int64).reshape(s, s, 3)) for p, s in zip(pixels, side)], columns=NAMES)
 
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -70,7 +73,7 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return sorted(out, key=lambda b: (-b[4], b[1], b[0]))
 
 
-@F.pandas_udf("array<struct<x:int,y:int,w:int,h:int,area:int>>")
+@F.pandas_udf(BOXES)
 def mask_boxes(mask: pd.Series, width: pd.Series, least: pd.Series) -> pd.Series:
     """Boxes of the connected parts of flat boolean masks with an area of at least ``least``."""
     keys = ("x", "y", "w", "h", "area")

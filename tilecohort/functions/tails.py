@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _LOG_GAMMA = np.vectorize(math.lgamma, otypes=[float])
 _ERFC = np.vectorize(math.erfc, otypes=[float])
@@ -60,19 +61,19 @@ def t_quantile(p, df) -> np.ndarray:
     return np.where(p >= 0.5, high, -high)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     return pd.Series(np.where(t.isna() | df.isna(), np.nan, t_two_sided(t.fillna(0), df.fillna(1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_interval_half(sem: pd.Series, df: pd.Series) -> pd.Series:
     """Half the width of the 95 % interval of a mean."""
     return pd.Series(np.where(sem.isna() | (df < 1), np.nan, sem.fillna(0) * t_quantile(0.975, np.maximum(df.fillna(1), 1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with 1 degree of freedom."""
     return pd.Series(np.where(x.isna(), np.nan, _ERFC(np.sqrt(np.maximum(x.fillna(0), 0) / 2))))
