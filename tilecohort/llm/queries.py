@@ -63,4 +63,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_inheritance, op2_bpe_round_trip, op3_benchmark_leaks, op4_language_spans, op5_token_shards, op6_repeated_passages, op7_near_duplicates, op8_secret_ledger, op9_quality_attention, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secret_sql() -> str:
+    """The ledger's result in one statement: pieces between matches and matches themselves give the spans."""
+    parts = []
+    for number, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {number} AS kind, '{r.kind}' AS name, {str(r.base).lower()} AS base, string_split_regex(text, '{pattern}') AS p, "
+            f"regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS v, {r.least} AS least FROM documents WHERE regexp_matches(text, '{pattern}')"
+        )
+    return f"""
+WITH a AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT a.*, unnest(range(1, len(m) + 1)) AS i FROM a),
+s AS (SELECT doc_id, kind, name, base, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, length(m[i]) AS size FROM e WHERE length(v[i]) >= least),
+t AS (SELECT *, name || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM s),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (base) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op8_secret_ledger": _secret_sql()}
