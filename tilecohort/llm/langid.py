@@ -31,6 +31,8 @@ SAMPLE = 2048
 PENALTY = 20 * 256
 #: Most that one word can speak for one language over another, in nats.
 WORD_LIMIT = 6.0
+#: What a word speaks against a language that doesn't use its script, in nats.
+FOREIGN = 12.0
 #: Words of a script a language must have, as a share, to be a candidate for it.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
@@ -122,11 +124,11 @@ class Model:
             for j in range(len(self.languages)):
                 out[:, j] = np.add.reduceat(self.weights[:, j][cells], at[:-1])
         allowed = self.allowed[script] & (script >= 0)[:, None]
-        none = ~allowed.any(1)
         out[~allowed] = -np.inf
-        out[none] = 0
+        out[~allowed.any(1)] = 0
         out -= out.max(1, keepdims=True) if len(vocab) else 0
-        return (np.maximum(out, -WORD_LIMIT) * 256).round().astype(np.int64), letters
+        out = np.where(np.isfinite(out), np.maximum(out, -WORD_LIMIT), -FOREIGN)
+        return (out * 256).round().astype(np.int64), letters
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -240,9 +242,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         kinds = pa.array([*m.languages, UNKNOWN], pa.string())
         for part in slices(batches, text, _SLICE):
             w = split(column(part, text), lower=True)
-            by_word, letters = m.word_scores(w.vocab)
-            if not k:
-                by_word = np.zeros((len(w.vocab), 0), np.int64)
+            by_word, letters = m.word_scores(w.vocab) if k else (np.zeros((len(w.vocab), 0), np.int64), word_facts(w.vocab)[0])
             scores, letters = by_word[w.codes], letters[w.codes]
             n = len(w.bounds) - 1
             label = label_words(scores, w.bounds) if k else np.zeros(len(w.codes), np.int64)

@@ -7,7 +7,7 @@ path sum to the word's place in byte order, which addresses its ids.
 
 The arcs lie in an open-addressing table keyed by (state, byte), so a batch of
 words walks the automaton together, one byte position at a time. The byte
-string is written once per executor and memory-mapped by its workers.
+string is memory-mapped by each worker.
 """
 
 from __future__ import annotations
@@ -151,15 +151,13 @@ class Lexicon:
 
 
 def mapped(content: bytes) -> Lexicon:
-    """The lexicon, memory-mapped from a file that the workers of an executor share."""
-    name = hashlib.sha256(content).hexdigest()[:24]
+    """The lexicon, memory-mapped once a worker; the file has no name any more, so it goes with the worker."""
+    name = hashlib.sha256(content).hexdigest()
     if name not in _OPEN:
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}.bin")
-        if not os.path.exists(path) or os.path.getsize(path) != len(content):
-            part = f"{path}.{os.getpid()}"
-            with open(part, "wb") as out:
-                out.write(content)
-            os.replace(part, path)
+        handle, path = tempfile.mkstemp(prefix="lexicon-")
+        with os.fdopen(handle, "wb") as out:
+            out.write(content)
         _OPEN.clear()
         _OPEN[name] = Lexicon(np.memmap(path, np.uint8, "r"))
+        os.unlink(path)
     return _OPEN[name]

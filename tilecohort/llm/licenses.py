@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,9 @@ def cosines(units: DataFrame, keys: list[str], text: str, templates: list[tuple[
     dots = weighed.join(F.broadcast(vectors), "term", "left").withColumn("p", F.col("x") * F.col("w"))
     # each term once for the norm: the template-less copy of a term carries its square
     squares = weighed.groupBy(*keys).agg(norm.alias("norm"))
-    scored = dots.filter("template IS NOT NULL").groupBy(*keys, "template", "license").agg(F.sum("p").alias("dot")).join(squares, keys)
+    summed = dots.filter("template IS NOT NULL").groupBy(*keys, "template", "license").agg(F.sum("p").alias("dot"))
+    same = reduce(lambda a, b: a & b, [summed[k].eqNullSafe(squares[k]) for k in keys])
+    scored = summed.join(squares, same).select(*[summed[k] for k in keys], "license", "dot", "norm")
     best = scored.select(*keys, F.struct((-F.round(F.col("dot") / F.col("norm"), 6)).alias("s"), "license").alias("b")).groupBy(*keys).agg(F.min("b").alias("b"))
     return best.select(*keys, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 

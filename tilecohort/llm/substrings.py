@@ -72,15 +72,15 @@ def _anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             w = split(column(part, "text"))
-            ids = column(part, "doc").to_numpy(zero_copy_only=False)
+            ids = column(part, "doc")
             anchor, segment, first, count = segments(word_hashes(w.vocab, seed=11)[w.codes], w.bounds)
             doc = np.searchsorted(w.bounds, first, side="right") - 1
             view = memoryview(w.data)
             sha = [_kept_sha(view, w.starts[a:b], w.ends[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
             n, m = len(first), len(sha)
             none = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array((segment >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[doc]), pa.array((first - w.bounds[doc]) << 4 | count), none(n, pa.int64()), none(n, pa.string())], schema=_arrow)
-            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int32()), pa.array(ids), none(m, pa.int64()), pa.array(np.diff(w.bounds)), pa.array(sha, pa.string())], schema=_arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array((segment >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(doc)), pa.array((first - w.bounds[doc]) << 4 | count), none(n, pa.int64()), none(n, pa.string())], schema=_arrow)
+            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int32()), ids, none(m, pa.int64()), pa.array(np.diff(w.bounds)), pa.array(sha, pa.string())], schema=_arrow)
 
     _arrow = pa.schema([("h", pa.int64()), ("s", pa.int32()), ("doc", pa.int64()), ("pos", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
     return docs.mapInArrow(run, _FOUND)
