@@ -253,10 +253,11 @@ def test_redaction(spark):
     assert got == {1: 'é [SECRET]" end [SECRET]', 2: "clean", 3: None}
 
 
-def test_secret_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
     import oracle
 
-    assert oracle.differences(spark, oracle.connect(SF), queries.op8_secret_ledger, queries.ORACLE_SQL["op8_secret_ledger"], SF) == ""
+    assert oracle.differences(spark, oracle.connect(SF), queries.QUERIES[name], queries.ORACLE_SQL[name], SF) == ""
 
 
 def surface(t):

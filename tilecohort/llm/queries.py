@@ -85,4 +85,13 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op8_secret_ledger": _secret_sql()}
+_REPEAT_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+f AS (SELECT k, min(doc_id) AS d FROM x GROUP BY k),
+r AS (SELECT DISTINCT doc_id, i + o AS p FROM x JOIN f USING (k), (SELECT unnest(range(13)) AS o) WHERE d < doc_id),
+n AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+c AS (SELECT n.doc_id, count(r.p) AS n_removed, string_agg(word, ' ' ORDER BY n.p) FILTER (r.p IS NULL) AS kept FROM n LEFT JOIN r ON n.doc_id = r.doc_id AND n.p = r.p GROUP BY n.doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN c ON w.doc_id = c.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op6_repeated_passages": _REPEAT_SQL, "op8_secret_ledger": _secret_sql()}
