@@ -130,3 +130,16 @@ def test_masks_and_boxes():
 def test_class_support(spark):
     row = spark.createDataFrame([([0.2, 0.7, 0.1],)], "s array<double>").select(*[F.round(tiling.class_support(F.col("s"), F.lit(i)), 6).alias(f"c{i}") for i in range(3)]).first()
     assert tuple(row) == (-0.5, 0.5, -0.6)
+
+
+def test_bootstrap_brackets_the_area(spark):
+    rows = spark.createDataFrame([("t", i, int(i % 3 == 0), float(i % 3 == 0) + i % 7 / 5) for i in range(600)], "target string, id long, truth int, score double")
+    area = metrics.auroc(rows, ["target"]).first().auroc
+    got = metrics.bootstrap_auroc(rows, ["target"], "id").first()
+    assert got.samples == 200 and got.low < area < got.high and abs(got.median - area) < 0.01
+
+
+def test_grid_is_linear(spark):
+    points = spark.createDataFrame([("c", 0.0, 0.0), ("c", 0.5, 1.0), ("c", 1.0, 1.0), ("d", 0.3, 0.7)], "g string, x double, y double")
+    got = {(r.g, r.step): r.y for r in metrics.on_grid(points, ["g"], "x", "y", 5).collect()}
+    assert [got["c", i] for i in range(5)] == [0.0, 0.5, 1.0, 1.0, 1.0] and [got["d", i] for i in range(5)] == [0.7] * 5

@@ -195,3 +195,50 @@ def shannon_entropy(rows: DataFrame, by: list[str], bin_: str) -> DataFrame:
     """Entropy in bits of the histogram of bins in a group."""
     n = rows.groupBy(*by, bin_).agg(F.count("*").alias("n"))
     return n.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 6).alias("entropy"))
+
+
+def cox_efron(rows: DataFrame, by: list[str], time: str, event: str, risk: str) -> DataFrame:
+    """Efron's partial log-likelihood: of d deaths at one time the l-th sees the risk set less l / d of the dying."""
+    top = F.max(risk).over(Window.partitionBy(*by))
+    z = rows.withColumn("z", F.col(risk) - top)
+    at = z.groupBy(*by, time).agg(F.sum(event).cast("int").alias("d"), F.sum(F.exp("z")).alias("e"), F.sum(F.col(event) * F.exp("z")).alias("de"), F.sum(F.col(event) * F.col("z")).alias("s"))
+    on = Window.partitionBy(*by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
+    placed = at.withColumn("r", F.sum("e").over(on)).filter("d > 0")
+    logs = F.aggregate(F.sequence(F.lit(0), F.col("d") - 1), F.lit(0.0), lambda acc, l: acc + F.log(F.col("r") - l / F.col("d") * F.col("de")))
+    return placed.withColumn("l", F.col("s") - logs).groupBy(*by).agg(F.round(F.sum("l"), 4).alias("loglik"))
+
+
+# The distribution function of a Poisson variable with mean 1.
+_POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
+
+
+def bootstrap_auroc(rows: DataFrame, by: list[str], key: str, truth: str = "truth", score: str = "score", samples: int = 200, seed: int = 0) -> DataFrame:
+    """Median and 95 % band of the AUROC over resamples, and how many had both classes.
+
+    A row's multiplicity in a resample is a Poisson draw from a hash of its key, so resamples need no
+    shuffle of their own and repeat exactly. The grouping key takes the resample in, so no task holds one whole.
+    """
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "sample", key), F.lit(1 << 30)) / float(1 << 30)
+    times = sum((F.when(drawn >= p, 1).otherwise(0) for p in _POISSON), F.lit(0))
+    each = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("m", times).filter("m > 0")
+    at = each.groupBy(*by, "sample", score).agg(F.sum(F.col(truth) * F.col("m")).cast("double").alias("p"), F.sum((1 - F.col(truth)) * F.col("m")).cast("double").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "sample").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    areas = at.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(*by, "sample").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")).alias("a")).filter("a IS NOT NULL")
+    q = lambda p, n: F.round(F.percentile("a", p), 6).alias(n)
+    return areas.groupBy(*by).agg(F.count("*").alias("samples"), q(0.025, "low"), q(0.5, "median"), q(0.975, "high"))
+
+
+def on_grid(points: DataFrame, by: list[str], x: str, y: str, steps: int = 1000) -> DataFrame:
+    """A curve's value at ``steps`` equal distances from 0 to 1, linear between its points and held flat beyond the ends.
+
+    Each point serves the grid places up to the next one, so the join is an explosion of intervals.
+    """
+    best = points.groupBy(*by, x).agg(F.max(y).alias(y))
+    order = Window.partitionBy(*by).orderBy(x)
+    ends = best.select(*by, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(order).alias("x1"), F.lead(y).over(order).alias("y1"), F.row_number().over(order).alias("i"))
+    first = F.when(F.col("i") == 1, F.lit(0)).otherwise(F.ceil(F.col("x0") * (steps - 1)))
+    last = F.when(F.col("x1").isNull(), F.lit(steps - 1)).otherwise(F.ceil(F.col("x1") * (steps - 1)) - 1)
+    placed = ends.filter(last >= first).withColumn("step", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    at = F.col("step") / float(steps - 1)
+    value = F.when(F.col("x1").isNull() | (at <= F.col("x0")), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (at - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    return placed.select(*by, "step", F.round(value, 6).alias(y))

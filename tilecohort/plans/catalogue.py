@@ -212,6 +212,25 @@ def cox_breslow_loglik(spark, sf_dir):
     return metrics.cox_breslow(rows, ["o_orderpriority"], "time", "event", "risk")
 
 
+@query(_SURVIVAL + """, z AS (SELECT o_orderpriority, time, event, risk / 500000 - max(risk / 500000) OVER (PARTITION BY o_orderpriority) AS z FROM x),
+t AS (SELECT o_orderpriority, time, sum(event)::INTEGER AS d, sum(exp(z)) AS e, sum(event * exp(z)) AS de, sum(event * z) AS s FROM z GROUP BY ALL),
+r AS (SELECT *, sum(e) OVER (PARTITION BY o_orderpriority ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS r FROM t)
+SELECT o_orderpriority, round(sum(s - list_sum(list_transform(range(d), lambda l: ln(r - l / d * de)))), 4) AS loglik FROM r WHERE d > 0 GROUP BY o_orderpriority""")
+def cox_efron_loglik(spark, sf_dir):
+    rows = _survival(spark, sf_dir).withColumn("risk", F.col("risk") / 500000)
+    return metrics.cox_efron(rows, ["o_orderpriority"], "time", "event", "risk")
+
+
+@query()
+def bootstrap_auroc(spark, sf_dir):
+    return metrics.bootstrap_auroc(_scored(spark, sf_dir), ["target"], "doc_id")
+
+
+@query()
+def roc_on_grid(spark, sf_dir):
+    return metrics.on_grid(metrics.curve_points(_scored(spark, sf_dir), ["target"]), ["target"], "fpr", "tpr", 101)
+
+
 @query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN max(lang) END AS lang, CASE WHEN count(DISTINCT n_chars >= 0) = 1 THEN max(n_chars >= 0) END AS sized FROM documents GROUP BY source")
 def common_settings(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", "lang", (F.col("n_chars") >= 0).alias("sized"))
