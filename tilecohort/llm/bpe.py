@@ -236,8 +236,7 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORD
 def make_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
     """Compiles the frequent words of all texts with their ids; at most ``size`` words reach the driver."""
     vocab = vocabulary(vocab_path)
-    words = [bytes(r.word) for r in frequent_words(docs, text, size).collect()]
-    words = [w for w in words if len(w) <= 64]
+    words = [w for w in frequent_words(docs, text, size).toArrow()["word"].to_pylist() if len(w) <= 64]
     at, ids = vocab.encode([w.decode("utf-8") for w in words])
     return lexicon.build({w: ids[a:b].tolist() for w, a, b in zip(words, at, at[1:])})
 

@@ -172,8 +172,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + 20_000]), pa.array(both[seen[i : i + 20_000]])], names=["cell", "n"])
 
     both = np.zeros(n * (BUCKETS + len(SCRIPTS)))
-    for r in rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        both[r.cell] = r.n
+    summed = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    both[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     counts = both[: n * BUCKETS].reshape(n, BUCKETS).T
     scripts = both[n * BUCKETS :].reshape(n, len(SCRIPTS)).T
     logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS))
