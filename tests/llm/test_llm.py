@@ -343,6 +343,30 @@ def test_leaks_of_paraphrases(spark, docs):
     assert len(got & want) >= 0.9 * len(want) and len({d for d, _ in got - want}) <= 2
 
 
+def test_leaks_of_two_thousand_items(spark):
+    """2,000 items with every tenth word replaced in 250 words of other text: all that the checks alone accept are found."""
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text.split()) >= 200]
+    words = [w for t in texts for w in t]
+    rows, items = [], []
+    for n in range(2000):
+        at = (n * 7919) % (len(words) - 400)
+        item = words[at : at + 16 + n % 44]
+        host = words[(at + len(words) // 2) % (len(words) - 400) :][:250]
+        items.append((n, " ".join(item)))
+        rows.append((n, " ".join(host[:50] + [x if i % 10 != 7 else f"zz{i}" for i, x in enumerate(item)] + host[50:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    (index,) = leaks._indexes(docs, benchmark, "item_id", "text")
+    piece = {index.items.ids[o]: j for j, o in enumerate(index.items.owner.tolist())}
+    want = set()
+    for n, text in rows:
+        w, h, first, _ = leaks._split(pa.array([text]))
+        x = h[w.codes].tolist()
+        if any(index._check(x[32 * i : 32 * i + 96], piece[n]) for i in range(int(first[-1]))):
+            want.add((n, n))
+    assert len(want) > 1500 and want <= {(r.doc_id, r.item_id) for r in leaks.find(docs, benchmark).collect()}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
