@@ -288,6 +288,26 @@ def test_quality_keeps_good_documents(spark):
     assert np.mean([r.kept for r in got if good[r.doc_id] == 1]) > 0.95 and np.mean([r.kept for r in got if good[r.doc_id] == 0]) < 0.3
 
 
+def test_quality_counts_every_label(spark, monkeypatch):
+    """Counts and threshold of labels beyond the sample's size against plain sums over all of them."""
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{(i * k) % 23}" for k in range(1, 30)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    monkeypatch.setattr(quality, "SAMPLE", 5)
+    ratio, threshold = quality.ratios(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    n, trusted = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    each = [(np.bincount(quality.cells(pa.array([t]))[0], minlength=quality.BUCKETS), q) for _, t, q in rows]
+    for c, q in each:
+        n += c
+        trusted += c * q
+    assert np.allclose(ratio, quality.log_ratio(n, trusted, np.arange(quality.BUCKETS)))
+    score = {0: [], 1: []}
+    for c, q in each:
+        at = np.flatnonzero(c)
+        score[q].append((c[at] * quality.log_ratio(n, trusted, at, c[at] * q, c.sum() * q)).sum() / (c.sum() + quality.SHRINK))
+    low, high = np.quantile(score[1], quality.LOST), np.quantile(score[0], 1 - quality.SPARED)
+    assert threshold == pytest.approx(min(low - quality.MARGIN, (low + high) / 2))
+
+
 def test_gradient_of_attention():
     rng = np.random.default_rng(0)
     x, first, label = rng.normal(size=(9, mil.WIDTH)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])

@@ -1,10 +1,10 @@
 """Quality rules: surface counts, and a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Unigrams and bigrams of lower-cased words are hashed into BUCKETS cells. The raw
-multinomial counts every document; the trusted one counts a bounded sample of
-documents labelled good. A document's score is the sum of its cells' log ratios
+multinomial counts every document; the trusted one counts every document
+labelled good. A document's score is the sum of its cells' log ratios
 over its n-grams plus SHRINK, so short texts tend to 0. A document passes when
-its score is at least a threshold set once from the trusted sample.
+its score is at least a threshold set once from all labelled documents.
 """
 
 from __future__ import annotations
@@ -16,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
 from .words import binary_array, column, inside, per_text, raw, slices, split, windows, word_hashes
 
 BUCKETS = 1 << 16
-#: Labelled documents of each class that the trusted counts and the threshold are fitted on, at most.
+#: Labelled documents of each class in a sample, at most.
 SAMPLE = 4096
 SHRINK = 32.0
 #: Weight, in n-grams, of the raw distribution as the trusted one's prior.
 PRIOR = float(BUCKETS)
-#: The threshold lies MARGIN under the score that all but LOST of the trusted sample reach, or halfway
-#: from there to the score that all but SPARED of the sample labelled bad stay under, whichever is lower.
+#: The threshold lies MARGIN under the score that all but LOST of the trusted documents reach, or halfway
+#: from there to the score that all but SPARED of those labelled bad stay under, whichever is lower.
 LOST, MARGIN, SPARED = 0.002, 0.03, 0.02
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -42,42 +43,48 @@ def cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h >> shift, two[ok] >> shift]).astype(np.int64), np.concatenate([doc, doc[: len(two)][ok]])
 
 
+def labelled(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Each labelled id once with its quality; null or conflicting labels are left out."""
+    return labels.filter(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min("quality").alias("quality"), F.max("quality").alias("q2")).filter("quality = q2").select(doc_id, "quality")
+
+
 def sample_of(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """At most SAMPLE ids of each quality, the first by hash; null or conflicting labels are left out."""
-    clean = labels.filter(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min("quality").alias("quality"), F.max("quality").alias("q2")).filter("quality = q2").select(doc_id, "quality")
+    clean = labelled(labels, doc_id)
     order = F.xxhash64(F.lit("quality"), doc_id)
     good, bad = (clean.filter(F.col("quality") == q).orderBy(order, doc_id).limit(SAMPLE) for q in (1, 0))
     return good.unionByName(bad)
 
 
 def ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
-    """(log ratio of each cell, threshold). The driver gets BUCKETS sums and 2 * SAMPLE scores at most.
+    """(log ratio of each cell, threshold). The driver gets BUCKETS sums and two quantiles.
 
     With no trusted document the ratios are 0 and everything passes.
     """
-    chosen = F.broadcast(sample_of(labels, doc_id))  # 2 * SAMPLE ids at most
-    marked = docs.select(doc_id, text).join(chosen, doc_id, "left")
+    # the labels grow with the texts, so they are joined by a shuffle of both, once
+    marked = written(docs.select(doc_id, text).join(labelled(labels, doc_id).hint("merge"), doc_id).select(text, "quality"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for part in slices(batches, text):
-            cell, doc = cells(column(part, text))
-            trusted = column(part, "quality").fill_null(0).to_numpy(zero_copy_only=False) == 1
-            total[0] += np.bincount(cell, minlength=BUCKETS)
-            total[1] += np.bincount(cell[trusted[doc]], minlength=BUCKETS)
-        seen = np.flatnonzero(total[0])
+            total += np.bincount(cells(column(part, text))[0], minlength=BUCKETS)
+        seen = np.flatnonzero(total)
         for i in range(0, len(seen), 20_000):
             s = seen[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(total[0, s]), pa.array(total[1, s])], names=["cell", "n", "trusted"])
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(total[s])], names=["cell", "n"])
+
+    def summed(rows: DataFrame) -> np.ndarray:
+        got = rows.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(BUCKETS)
+        out[got["cell"].to_numpy()] = got["n"].to_numpy()
+        return out
 
-    sums = marked.select(text, "quality").mapInArrow(count, "cell long, n long, trusted long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
-    n, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    got = sums.toArrow()
-    n[got["cell"].to_numpy()], trusted[got["cell"].to_numpy()] = got["n"].to_numpy(), got["trusted"].to_numpy()
+    trusted = summed(marked.filter("quality = 1"))
     if not trusted.sum():
+        discard(marked)
         return np.zeros(BUCKETS), -np.inf
+    n = summed(docs)
     wide = docs.sparkSession.sparkContext.broadcast((n, trusted))
-    scored = docs.select(doc_id, text).join(chosen, doc_id).select(text, "quality")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
@@ -90,12 +97,13 @@ def ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             out = np.bincount(doc, weights=own * without, minlength=len(good)) / (size + SHRINK)
             yield pa.RecordBatch.from_arrays([pa.array(out), column(part, "quality")], names=["score", "quality"])
 
-    rows = scored.mapInArrow(score, "score double, quality int").collect()
-    good, bad = (np.array([r.score for r in rows if r.quality == q]) for q in (1, 0))
-    low = float(np.quantile(good, LOST))
+    scored = marked.mapInArrow(score, "score double, quality int")
+    of = lambda q, p: F.percentile(F.when(F.col("quality") == q, F.col("score")), F.lit(p))
+    low, high = scored.agg(of(1, LOST), of(0, 1 - SPARED)).first()
+    discard(marked)
     threshold = low - MARGIN
-    if len(bad):
-        threshold = min(threshold, (low + float(np.quantile(bad, 1 - SPARED))) / 2)
+    if high is not None:
+        threshold = min(threshold, (low + high) / 2)
     return log_ratio(n, trusted, np.arange(BUCKETS)), threshold
 
 
