@@ -153,6 +153,25 @@ def test_repeats_equal_brute_force(spark, awkward, empty, docs):
     assert substrings.remove_repeats(awkward).count() == len(AWKWARD) and substrings.remove_repeats(empty).count() == 0
 
 
+def test_segments_of_one_anchor_are_told_apart(spark):
+    """Two texts around one anchor whose segment hashes agree in their upper 32 bits have no repeat."""
+    rng = np.random.default_rng(1)
+    grams = [" ".join(f"a{x}" for x in row) for row in rng.integers(0, 1000, (2000, substrings.K))]
+    w = split(pa.array(grams))
+    low = grams[int(np.argmin(windows(word_hashes(w.vocab, seed=11)[w.codes], substrings.K, seed=12)[:: substrings.K]))]
+    texts = [" ".join([f"b{x}" for x in row[:4]] + [low] + [f"b{x}" for x in row[4:]]) for row in rng.integers(0, 5000, (250_000, 8)).tolist()]
+    w = split(pa.array(texts))
+    anchor, segment, first, _ = substrings.segments(word_hashes(w.vocab, seed=11)[w.codes], w.bounds)
+    each, n = np.unique(anchor, return_counts=True)
+    hot = np.flatnonzero(anchor == each[np.argmax(n)])
+    order = hot[np.argsort(segment[hot])]
+    half = segment[order] >> np.uint64(32)
+    pair = next(i for i in np.flatnonzero(half[1:] == half[:-1]) if segment[order[i]] != segment[order[i + 1]])
+    rows = [(k, texts[int(first[order[pair + k]]) // substrings.WINDOW]) for k in (0, 1)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert rows[0][1] != rows[1][1] and [r.n_removed for r in got] == [0, 0]
+
+
 def test_repeats_of_a_large_group(spark):
     base = [f"b{i}" for i in range(60)]
     rows = [(i, " ".join(base[: 20 + i % 30] + [f"own{i}"] + base[20 + i % 30 :] if i % 3 else base)) for i in range(300)]

@@ -29,7 +29,7 @@ from .words import column, inside, mix64, multipliers, slices, split, windows, w
 
 WINDOW = 13
 K = 5
-_FOUND = "h long, s int, doc long, pos long, n_words long, sha string"
+_FOUND = "h long, s long, doc long, pos long, n_words long, sha string"
 _SECOND = "doc long, w1 long, w2 int, pos long, n_words long, n_removed long, sha string, text string, cut array<long>"
 
 
@@ -79,10 +79,10 @@ def _anchors(docs: DataFrame) -> DataFrame:
             sha = [_kept_sha(view, w.starts[a:b], w.ends[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
             n, m = len(first), len(sha)
             none = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array((segment >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(doc)), pa.array((first - w.bounds[doc]) << 4 | count), none(n, pa.int64()), none(n, pa.string())], schema=_arrow)
-            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int32()), ids, none(m, pa.int64()), pa.array(np.diff(w.bounds)), pa.array(sha, pa.string())], schema=_arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), ids.take(pa.array(doc)), pa.array((first - w.bounds[doc]) << 4 | count), none(n, pa.int64()), none(n, pa.string())], schema=_arrow)
+            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int64()), ids, none(m, pa.int64()), pa.array(np.diff(w.bounds)), pa.array(sha, pa.string())], schema=_arrow)
 
-    _arrow = pa.schema([("h", pa.int64()), ("s", pa.int32()), ("doc", pa.int64()), ("pos", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
+    _arrow = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
     return docs.mapInArrow(run, _FOUND)
 
 
