@@ -51,8 +51,18 @@ def test_suppression_and_diversity(spark):
     assert [r.id for r in ranking.suppress(rows, ["slide"], 100.0, 3).orderBy("rank").collect()] == [0, 2, 3]
     kept = ranking.diversify(rows, ["slide"], [(0.0, 0.0)], 100.0, 60.0, 3, 5).orderBy("rank").collect()
     assert [r.id for r in kept] == [2, 3, 4]  # the last one fills up
-    attempted = spark.createDataFrame([(0, 10.0, 0.0)], "slide int, cx double, cy double")
+    attempted = spark.createDataFrame([(0, 0, -10, 20, 20)], "slide int, x int, y int, w int, h int")
     assert ranking.next_unattempted(rows, attempted, ["slide"], 100.0).first()["rank"] == 3
+    wide = spark.createDataFrame([(0, -400, -400, 820, 820)], "slide int, x int, y int, w int, h int")  # half a side is 410
+    assert ranking.next_unattempted(rows, wide, ["slide"], 100.0).collect() == []
+
+
+def test_suppression_goes_through_the_whole_order(spark):
+    """80 candidates close together come before 20 far apart: all ten places are filled."""
+    rows = spark.createDataFrame([(s, i, float(i) if i < 80 else 1000.0 * i, 0.0, i + 1) for s in (0, 1) for i in range(100)], "slide int, id int, cx double, cy double, rank int")
+    got = ranking.suppress(rows, ["slide"], 500.0, 10)
+    assert {s: [r.id for r in got.filter(F.col("slide") == s).orderBy("rank").collect()] for s in (0, 1)} == {s: [0, *range(80, 89)] for s in (0, 1)}
+    assert ranking.diversify(rows, ["slide"], [], 500.0, 0.0, 5, 10).count() == 20
 
 
 def test_distribution_tails():
@@ -136,7 +146,7 @@ def test_bootstrap_brackets_the_area(spark):
     rows = spark.createDataFrame([("t", i, int(i % 3 == 0), float(i % 3 == 0) + i % 7 / 5) for i in range(600)], "target string, id long, truth int, score double")
     area = metrics.auroc(rows, ["target"]).first().auroc
     got = metrics.bootstrap_auroc(rows, ["target"], "id").first()
-    assert got.samples == 200 and got.low < area < got.high and abs(got.median - area) < 0.01
+    assert got.samples == 1000 and got.low < area < got.high and abs(got.median - area) < 0.01
 
 
 def test_grid_is_linear(spark):

@@ -34,7 +34,7 @@ def edge_strength(grey: np.ndarray) -> float:
 
 
 def metrics(rgb: np.ndarray) -> dict[str, float]:
-    grey = rgb @ np.array([0.299, 0.587, 0.114])
+    grey = rgb[..., 0] * 0.299 + rgb[..., 1] * 0.587 + rgb[..., 2] * 0.114
     top, low = rgb.max(-1).astype(float), rgb.min(-1).astype(float)
     return {
         "tissue": float((grey < TISSUE_BELOW).mean()),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranged, running
+
 # Tokens that count as null, and status words.
-NA_TOKENS = ["", "NA", "N/A", "NaN", "nan", "na", "n/a", "None", "none", "NULL", "null", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "?"]
+NA_TOKENS = ["", "NA", "N/A", "NaN", "nan", "na", "n/a", "None", "none", "NULL", "null", "#N/A", "#NA", "=#VALUE!", "-NaN", "-nan", "<NA>", "?", "-", "--"]
 EVENT_WORDS = ["1", "event", "dead", "deceased", "yes", "y", "true"]
 CENSORED_WORDS = ["0", "alive", "censored", "no", "false"]
 
@@ -88,15 +90,21 @@ def one_hot(c: Column, categories: list[str]) -> Column:
 
 def stratified_folds(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     """Deals the rows of each stratum out to k folds in turn."""
-    return rows.withColumn("fold", ((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % k).cast("int"))
+    placed = running(ranged(rows, by, *order), by, list(order), _i=F.lit(1))
+    return placed.select(*rows.columns, F.pmod(F.col("_i") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
 def equidistant_bag(rows: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
-    """At most k rows of each bag: all, or those nearest k equal steps from first to last (half to even); ``slot`` numbers them."""
+    """At most k rows of each bag: all, or those nearest k equal steps from first to last (half to even); ``slot`` numbers them.
+
+    With k = 1 the first row of a longer bag stays.
+    """
+    if k < 1:
+        raise ValueError("a bag holds a row at least")
     w = Window.partitionBy(*by)
     placed = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
     # the slot that would pick a row: steps are (n - 1) / (k - 1) apart
-    step = (F.col("_n") - 1) / F.lit(float(k - 1))
+    step = (F.col("_n") - 1) / F.lit(float(k - 1)) if k > 1 else F.col("_n").cast("double")
     slot = F.explode(F.when(F.col("_n") <= k, F.array("_i")).otherwise(F.filter(F.sequence(F.greatest(F.floor((F.col("_i") - 1) / step), F.lit(0)), F.least(F.ceil((F.col("_i") + 1) / step), F.lit(k - 1))), lambda s: F.bround(s * step) == F.col("_i"))))
     return placed.select(*rows.columns, slot.alias("slot")).withColumn("slot", F.col("slot").cast("int"))
 
@@ -106,13 +114,9 @@ def chunks(rows: DataFrame, order: str, parts: int) -> DataFrame:
 
     Ranks come from partition counts after a range partitioning, so no task orders the whole table.
     """
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id())
-    counted = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counted.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    # a row a partition
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.col("_before")
-    return ranged.join(F.broadcast(before), "_p").withColumn("chunk", F.floor(place / F.ceil(F.col("_all") / F.lit(float(parts)))).cast("int")).drop("_p", "_before", "_all")
+    placed = running(ranged(rows, [], F.col(order)), [], [F.col(order)], _i=F.lit(1))
+    total = F.broadcast(rows.agg(F.count("*").alias("_all")))  # one row
+    return placed.crossJoin(total).select(*rows.columns, F.floor((F.col("_i") - 1) / F.ceil(F.col("_all") / F.lit(float(parts)))).cast("int").alias("chunk"))
 
 
 def ensemble_mean(rows: DataFrame, key: str, scores: str) -> DataFrame:

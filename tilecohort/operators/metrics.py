@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import chi2_p_value, t_interval_half, t_p_value
+from .ordered import PART, concordance, ranged, running, with_group
+
 POSITIVE, NEGATIVE, CALL_MORE = "positive", "negative", "call for more"
 
 
@@ -62,33 +65,34 @@ def metric_rows(summary: DataFrame, by: list[str] | None = None) -> DataFrame:
     return summary.select(*by, F.explode(pairs).alias("m")).select(*by, "m.metric", "m.value")
 
 
-def auroc(rows: DataFrame, by: list[str], truth: str = "truth", score: str = "score") -> DataFrame:
-    """Area under the ROC curve with ties counted half; null where a group has one class.
+def _by_score(rows: DataFrame, by: list[str], truth: str, score: str) -> DataFrame:
+    """Positives p and negatives n of each distinct score."""
+    return rows.groupBy(*by, score).agg(F.sum(truth).cast("double").alias("p"), F.sum(1 - F.col(truth)).cast("double").alias("n"))
 
-    Scores are grouped first, so the ordered window runs over distinct scores.
-    """
-    at = rows.groupBy(*by, score).agg(F.sum(truth).cast("double").alias("p"), F.sum(1 - F.col(truth)).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = at.withColumn("won", F.col("p") * (below + F.col("n") / 2))
-    return won.groupBy(*by).agg(F.round(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")), 6).alias("auroc"))
+
+def auroc(rows: DataFrame, by: list[str], truth: str = "truth", score: str = "score") -> DataFrame:
+    """Area under the ROC curve with ties counted half; null where a group has one class."""
+    order = [F.col(score)]
+    upto = running(ranged(_by_score(rows, by, truth, score), by, *order), by, order, upto=F.col("n"))
+    won = F.col("p") * (F.col("upto") - F.col("n") / 2)
+    return upto.groupBy(*by).agg(F.round(F.try_divide(F.sum(won), F.sum("p") * F.sum("n")), 6).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, by: list[str], truth: str = "truth", score: str = "score") -> DataFrame:
     """Sum of recall steps times precision, a point for each distinct score from the top."""
-    at = rows.groupBy(*by, score).agg(F.sum(truth).cast("double").alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    step = at.withColumn("x", F.col("p") * F.sum("p").over(down) / F.sum("n").over(down))
-    return step.groupBy(*by).agg(F.round(F.try_divide(F.sum("x"), F.sum("p")), 6).alias("average_precision"))
+    down = [F.desc(score)]
+    upto = running(ranged(_by_score(rows, by, truth, score), by, *down), by, down, tp=F.col("p"), fp=F.col("n"))
+    return upto.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("p")), 6).alias("average_precision"))
 
 
 def curve_points(rows: DataFrame, by: list[str], truth: str = "truth", score: str = "score") -> DataFrame:
     """Points of the ROC and precision-recall curves: a row for each distinct score, from the top."""
-    at = rows.groupBy(*by, score).agg(F.sum(truth).cast("double").alias("p"), F.sum(1 - F.col(truth)).cast("double").alias("n"))
-    all_ = Window.partitionBy(*by)
-    down = all_.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    tp, fp = F.sum("p").over(down), F.sum("n").over(down)
-    recall = F.try_divide(tp, F.sum("p").over(all_))
-    return at.select(*by, score, F.round(F.try_divide(fp, F.sum("n").over(all_)), 6).alias("fpr"), F.round(recall, 6).alias("tpr"), F.round(tp / (tp + fp), 6).alias("precision"))
+    down, at = [F.desc(score)], _by_score(rows, by, truth, score)
+    upto = running(ranged(at, by, *down), by, down, tp=F.col("p"), fp=F.col("n"))
+    sums = at.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    full = with_group(upto, sums, by)
+    tp, fp = F.col("tp"), F.col("fp")
+    return full.select(*by, score, F.round(F.try_divide(fp, F.col("all_n")), 6).alias("fpr"), F.round(F.try_divide(tp, F.col("all_p")), 6).alias("tpr"), F.round(tp / (tp + fp), 6).alias("precision"))
 
 
 def argmax_class(scores: Column, classes: Column) -> Column:
@@ -105,62 +109,78 @@ def f1_by_class(rows: DataFrame, by: list[str], classes: list[str], truth: str =
 
 
 def fold_mean_sem(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean and standard error over folds; the error of one fold is null."""
-    return rows.groupBy(*by).agg(F.count(value).alias("folds"), F.round(F.avg(value), 6).alias("mean"), F.round(F.when(F.count(value) > 1, F.stddev_samp(value) / F.sqrt(F.count(value))), 6).alias("sem"))
+    """Mean, standard error and 95 % t interval over folds; error and interval of one fold are null."""
+    n = F.count(value)
+    s = rows.groupBy(*by).agg(n.alias("folds"), F.avg(value).alias("mean"), F.when(n > 1, F.stddev_samp(value) / F.sqrt(n)).alias("sem"))
+    half = t_interval_half("sem", (F.col("folds") - 1).cast("double"))
+    return s.select(*by, "folds", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), F.round(F.col("mean") - half, 5).alias("low"), F.round(F.col("mean") + half, 5).alias("high"))
 
 
 def t_statistic(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """Student's two-sample t with equal variances between rows of group 1 and the others, and its degrees of freedom."""
+    """Student's two-sample t with equal variances between rows of group 1 and the others, its degrees of freedom and two-sided p.
+
+    t is null where a side is empty, both together have two rows or fewer, or nothing varies.
+    """
     one, other = F.when(F.col(group) == 1, F.col(value)), F.when(F.col(group) != 1, F.col(value))
-    s = rows.groupBy(*by).agg(F.count(one).alias("n1"), F.count(other).alias("n0"), F.avg(one).alias("m1"), F.avg(other).alias("m0"), F.var_samp(one).alias("v1"), F.var_samp(other).alias("v0"))
-    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2)
-    t = (F.col("m1") - F.col("m0")) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n0")))
-    return s.select(*by, (F.col("n1") + F.col("n0") - 2).alias("df"), F.round(t, 6).alias("t"))
+    s = rows.groupBy(*by).agg(F.count(one).alias("n1"), F.count(other).alias("n0"), F.avg(one).alias("m1"), F.avg(other).alias("m0"), F.var_pop(one).alias("v1"), F.var_pop(other).alias("v0"))
+    df = F.col("n1") + F.col("n0") - 2
+    pooled = F.when(df > 0, F.try_divide(F.col("n1") * F.col("v1") + F.col("n0") * F.col("v0"), df))
+    spread = F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n0"))))
+    placed = s.select(*by, df.alias("df"), F.try_divide(F.col("m1") - F.col("m0"), spread).alias("t"))
+    return placed.select(*by, "df", F.round("t", 6).alias("t"), t_p_value("t", F.col("df").cast("double")).alias("p"))
 
 
 def regression(rows: DataFrame, by: list[str], truth: str, predicted: str) -> DataFrame:
-    """R2, Pearson r (null where a side is constant), mean absolute and root mean squared error, count."""
+    """R2, Pearson r and its p (null where a side is constant), mean absolute and root mean squared error, count."""
     e = F.col(truth) - F.col(predicted)
     s = rows.groupBy(*by).agg(
-        F.count("*").alias("count"), F.sum(e * e).alias("sse"), F.regr_syy(truth, predicted).alias("sst"), F.regr_sxx(truth, predicted).alias("sxx"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.corr(truth, predicted).alias("r")
+        F.count("*").alias("count"), F.sum(e * e).alias("sse"), F.regr_syy(truth, predicted).alias("sst"), F.regr_sxx(truth, predicted).alias("sxx"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.regr_sxy(truth, predicted).alias("sxy")
     )
     flat = (F.col("sst") == 0) | (F.col("sxx") == 0)
-    return s.select(*by, "count", F.round(1 - F.try_divide(F.col("sse"), F.col("sst")), 6).alias("r2"), F.round(F.when(~flat, F.col("r")), 6).alias("pearson_r"), F.round("mae", 6).alias("mae"), F.round(F.sqrt("mse"), 6).alias("rmse"))
+    s = s.withColumn("r", F.try_divide(F.col("sxy"), F.sqrt(F.col("sst") * F.col("sxx"))))
+    df = F.when(F.col("count") > 2, (F.col("count") - 2).cast("double"))
+    t = F.when(~flat, F.try_divide(F.col("r") * F.sqrt(df), F.sqrt(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)))))
+    return s.select(*by, "count", F.round(1 - F.try_divide(F.col("sse"), F.col("sst")), 6).alias("r2"), F.round(F.when(~flat, F.col("r")), 6).alias("pearson_r"), t_p_value(t, df).alias("pearson_p"), F.round("mae", 6).alias("mae"), F.round(F.sqrt("mse"), 6).alias("rmse"))
 
 
 def ols(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
-    """Least-squares line of y on x and the standard error of its slope."""
-    s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
-    error = F.sqrt((F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("n") - 2) / F.col("sxx"))
-    return s.select(*by, "n", F.round("b", 6).alias("slope"), F.round("a", 4).alias("intercept"), F.round(error, 6).alias("stderr"))
+    """Least-squares line of y on x and the standard error of its slope; null where x doesn't vary, the error with two rows as well."""
+    s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.regr_avgx(y, x).alias("mx"), F.regr_avgy(y, x).alias("my"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
+    slope = F.try_divide(F.col("sxy"), F.col("sxx"))
+    error = F.sqrt(F.try_divide(F.try_divide(F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0)), F.when(F.col("n") > 2, F.col("n") - 2)), F.col("sxx")))
+    return s.select(*by, "n", F.round(slope, 6).alias("slope"), F.round(F.col("my") - slope * F.col("mx"), 4).alias("intercept"), F.round(error, 6).alias("stderr"))
 
 
 def at_risk(rows: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
-    """Deaths, censored and rows at risk at each distinct time of a group."""
+    """Deaths d, rows n and rows at risk at each distinct time of a group, with the time's range partition."""
     at = rows.groupBy(*by, time).agg(F.sum(event).alias("d"), F.count("*").alias("n"))
-    on = Window.partitionBy(*by).orderBy(time).rowsBetween(0, Window.unboundedFollowing)
-    return at.withColumn("risk", F.sum("n").over(on))
+    upto = running(ranged(at, by, F.col(time)), by, [F.col(time)], _c=F.col("n"))
+    sums = at.groupBy(*by).agg(F.sum("n").alias("_all"))
+    return with_group(upto, sums, by).select(PART, *by, time, "d", "n", (F.col("_all") - F.col("_c") + F.col("n")).alias("risk"))
 
 
 def kaplan_meier(rows: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
     """Survival after each distinct time; 0 from the time on when all at risk die."""
-    r = at_risk(rows, by, time, event)
-    upto = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    gone = F.max((F.col("d") == F.col("risk")).cast("int")).over(upto)
-    logs = F.sum(F.when(F.col("d") < F.col("risk"), F.log1p(-F.col("d") / F.col("risk"))).otherwise(0.0)).over(upto)
-    return r.select(*by, time, F.col("risk").alias("at_risk"), F.col("d").alias("events"), F.round(F.when(gone == 1, 0.0).otherwise(F.exp(logs)), 6).alias("survival"))
+    logs = F.when(F.col("d") < F.col("risk"), F.log1p(-F.col("d") / F.col("risk"))).otherwise(0.0)
+    r = running(at_risk(rows, by, time, event), by, [F.col(time)], gone=(F.col("d") == F.col("risk")).cast("int"), logs=logs)
+    return r.select(*by, time, F.col("risk").alias("at_risk"), F.col("d").alias("events"), F.round(F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("logs")), 6).alias("survival"))
 
 
-def logrank(rows: DataFrame, group: str, time: str, event: str) -> DataFrame:
-    """Two-group log-rank statistic (group is 0 or 1), one row; null where a group is empty."""
-    at = rows.groupBy(time).agg(F.sum(event).alias("d"), F.count("*").alias("n"), F.sum(F.col(event) * F.col(group)).alias("d1"), F.sum(group).alias("n1"))
-    # one row for each distinct time
-    on = Window.orderBy(time).rowsBetween(0, Window.unboundedFollowing)
-    r = at.select(time, "d", "d1", F.sum("n").over(on).alias("y"), F.sum("n1").over(on).alias("y1")).filter("d > 0")
+def logrank_by(rows: DataFrame, by: list[str], group: str, time: str, event: str) -> DataFrame:
+    """Two-group log-rank statistic (group is 0 or 1) and its p for each ``by``; null where a group is empty."""
+    at = rows.groupBy(*by, time).agg(F.sum(event).alias("d"), F.count("*").alias("n"), F.sum(F.col(event) * F.col(group)).alias("d1"), F.sum(group).alias("n1"))
+    down = [F.desc(time)]
+    r = running(ranged(at, by, *down), by, down, y=F.col("n"), y1=F.col("n1"))
     share = F.col("y1") / F.col("y")
-    var = F.when(F.col("y") > 1, F.col("d") * share * (1 - share) * (F.col("y") - F.col("d")) / (F.col("y") - 1)).otherwise(0.0)
-    s = r.agg(F.sum(F.col("d1") - F.col("d") * share).alias("o"), F.sum(var).alias("v"))
-    return s.select(F.round(F.try_divide(F.col("o") * F.col("o"), F.col("v")), 6).alias("chi2"))
+    var = F.when((F.col("y") > 1) & (F.col("d") > 0), F.col("d") * share * (1 - share) * (F.col("y") - F.col("d")) / (F.col("y") - 1)).otherwise(0.0)
+    s = r.groupBy(*by).agg(F.sum(F.col("d1") - F.col("d") * share).alias("o"), F.sum(var).alias("v"))
+    chi2 = s.select(*by, F.try_divide(F.col("o") * F.col("o"), F.col("v")).alias("x"))
+    return chi2.select(*by, F.round("x", 6).alias("chi2"), chi2_p_value("x").alias("p"))
+
+
+def logrank(rows: DataFrame, group: str, time: str, event: str) -> DataFrame:
+    """The log-rank test over all rows, one row."""
+    return logrank_by(rows, [], group, time, event)
 
 
 def comparable_pairs(rows: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
@@ -169,20 +189,23 @@ def comparable_pairs(rows: DataFrame, by: list[str], time: str, event: str) -> D
     return r.groupBy(*by).agg(F.sum(F.col("d") * (F.col("risk") - F.col("n"))).alias("pairs"))
 
 
-def c_index(rows: DataFrame, by: list[str], time: str, event: str, risk: str, key: str) -> DataFrame:
-    """Concordance of risk with earlier events over comparable pairs, ties of risk counted half; a pair join within groups."""
-    i, j = rows.select(*by, F.col(time).alias("ti"), F.col(risk).alias("ri"), F.col(event).alias("ei")).filter("ei = 1"), rows.select(*by, F.col(time).alias("tj"), F.col(risk).alias("rj"))
-    pairs = i.join(j, by).filter("ti < tj")
-    won = F.when(F.col("ri") > F.col("rj"), 1.0).when(F.col("ri") == F.col("rj"), 0.5).otherwise(0.0)
-    return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.round(F.avg(won), 6).alias("c_index"))
+def c_index(rows: DataFrame, by: list[str], time: str, event: str, risk: str) -> DataFrame:
+    """Concordance of risk with earlier events over comparable pairs, ties of risk counted half; no pairs are formed."""
+    found, pairs = concordance(rows, by, time, event, risk), comparable_pairs(rows, by, time, event)
+    return with_group(pairs, found, by, "left").select(*by, "pairs", F.round(F.try_divide(F.col("won") + F.col("tied") / 2, F.col("pairs")), 6).alias("c_index"))
+
+
+def _shifted(rows: DataFrame, by: list[str], risk: str) -> DataFrame:
+    """rows with z, the log risk less the group's largest."""
+    top = rows.groupBy(*by).agg(F.max(risk).alias("_top"))
+    return with_group(rows, top, by).withColumn("z", F.col(risk) - F.col("_top")).drop("_top")
 
 
 def cox_breslow(rows: DataFrame, by: list[str], time: str, event: str, risk: str) -> DataFrame:
     """Breslow partial log-likelihood with the log risk given, shifted by its maximum for stability."""
-    top = F.max(risk).over(Window.partitionBy(*by))
-    at = rows.withColumn("z", F.col(risk) - top).groupBy(*by, time).agg(F.sum(event).alias("d"), F.sum(F.exp("z")).alias("e"), F.sum(F.col(event) * F.col("z")).alias("s"))
-    on = Window.partitionBy(*by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    term = at.withColumn("l", F.col("s") - F.col("d") * F.log(F.sum("e").over(on)))
+    at = _shifted(rows, by, risk).groupBy(*by, time).agg(F.sum(event).alias("d"), F.sum(F.exp("z")).alias("e"), F.sum(F.col(event) * F.col("z")).alias("s"))
+    down = [F.desc(time)]
+    term = running(ranged(at, by, *down), by, down, r=F.col("e")).withColumn("l", F.col("s") - F.col("d") * F.log("r"))
     return term.groupBy(*by).agg(F.round(F.sum("l"), 4).alias("loglik"))
 
 
@@ -199,27 +222,26 @@ def shannon_entropy(rows: DataFrame, by: list[str], bin_: str) -> DataFrame:
 
 def cox_efron(rows: DataFrame, by: list[str], time: str, event: str, risk: str) -> DataFrame:
     """Efron's partial log-likelihood: of d deaths at one time the l-th sees the risk set less l / d of the dying."""
-    top = F.max(risk).over(Window.partitionBy(*by))
-    z = rows.withColumn("z", F.col(risk) - top)
+    z = _shifted(rows, by, risk)
     at = z.groupBy(*by, time).agg(F.sum(event).cast("int").alias("d"), F.sum(F.exp("z")).alias("e"), F.sum(F.col(event) * F.exp("z")).alias("de"), F.sum(F.col(event) * F.col("z")).alias("s"))
-    on = Window.partitionBy(*by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    placed = at.withColumn("r", F.sum("e").over(on)).filter("d > 0")
+    down = [F.desc(time)]
+    placed = running(ranged(at, by, *down), by, down, r=F.col("e")).filter("d > 0")
     logs = F.aggregate(F.sequence(F.lit(0), F.col("d") - 1), F.lit(0.0), lambda acc, l: acc + F.log(F.col("r") - l / F.col("d") * F.col("de")))
     return placed.withColumn("l", F.col("s") - logs).groupBy(*by).agg(F.round(F.sum("l"), 4).alias("loglik"))
 
 
 # The distribution function of a Poisson variable with mean 1.
-_POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
+POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
 
 
-def bootstrap_auroc(rows: DataFrame, by: list[str], key: str, truth: str = "truth", score: str = "score", samples: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_auroc(rows: DataFrame, by: list[str], key: str, truth: str = "truth", score: str = "score", samples: int = 1000, seed: int = 0) -> DataFrame:
     """Median and 95 % band of the AUROC over resamples, and how many had both classes.
 
     A row's multiplicity in a resample is a Poisson draw from a hash of its key, so resamples need no
     shuffle of their own and repeat exactly. The grouping key takes the resample in, so no task holds one whole.
     """
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "sample", key), F.lit(1 << 30)) / float(1 << 30)
-    times = sum((F.when(drawn >= p, 1).otherwise(0) for p in _POISSON), F.lit(0))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "sample", key).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    times = sum((F.when(drawn >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
     each = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("m", times).filter("m > 0")
     at = each.groupBy(*by, "sample", score).agg(F.sum(F.col(truth) * F.col("m")).cast("double").alias("p"), F.sum((1 - F.col(truth)) * F.col("m")).cast("double").alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "sample").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

@@ -1,13 +1,16 @@
 """Candidate ranking within a view: filters, combined score, hints and spatial selection.
 
 The score is column arithmetic over one window a slide. Only selections that
-depend on what was selected before run in pandas, a slide at a time, over the
-candidates that ranking has already cut to a bounded number.
+depend on what was selected before go through a slide's candidates in order in
+Python: sorted by Spark, streamed by Arrow batch, with what is taken as the only state.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,7 +55,6 @@ class Settings:
 
 
 DEFAULT = Settings()
-MAX_CANDIDATES = 72
 
 
 def in_view(x: Column, y: Column, box: tuple[int, int, int, int]) -> Column:
@@ -121,57 +123,125 @@ def two_pools(rows: DataFrame, by: list[str], cap: int, id_: str = "id") -> Data
     return top_k(numbered, by, cap, *rank_order(id_)).filter(F.col("_other") | (F.col("rank") == 1)).drop("_other")
 
 
+def separation(least: float, tile: Column | float, s: Settings = DEFAULT) -> Column:
+    """How far selected centres of tiles of a size must lie apart."""
+    return F.greatest(F.lit(float(least)), F.round(F.lit(s.separation_of_tile) * tile))
+
+
 def _far(x: float, y: float, taken: list[tuple[float, float]], square: float) -> bool:
     return all((x - a) ** 2 + (y - b) ** 2 >= square for a, b in taken)
 
 
-def suppress(rows: DataFrame, by: list[str], separation: float, k: int, order: str = "rank") -> DataFrame:
-    """Greedy spatial suppression in order: a candidate nearer than ``separation`` to a taken one is passed over.
+def _in_order(rows: DataFrame, by: list[str], order: list[Column], select: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """Rows of each group in order through ``select``, a generator over one group; a task holds one Arrow batch, not a group.
+
+    ``select`` gets rows as dicts one by one and yields those to keep; what it leaves of a group is skipped.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = (r for batch in batches for r in batch.to_dict("records"))
+        kept: list[dict] = []
+        for _, group in itertools.groupby(stream, key=lambda r: tuple(r[c] for c in by)):
+            kept += select(group)
+            if len(kept) >= 1000:
+                yield pd.DataFrame(kept, columns=names)
+                kept = []
+        yield pd.DataFrame(kept, columns=names)
+
+    names = rows.columns
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, rows.schema)
+
+
+def suppress(rows: DataFrame, by: list[str], apart: float, k: int, order: str = "rank") -> DataFrame:
+    """Greedy spatial suppression in order: a candidate nearer than ``apart`` to a taken one is passed over, until k are taken.
+
+    The whole order of a group is gone through; ranks are numbered anew.
+    """
 
-    At most MAX_CANDIDATES rows of a group enter, the first by order.
+    def select(group: Iterator[dict]) -> Iterator[dict]:
+        taken: list[tuple[float, float]] = []
+        for r in group:
+            if _far(r["cx"], r["cy"], taken, apart**2):
+                taken.append((r["cx"], r["cy"]))
+                yield r | {order: len(taken)}
+                if len(taken) >= k:
+                    return
+
+    return _in_order(rows, by, [F.col(order), F.col("id")], select)
+
+
+def diversify(rows: DataFrame, by: list[str], visited: list[tuple[float, float]], apart: float, visited_apart: float, least: int, k: int) -> DataFrame:
+    """Drops candidates near visited centres unless fewer than ``least`` stay, spaces the others out, then fills up to ``least``."""
+    near = [(F.col("cx") - x) ** 2 + (F.col("cy") - y) ** 2 < visited_apart**2 for x, y in visited]
+    free = ~reduce(lambda a, b: a | b, near) if near else F.lit(True)
+    counts = rows.groupBy(*by).agg(F.count_if(free).alias("_free"))
+    pool = rows.join(counts, by).filter((F.col("_free") < least) | free).select(*rows.columns)
+
+    def select(group: Iterator[dict]) -> Iterator[dict]:
+        taken: list[tuple[float, float]] = []
+        passed: list[dict] = []
+        for r in group:
+            if _far(r["cx"], r["cy"], taken, apart**2):
+                taken.append((r["cx"], r["cy"]))
+                yield r | {"rank": len(taken)}
+                if len(taken) >= k:
+                    return
+            elif len(passed) < least:
+                passed.append(r)
+        for n, r in enumerate(passed[: max(0, min(least, k) - len(taken))], len(taken) + 1):
+            yield r | {"rank": n}
+
+    return _in_order(pool, by, [F.col("rank"), F.col("id")], select)
+
+
+def next_unattempted(rows: DataFrame, attempted: DataFrame, by: list[str], apart: float) -> DataFrame:
+    """The lowest rank of each group whose centre is far enough from all attempted boxes (x, y, w, h) of that group.
+
+    A box keeps off what is nearer to its centre than ``apart`` or half its longer side.
     """
-    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order, "id"))).filter(F.col("_r") <= MAX_CANDIDATES).drop("_r")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, "id"])
-        taken, keep = [], []
-        for i, x, y in zip(group.index, group["cx"], group["cy"]):
-            if len(keep) < k and _far(x, y, taken, separation**2):
-                taken.append((x, y))
-                keep.append(i)
-        return group.loc[keep].assign(**{order: range(1, len(keep) + 1)})
-
-    return few.groupBy(*by).applyInPandas(run, few.schema)
-
-
-def diversify(rows: DataFrame, by: list[str], visited: list[tuple[float, float]], separation: float, visited_separation: float, least: int, k: int) -> DataFrame:
-    """Drops candidates near visited centres unless too few stay, spaces the others out, then fills up to ``least``."""
-    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("rank", "id"))).filter(F.col("_r") <= MAX_CANDIDATES).drop("_r")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "id"])
-        free = [i for i, x, y in zip(group.index, group["cx"], group["cy"]) if _far(x, y, visited, visited_separation**2)]
-        pool = group.loc[free] if len(free) >= least else group
-        taken, keep = [], []
-        for i, x, y in zip(pool.index, pool["cx"], pool["cy"]):
-            if len(keep) < k and _far(x, y, taken, separation**2):
-                taken.append((x, y))
-                keep.append(i)
-        for i in pool.index:
-            if len(keep) >= min(least, k):
-                break
-            if i not in keep:
-                keep.append(i)
-        return group.loc[keep].assign(rank=range(1, len(keep) + 1))
-
-    return few.groupBy(*by).applyInPandas(run, few.schema)
-
-
-def next_unattempted(rows: DataFrame, attempted: DataFrame, by: list[str], separation: float) -> DataFrame:
-    """The lowest rank of each group whose centre is at least ``separation`` from all attempted ones of that group."""
-    near = (F.col("cx") - F.col("ax")) ** 2 + (F.col("cy") - F.col("ay")) ** 2 < separation**2
-    tried = attempted.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-    same = near
+    side = F.greatest(F.col("w"), F.col("h"), F.lit(1))
+    middle = lambda c, s: F.col(c) + F.floor(F.greatest(F.col(s), F.lit(1)) / 2)
+    tried = attempted.select(*[F.col(c).alias(f"_{c}") for c in by], middle("x", "w").alias("ax"), middle("y", "h").alias("ay"), F.greatest(F.lit(float(apart)), side * 0.5).alias("radius"))
+    near = (F.col("cx") - F.col("ax")) ** 2 + (F.col("cy") - F.col("ay")) ** 2 < F.col("radius") ** 2
     for c in by:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    return rows.join(tried, same, "left_anti").groupBy(*by).agg(F.min("rank").alias("rank"))
+        near = near & (F.col(c) == F.col(f"_{c}"))
+    return rows.join(tried, near, "left_anti").groupBy(*by).agg(F.min("rank").alias("rank"))
+
+
+def inside_any(x: Column, y: Column, boxes: Column) -> Column:
+    """Whether a point lies in any box of an array of (x, y, w, h), borders included."""
+    return F.coalesce(F.exists(boxes, lambda b: x.between(b["x"], b["x"] + b["w"]) & y.between(b["y"], b["y"] + b["h"])), F.lit(False))
+
+
+def masked(rows: DataFrame, by: list[str], mask: str) -> DataFrame:
+    """Keeps rows whose mask is set, in groups where any is; other groups stay whole."""
+    return rows.withColumn("_any", F.bool_or(mask).over(Window.partitionBy(*by))).filter(~F.coalesce("_any", F.lit(False)) | F.col(mask)).drop("_any")
+
+
+def evidence(near: DataFrame, references: DataFrame, by: list[str], most: int = 3) -> DataFrame:
+    """(by, id, class, refs): up to ``most`` nearest references of each class with similarity and rank, the nearest first.
+
+    ``near`` has (id, ref, sim); ``references`` (ref, class). A tile without a reference of a class has no row for it.
+    """
+    full = near.join(references, "ref")
+    ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "id", "class").orderBy(F.desc("sim"), "ref"))).filter(F.col("rank") <= most)
+    return ranked.groupBy(*by, "id", "class").agg(F.array_sort(F.collect_list(F.struct("rank", "ref", "sim"))).alias("refs"))
+
+
+def nominated(near: DataFrame, most: int) -> DataFrame:
+    """The inverted index of references' nearest tiles (ref, tile, sim): (tile, n, refs), refs the ``most`` nearest of a tile with similarity."""
+    order = Window.partitionBy("tile").orderBy(F.desc("sim"), "ref")
+    ranked = near.withColumn("rank", F.row_number().over(order))
+    kept = F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "ref", "sim")))
+    return ranked.groupBy("tile").agg(F.count("*").alias("n"), F.array_sort(kept).alias("refs"))
+
+
+def view_box(cx: Column, cy: Column, tile: Column, view: tuple[int, int, int, int], least: int = 10) -> Column:
+    """(x, y, x0, y0, x1, y1) of a tile in a view (x, y, w, h) scaled to 0..999; half a box is ``least`` wide at least."""
+    vx, vy, vw, vh = view
+    clamp = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(999)).cast("int")
+    scale = lambda v, origin, size: clamp(F.bround((v - origin) / float(max(1, size)) * 999))
+    x, y = scale(cx, vx, vw), scale(cy, vy, vh)
+    half = lambda size: F.greatest(F.bround(tile / 2.0 / float(max(1, size)) * 999), F.lit(least)).cast("int")
+    hx, hy = half(vw), half(vh)
+    return F.struct(x.alias("x"), y.alias("y"), clamp(x - hx).alias("x0"), clamp(y - hy).alias("y0"), clamp(x + hx).alias("x1"), clamp(y + hy).alias("y1"))

@@ -1,8 +1,8 @@
 """Vector operators: normalisation, exact nearest references, novelty, centroid distance.
 
 Vectors are ``array<float>`` columns and arithmetic is in double. The nearest-reference
-search multiplies Arrow batches by blocks of at most BLOCK reference vectors, so what
-is broadcast at once has a fixed bound and partial results merge by a window.
+search multiplies Arrow batches by blocks of about BLOCK reference vectors: broadcast
+if there is one, else dealt out in the cluster; partial results merge by a window.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Reference vectors broadcast at once.
+#: Vectors of a block; so many references are broadcast at most.
 BLOCK = 4096
 LEAST_NORM = 1e-12
 TOP_K, LOGIT_SCALE, NOVELTY_K = 7, 3.0, 20
@@ -45,42 +46,75 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1)), LEAST_NORM)[:, None] if n else m
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, id_: str = "id", vector: str = "vector", *, skip_self: bool = False) -> DataFrame:
-    """The k references most alike by cosine: (id, ref, sim, rank), ties to the smaller reference.
+def _best(q: np.ndarray, ids: np.ndarray, refs: pa.Array | np.ndarray, vectors: pa.Array, k: int, skip_self: bool) -> pa.Table:
+    """(id, ref, sim) of the k references of a block that are most like each query."""
+    order = np.argsort(ids, kind="stable")
+    ids, r = ids[order], refs[order]
+    sim = np.round(_matrix(vectors) @ r.T, 12)
+    if skip_self:
+        sim[q[:, None] == ids[None, :]] = -np.inf
+    m = min(k, len(ids))
+    best = np.argsort(-sim, axis=1, kind="stable")[:, :m]
+    score = np.take_along_axis(sim, best, 1)
+    keep = np.isfinite(score).ravel()
+    return pa.table({"id": pa.array(np.repeat(q, m)[keep]), "ref": pa.array(ids[best].ravel()[keep]), "sim": pa.array(score.ravel()[keep])})
 
-    Rows with a null vector are left out on both sides.
+
+def nearest(queries: DataFrame, references: DataFrame, k: int, id_: str = "id", vector: str = "vector", *, by: list[str] | None = None, skip_self: bool = False) -> DataFrame:
+    """The k references most alike by cosine: (by, id, ref, sim, rank), ties to the smaller reference.
+
+    With ``by``, references of the same group (a slide) count. Rows with a null vector are left out on both sides.
+    Up to BLOCK references without groups are broadcast. Beyond that both sides are dealt into blocks of about
+    BLOCK rows, every pair of a query and a reference block of a group is one task's product, and the best of the
+    blocks are merged; the work is the product's own, and no block passes through the driver.
     """
-    queries, references = queries.filter(F.col(vector).isNotNull()), references.filter(F.col(vector).isNotNull())
-    spark = queries.sparkSession
-    blocks = max(1, -(-references.count() // (BLOCK // 2)))
-    placed = references.select(F.col(id_).alias("ref"), F.col(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("ref"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        rows = placed.filter(F.col("b") == b).orderBy("ref").collect()  # half a BLOCK on average
-        held = spark.sparkContext.broadcast(([r.ref for r in rows], _matrix(pa.array([list(r.v) for r in rows]))))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    by = by or []
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    fresh = [F.col(c).alias(c) for c in by]  # the two sides may be one table
+    queries = queries.filter(F.col(vector).isNotNull()).select(*fresh, F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
+    references = references.filter(F.col(vector).isNotNull()).select(*fresh, F.col(id_).cast("long").alias("ref"), F.col(vector).alias("v"))
+    rows = references.limit(BLOCK + 1).collect() if not by else []
+    if not by and len(rows) <= BLOCK:
+        held = queries.sparkSession.sparkContext.broadcast((np.array([r.ref for r in rows], np.int64), _matrix(pa.array([list(r.v) for r in rows]))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, refs = held.value
-            ids = np.array(ids)
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                q = batch.column(0).to_numpy(zero_copy_only=False)
-                sim = np.round(_matrix(batch.column(1)) @ refs.T, 12)
-                if skip_self:
-                    sim[q[:, None] == ids[None, :]] = -np.inf
-                m = min(k, len(ids))
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :m]
-                best = np.take_along_axis(sim, order, 1)
-                keep = np.isfinite(best).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, m)[keep]), pa.array(ids[order].ravel()[keep]), pa.array(best.ravel()[keep])], names=["id", "ref", "sim"])
-
-        part = queries.select(id_, vector).mapInArrow(run, "id long, ref long, sim double")
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "ref"))
+                if batch.num_rows and len(ids):
+                    yield from _best(batch.column(0).to_numpy(zero_copy_only=False), ids, refs, batch.column(1), k, skip_self).to_batches()
+
+        found = queries.mapInArrow(run, "id long, ref long, sim double")
+    else:
+        found = _in_blocks(queries, references, k, by, skip_self, kinds)
+    rank = F.row_number().over(Window.partitionBy(*by, "id").orderBy(F.desc("sim"), "ref"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _in_blocks(queries: DataFrame, references: DataFrame, k: int, by: list[str], skip_self: bool, kinds: dict[str, str]) -> DataFrame:
+    """Each query's k best of each reference block of its group."""
+    blocks = lambda rows, to: rows.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(to))
+    sizes = blocks(queries, "_c")
+    sizes = sizes.join(blocks(references, "_b"), by) if by else sizes.crossJoin(blocks(references, "_b"))  # without groups one row each
+    place = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = lambda rows: rows.join(sizes, by) if by else rows.crossJoin(F.broadcast(sizes))
+    keys = [*by, "c", "b"]
+    own = [F.col(c).alias(c) for c in by]
+    q = sized(queries).select(*own, place("id", "_c").alias("c"), every("_b").alias("b"), "id", "v")
+    r = sized(references).select(*own, every("_c").alias("c"), place("ref", "_b").alias("b"), "ref", "v")
+
+    def product(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in types})
+        got = _best(left["id"].to_numpy(), right["ref"].to_numpy(), _matrix(right["v"].combine_chunks()), left["v"].combine_chunks(), k, skip_self)
+        for i, c in enumerate(by):
+            got = got.add_column(i, c, pa.array([key[i].as_py()] * got.num_rows, dict(types)[c]))
+        return got
+
+    types = [*((c, to_arrow_type(queries.schema[c].dataType)) for c in by), ("id", pa.int64()), ("ref", pa.int64()), ("sim", pa.float64())]
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(product, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "id long", "ref long", "sim double"]))
+
+
 def reference_scores(tiles: DataFrame, references: DataFrame, k: int = TOP_K, id_: str = "id", vector: str = "vector", good: str = "good", aggregation: str = "mean") -> DataFrame:
     """Margin and bad likelihood of each tile from its k nearest good and bad references.
 
@@ -98,15 +132,15 @@ def reference_scores(tiles: DataFrame, references: DataFrame, k: int = TOP_K, id
     return both.withColumn("margin", F.round(margin, 6)).withColumn("bad_likelihood", F.round(sigmoid(-LOGIT_SCALE * F.col("margin")), 6))
 
 
-def novelty(tiles: DataFrame, k: int = NOVELTY_K, id_: str = "id", vector: str = "vector") -> DataFrame:
-    """Mean cosine distance to the k nearest other tiles."""
-    return nearest(tiles, tiles, k, id_, vector, skip_self=True).groupBy("id").agg(F.round(F.avg(1 - F.col("sim")), 6).alias("novelty"))
+def novelty(tiles: DataFrame, k: int = NOVELTY_K, id_: str = "id", vector: str = "vector", *, slide: str) -> DataFrame:
+    """Mean cosine distance of each tile to the k nearest other tiles of its slide."""
+    return nearest(tiles, tiles, k, id_, vector, by=[slide], skip_self=True).groupBy(slide, "id").agg(F.round(F.avg(1 - F.col("sim")), 6).alias("novelty"))
 
 
-def centroid_distance(tiles: DataFrame, id_: str = "id", vector: str = "vector") -> DataFrame:
-    """Cosine distance of each tile to the renormalised mean of all normalised tiles."""
-    unit = tiles.select(F.col(id_).alias("id"), normalized(F.col(vector)).alias("u"))
-    mean = unit.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("x"))
-    # one row: the mean vector
-    center = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("c")).select(normalized(F.col("c")).alias("c"))
-    return unit.join(F.broadcast(center)).select("id", F.round(1 - dot(F.col("u"), F.col("c")), 6).alias("centroid_distance"))
+def centroid_distance(tiles: DataFrame, id_: str = "id", vector: str = "vector", *, slide: str) -> DataFrame:
+    """Cosine distance of each tile to the renormalised mean of all normalised tiles of its slide."""
+    unit = tiles.select(slide, F.col(id_).alias("id"), normalized(F.col(vector)).alias("u"))
+    mean = unit.select(slide, F.posexplode("u").alias("p", "x")).groupBy(slide, "p").agg(F.avg("x").alias("x"))
+    # a vector's length rows for each slide
+    center = mean.groupBy(slide).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("c")).select(slide, normalized(F.col("c")).alias("c"))
+    return unit.join(center, slide).select(slide, "id", F.round(1 - dot(F.col("u"), F.col("c")), 6).alias("centroid_distance"))

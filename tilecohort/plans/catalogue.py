@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
 from ..operators import assembly, metrics, ranking, scaling, steps, tiling, vectors
+from ..operators.ordered import quantiles
+from ..operators.scratch import new_path
 from ..streaming import steps as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,23 @@ def query(sql: str | None = None):
     return put
 
 
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t as SQL: one less twice the density's integral up to |t|, by Simpson's rule."""
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(4001), lambda i: {weight} * pow(1 + pow(least(abs({t}), 60.0) * i / 4000, 2) / ({df}), -(({df}) + 1) / 2.0))) * least(abs({t}), 60.0) / 12000"
+    return f"CASE WHEN {t} IS NOT NULL THEN greatest(1 - 2 * {area} * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()), 0) END"
+
+
+def chi2_p_sql(x: str) -> str:
+    """Upper tail of chi-square with 1 degree of freedom as SQL."""
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest(1 - 2 * list_sum(list_transform(range(4001), lambda i: {weight} * exp(-{x} * i * i / 4000.0 / 4000.0 / 2))) * sqrt({x}) / 12000 / sqrt(2 * pi()), 0) END"
+
+
+#: Half of a 95 % t interval in standard errors for a column ``folds`` from 1 to 5; one fold has none.
+T_SQL = "[NULL, 12.706204736432095, 4.302652729911275, 3.182446305284263, 2.7764451051977987][folds]"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,7 +126,7 @@ def average_precision_by_fold(spark, sf_dir):
     return metrics.average_precision(_scored(spark, sf_dir), ["target", "fold"])
 
 
-@query(_SCORED + _AUROC + "SELECT target, count(auroc) AS folds, round(avg(auroc), 6) AS mean, round(CASE WHEN count(auroc) > 1 THEN stddev_samp(auroc) / sqrt(count(auroc)) END, 6) AS sem FROM r GROUP BY target")
+@query(_SCORED + _AUROC + f", m AS (SELECT target, count(auroc) AS folds, avg(auroc) AS m, stddev_samp(auroc) / sqrt(count(auroc)) AS s FROM r GROUP BY target) SELECT target, folds, round(m, 6) AS mean, round(s, 6) AS sem, round(m - {T_SQL} * s, 5) AS low, round(m + {T_SQL} * s, 5) AS high FROM m")
 def fold_mean_sem(spark, sf_dir):
     return metrics.fold_mean_sem(metrics.auroc(_scored(spark, sf_dir), ["target", "fold"]), ["target"], "auroc")
 
@@ -130,9 +149,10 @@ def pr_points(spark, sf_dir):
 
 @query(_SCORED + """, s AS (SELECT target, count(*) FILTER (truth = 1) AS n1, count(*) FILTER (truth <> 1) AS n0, avg(score) FILTER (truth = 1) AS m1, avg(score) FILTER (truth <> 1) AS m0,
     var_samp(score) FILTER (truth = 1) AS v1, var_samp(score) FILTER (truth <> 1) AS v0 FROM x GROUP BY target)
-SELECT target, n1 + n0 - 2 AS df, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0)), 6) AS t FROM s""")
+, t AS (SELECT target, n1 + n0 - 2 AS df, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0)) AS t FROM s)
+SELECT target, df, round(t, 6) AS t, round(""" + t_p_sql("t", "df") + """, 5) AS p FROM t""")
 def ttest_statistic(spark, sf_dir):
-    return metrics.t_statistic(_scored(spark, sf_dir), ["target"], "truth", "score")
+    return metrics.t_statistic(_scored(spark, sf_dir), ["target"], "truth", "score").withColumn("p", F.round("p", 5))
 
 
 _LANGS = ["de", "en", "es", "fr"]
@@ -153,7 +173,7 @@ def f1_argmax_by_class(spark, sf_dir):
 SELECT l_returnflag, count(*) AS "count", round(1 - sum((y - x) * (y - x)) / nullif(regr_syy(y, x), 0), 6) AS r2, round(corr(y, x), 6) AS pearson_r, round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) * (y - x))), 6) AS rmse FROM r GROUP BY l_returnflag""")
 def regression_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("x"))
-    return metrics.regression(rows, ["l_returnflag"], "y", "x")
+    return metrics.regression(rows, ["l_returnflag"], "y", "x").drop("pearson_p")
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
@@ -164,7 +184,8 @@ def ols_line(spark, sf_dir):
 
 def _survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    start = orders.agg(F.min("o_orderdate").alias("d0"), F.percentile("o_totalprice", 0.5).alias("median"))
+    # one row: the first day and the median risk
+    start = orders.agg(F.min("o_orderdate").alias("d0")).crossJoin(quantiles(orders, [], "o_totalprice", median=0.5))
     days = F.datediff("o_orderdate", "d0")
     return orders.join(F.broadcast(start)).select("o_orderkey", "o_custkey", "o_orderpriority", days.alias("time"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), F.col("o_totalprice").alias("risk"), (F.col("o_totalprice") > F.col("median")).cast("int").alias("high"))
 
@@ -181,9 +202,9 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY time ROWS BET
 @query(_SURVIVAL + """, t AS (SELECT time, sum(event) AS d, count(*) AS n, sum(event * high) AS d1, sum(high) AS n1 FROM x GROUP BY time),
 r AS (SELECT d, d1, sum(n) OVER w AS y, sum(n1) OVER w AS y1 FROM t WINDOW w AS (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 s AS (SELECT sum(d1 - d * (y1 / y)) AS o, sum(CASE WHEN y > 1 THEN d * (y1 / y) * (1 - y1 / y) * (y - d) / (y - 1) ELSE 0 END) AS v FROM r WHERE d > 0)
-SELECT round(o * o / nullif(v, 0), 6) AS chi2 FROM s""")
+SELECT round(o * o / nullif(v, 0), 6) AS chi2, round(""" + chi2_p_sql("(o * o / nullif(v, 0))") + """, 5) AS p FROM s""")
 def logrank_statistic(spark, sf_dir):
-    return metrics.logrank(_survival(spark, sf_dir), "high", "time", "event")
+    return metrics.logrank(_survival(spark, sf_dir), "high", "time", "event").withColumn("p", F.round("p", 5))
 
 
 @query(_SURVIVAL + _AT_RISK + """, k AS (SELECT *, max((d = y)::INTEGER) OVER w AS gone, sum(CASE WHEN d < y THEN ln(1 - d / y) ELSE 0 END) OVER w AS l FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY time ROWS UNBOUNDED PRECEDING))
@@ -197,10 +218,10 @@ def comparable_pairs(spark, sf_dir):
     return metrics.comparable_pairs(_survival(spark, sf_dir), ["o_orderpriority"], "time", "event")
 
 
-@query(_SURVIVAL + """SELECT a.o_custkey, count(*) AS pairs, round(avg(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END), 6) AS c_index
-FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.time < b.time WHERE a.event = 1 GROUP BY a.o_custkey""")
+@query(_SURVIVAL + """SELECT a.o_orderpriority, count(*) AS pairs, round(avg(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END), 6) AS c_index
+FROM x a JOIN x b ON a.o_orderpriority = b.o_orderpriority AND a.time < b.time WHERE a.event = 1 GROUP BY a.o_orderpriority""")
 def c_index(spark, sf_dir):
-    return metrics.c_index(_survival(spark, sf_dir), ["o_custkey"], "time", "event", "risk", "o_orderkey")
+    return metrics.c_index(_survival(spark, sf_dir), ["o_orderpriority"], "time", "event", "risk")
 
 
 @query(_SURVIVAL + """, z AS (SELECT o_orderpriority, time, event, risk / 500000 - max(risk / 500000) OVER (PARTITION BY o_orderpriority) AS z FROM x),
@@ -221,14 +242,24 @@ def cox_efron_loglik(spark, sf_dir):
     return metrics.cox_efron(rows, ["o_orderpriority"], "time", "event", "risk")
 
 
-@query()
+_DRAWS = " + ".join(f"(u >= {p})::INTEGER" for p in metrics.POISSON)
+
+
+@query(_SCORED + f""", b AS (SELECT target, score, truth, s, ('0x' || substr(md5('0:' || s || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM x, (SELECT unnest(range(1, 1001)) AS s)),
+w AS (SELECT target, score, truth, s, {_DRAWS} AS m FROM b), gw AS (SELECT target, s, score, sum(truth * m)::DOUBLE AS p, sum((1 - truth) * m)::DOUBLE AS n FROM w WHERE m > 0 GROUP BY ALL),
+aw AS (SELECT target, s, p, n, p * (coalesce(sum(n) OVER (PARTITION BY target, s ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS won FROM gw),
+rw AS (SELECT target, s, sum(won) / nullif(sum(p) * sum(n), 0) AS a FROM aw GROUP BY target, s)
+SELECT target, count(a) AS samples, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.5), 6) AS median, round(quantile_cont(a, 0.975), 6) AS high FROM rw GROUP BY target""")
 def bootstrap_auroc(spark, sf_dir):
     return metrics.bootstrap_auroc(_scored(spark, sf_dir), ["target"], "doc_id")
 
 
-@query()
+@query(_SCORED + _CURVE + """, q AS (SELECT target, fpr AS x, max(tpr) AS y FROM (SELECT target, round(fp / nullif(an, 0), 6) AS fpr, round(tp / nullif(ap, 0), 6) AS tpr FROM d) GROUP BY ALL),
+e AS (SELECT target, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS i FROM q WINDOW w AS (PARTITION BY target ORDER BY x)),
+s AS (SELECT unnest(range(1000)) AS step), h AS (SELECT e.*, step, step / 999.0::DOUBLE AS g FROM e JOIN s ON (step / 999.0::DOUBLE >= x OR i = 1) AND (x1 IS NULL OR step / 999.0::DOUBLE < x1))
+SELECT target, step::INTEGER AS step, round(CASE WHEN x1 IS NULL OR g <= x THEN y ELSE y + (y1 - y) * (g - x) / (x1 - x) END, 6) AS tpr FROM h""")
 def roc_on_grid(spark, sf_dir):
-    return metrics.on_grid(metrics.curve_points(_scored(spark, sf_dir), ["target"]), ["target"], "fpr", "tpr", 101)
+    return metrics.on_grid(metrics.curve_points(_scored(spark, sf_dir), ["target"]), ["target"], "fpr", "tpr", 1000)
 
 
 @query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN max(lang) END AS lang, CASE WHEN count(DISTINCT n_chars >= 0) = 1 THEN max(n_chars >= 0) END AS sized FROM documents GROUP BY source")
@@ -266,10 +297,10 @@ t AS (SELECT *, round(1 / (1 + exp(-least(greatest(-3 * margin, -30), 30))), 6)
 """
 
 
-@query(_UNIT + "SELECT id, round(list_sum(list_transform(u, lambda a: a * a)), 6) AS square, round(u[1], 6) AS first_value FROM u")
+@query(_UNIT + "SELECT id, unnest(range(len(u)))::INTEGER AS position, round(unnest(u), 6) AS value FROM u")
 def l2_normalize(spark, sf_dir):
     unit = _tiles(spark, sf_dir).select("id", vectors.normalized(F.col("vector")).alias("u"))
-    return unit.select("id", F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("square"), F.round(F.element_at("u", 1), 6).alias("first_value"))
+    return unit.select("id", F.posexplode("u").alias("position", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(_UNIT + """, s AS (SELECT q.id, r.id AS ref, round(list_dot_product(q.u, r.u), 12) AS sim FROM u q, u r WHERE r.id % 10 = 0),
@@ -285,34 +316,39 @@ def ref_margin_likelihood(spark, sf_dir):
     return vectors.reference_scores(tiles, _references(tiles))
 
 
-_NOVELTY = """, ns AS (SELECT q.id, r.id AS ref, round(list_dot_product(q.u, r.u), 12) AS sim FROM u q, u r WHERE r.id <> q.id),
+_NOVELTY = """, su AS (SELECT *, id // 250 AS slide FROM u), ns AS (SELECT q.slide, q.id, r.id AS ref, round(list_dot_product(q.u, r.u), 12) AS sim FROM su q JOIN su r ON q.slide = r.slide WHERE r.id <> q.id),
 nk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, ref) AS rn FROM ns),
-nv AS (SELECT id, round(avg(1 - sim), 6) AS novelty FROM nk WHERE rn <= 20 GROUP BY id),
-ps AS (SELECT p, avg(u[p]) AS x FROM u, (SELECT unnest(range(1, 65)) AS p) GROUP BY p),
-c0 AS (SELECT list(x ORDER BY p) AS c FROM ps), c AS (SELECT list_transform(c, lambda a: a / greatest(sqrt(list_dot_product(c, c)), 1e-12)) AS c FROM c0),
-cd AS (SELECT id, round(1 - list_dot_product(u, c), 6) AS centroid_distance FROM u, c)
+nv AS (SELECT slide, id, round(avg(1 - sim), 6) AS novelty FROM nk WHERE rn <= 20 GROUP BY slide, id),
+ps AS (SELECT slide, p, avg(u[p]) AS x FROM su, (SELECT unnest(range(1, 65)) AS p) GROUP BY slide, p),
+c0 AS (SELECT slide, list(x ORDER BY p) AS c FROM ps GROUP BY slide), c AS (SELECT slide, list_transform(c, lambda a: a / greatest(sqrt(list_dot_product(c, c)), 1e-12)) AS c FROM c0),
+cd AS (SELECT su.slide, id, round(1 - list_dot_product(u, c), 6) AS centroid_distance FROM su JOIN c ON su.slide = c.slide)
 """
 
 
+def _slide_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles, 250 to a slide."""
+    return _tiles(spark, sf_dir).withColumn("slide", F.floor(F.col("id") / 250))
+
+
+
 @query(_UNIT + _NOVELTY + "SELECT * FROM nv")
 def novelty_knn(spark, sf_dir):
-    return vectors.novelty(_tiles(spark, sf_dir))
+    return vectors.novelty(_slide_tiles(spark, sf_dir), slide="slide")
 
 
 @query(_UNIT + _NOVELTY + "SELECT * FROM cd")
 def centroid_distance(spark, sf_dir):
-    return vectors.centroid_distance(_tiles(spark, sf_dir))
+    return vectors.centroid_distance(_slide_tiles(spark, sf_dir), slide="slide")
 
 
-@query(_UNIT + _NOVELTY + """SELECT nv.id, novelty, centroid_distance, round(0.55 * (novelty - avg(novelty) OVER ()) / stddev_pop(novelty) OVER () + 0.40 * (centroid_distance - avg(centroid_distance) OVER ()) / stddev_pop(centroid_distance) OVER (), 4) AS score
-FROM nv JOIN cd ON nv.id = cd.id""")
+@query(_UNIT + _NOVELTY + """SELECT nv.slide, nv.id, novelty, centroid_distance, round(0.55 * (novelty - avg(novelty) OVER w) / stddev_pop(novelty) OVER w + 0.40 * (centroid_distance - avg(centroid_distance) OVER w) / stddev_pop(centroid_distance) OVER w, 4) AS score
+FROM nv JOIN cd ON nv.id = cd.id WINDOW w AS (PARTITION BY nv.slide)""")
 def generic_rank(spark, sf_dir):
-    tiles = _tiles(spark, sf_dir)
-    both = vectors.novelty(tiles).join(vectors.centroid_distance(tiles), "id")
-    # one slide: the moments are a one-row table
-    m = both.agg(*[f(c).alias(f"{n}_{c}") for c in ("novelty", "centroid_distance") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    tiles = _slide_tiles(spark, sf_dir)
+    both = vectors.novelty(tiles, slide="slide").join(vectors.centroid_distance(tiles, slide="slide"), ["slide", "id"])
+    m = both.groupBy("slide").agg(*[f(c).alias(f"{n}_{c}") for c in ("novelty", "centroid_distance") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = lambda c: F.when(F.col(f"s_{c}") < scaling.FLAT, 0.0).otherwise((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))
-    return both.join(F.broadcast(m)).select("id", "novelty", "centroid_distance", F.round(vectors.W_NOVELTY * z("novelty") + vectors.W_CENTROID * z("centroid_distance"), 4).alias("score"))
+    return both.join(m, "slide").select("slide", "id", "novelty", "centroid_distance", F.round(vectors.W_NOVELTY * z("novelty") + vectors.W_CENTROID * z("centroid_distance"), 4).alias("score"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,21 +388,53 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Z = "CASE WHEN stddev_pop({0}) OVER w < 1e-12 THEN 0 ELSE (({0}) - avg({0}) OVER w) / stddev_pop({0}) OVER w END"
 
 
-@query(_CANDIDATES + f""", v AS (SELECT * FROM q WHERE cx BETWEEN 0 AND 8000 AND cy BETWEEN 0 AND 3000),
+_VIEW_SQL = "WITH RECURSIVE" + _CANDIDATES.removeprefix("WITH") + f""", v AS (SELECT * FROM q WHERE cx BETWEEN 0 AND 8000 AND cy BETWEEN 0 AND 3000),
 fl AS (SELECT *, count(*) FILTER (dark >= 0.02) OVER (PARTITION BY slide) AS c FROM v), h AS (SELECT * FROM fl WHERE c < 12 OR dark >= 0.02),
 z AS (SELECT *, round(0.18 * {_Z.format('dark')} + 0.20 * {_Z.format('retrieval')} + 0.26 * {_Z.format('0.70 * margin + 0.30 * (good_top1 - bad_top1)')}
     - 0.22 * (0.72 * least(greatest((bad_likelihood - 0.40) / 0.6, 0), 1) + 0.28 * least(greatest((bad_top1 - good_top1 + 0.02) / 0.16, 0), 1)) + CASE WHEN {_STRONG} THEN 0.06 ELSE 0 END, 4) AS combined FROM h WINDOW w AS (PARTITION BY slide)),
-n AS (SELECT slide, id, combined, {_HINT} AS hint, row_number() OVER (PARTITION BY slide ORDER BY combined DESC, id)::INTEGER AS rank FROM z) SELECT * FROM n WHERE rank <= 40""")
+n AS (SELECT slide, id, combined, cx, cy, good_top1, retrieval, {_HINT} AS hint, row_number() OVER (PARTITION BY slide ORDER BY combined DESC, id)::INTEGER AS rank FROM z)
+"""
+
+
+@query(_VIEW_SQL + "SELECT slide, id, combined, hint, rank FROM n WHERE rank <= 40")
 def view_candidates_ranked(spark, sf_dir):
     return _ranked(spark, sf_dir).select("slide", "id", "combined", "hint", "rank")
 
 
-@query()
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates in view in their order, without a cut."""
+    seen = _candidates(spark, sf_dir).filter(ranking.in_view(F.col("cx"), F.col("cy"), _VIEW))
+    kept = ranking.conditional_floor(seen, ["slide"], F.col("dark") >= ranking.DEFAULT.min_dark, 12)
+    scored = ranking.combined_score(kept, ["slide"]).withColumn("combined", F.round("combined", 4)).withColumn("hint", ranking.quality_hint())
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("slide").orderBy(F.desc("combined"), "id")))
+
+
+def _greedy_sql(source: str, apart: float, k: int) -> str:
+    """Rows of a ranked table (slide, rank, id, cx, cy) that a greedy pass takes: one step of the recursion goes one rank down."""
+    return f""", g(slide, step, taken) AS (SELECT DISTINCT slide, 0::BIGINT, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[]) FROM {source} UNION ALL
+SELECT g.slide, g.step + 1, CASE WHEN len(taken) < {k} AND len(list_filter(taken, lambda t: (t.x - c.cx) ** 2 + (t.y - c.cy) ** 2 < {apart * apart})) = 0
+    THEN list_append(taken, CAST({{'id': c.id, 'x': c.cx, 'y': c.cy}} AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE))) ELSE taken END FROM g JOIN {source} c ON c.slide = g.slide AND c.rank = g.step + 1),
+gl AS (SELECT slide, arg_max(taken, step) AS taken FROM g GROUP BY slide), gt AS (SELECT slide, unnest(range(1, len(taken) + 1)) AS rank, unnest(taken).id AS id FROM gl)
+"""
+
+
+@query(_VIEW_SQL.rstrip() + _greedy_sql("n", 912.0, 12) + "SELECT gt.slide, gt.id, n.combined, gt.rank::INTEGER AS rank FROM gt JOIN n ON gt.id = n.id")
 def spatial_nms(spark, sf_dir):
-    return ranking.suppress(_ranked(spark, sf_dir), ["slide"], 900.0, 12).select("slide", "id", "combined", "rank")
+    """Tiles of 2,400 pixels, so that centres lie 912 apart."""
+    apart = max(300.0, round(ranking.DEFAULT.separation_of_tile * 2400))
+    return ranking.suppress(_seen(spark, sf_dir), ["slide"], apart, 12).select("slide", "id", "combined", "rank")
+
+
+_POOLS_SQL = _VIEW_SQL.rstrip() + """, tp AS (SELECT *, bool_or(hint <> 'bad_like') OVER (PARTITION BY slide) AS o FROM n WHERE rank <= 40),
+tr AS (SELECT slide, id, cx, cy, hint, o, row_number() OVER (PARTITION BY slide ORDER BY CASE hint WHEN 'good_like' THEN 1.0 WHEN 'bad_like' THEN 0.0 ELSE 0.5 END DESC, coalesce(good_top1, 0) DESC, coalesce(retrieval, 0) DESC, combined DESC NULLS LAST, id) AS rank FROM tp WHERE NOT o OR hint <> 'bad_like'),
+pl AS (SELECT * FROM tr WHERE rank <= 40 AND (o OR rank = 1)), fr AS (SELECT *, (cx - 112) ** 2 + (cy - 112) ** 2 >= 250000 AS free FROM pl),
+fc AS (SELECT *, count(*) FILTER (free) OVER (PARTITION BY slide) AS c FROM fr), po AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY slide ORDER BY rank, id) AS rank FROM fc WHERE c < 6 OR free)
+"""
 
 
-@query()
+@query(_POOLS_SQL.rstrip() + _greedy_sql("po", 800.0, 20) + """, bf AS (SELECT slide, id, row_number() OVER (PARTITION BY slide ORDER BY rank) AS b FROM po WHERE id NOT IN (SELECT id FROM gt)),
+al AS (SELECT slide, id, rank FROM gt UNION ALL SELECT bf.slide, bf.id, len(taken) + b FROM bf JOIN gl ON bf.slide = gl.slide WHERE len(taken) + b <= 6)
+SELECT al.slide, al.id, po.hint, al.rank::INTEGER AS rank FROM al JOIN po ON al.id = po.id""")
 def diversified_candidates(spark, sf_dir):
     pool = ranking.two_pools(_ranked(spark, sf_dir), ["slide"], 40)
     return ranking.diversify(pool, ["slide"], [(112.0, 112.0)], 800.0, 500.0, 6, 20).select("slide", "id", "hint", "rank")
@@ -468,17 +536,16 @@ def chunk_rows(spark, sf_dir):
     return assembly.chunks(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7)
 
 
-@query("""WITH m AS (SELECT label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS s FROM embeddings),
-a AS (SELECT label, p, avg(s[p]) AS x FROM m, (SELECT unnest([1, 2, 3]) AS p) GROUP BY label, p) SELECT label, round(max(x) FILTER (p = 1), 6) AS s1, round(max(x) FILTER (p = 2), 6) AS s2, round(max(x) FILTER (p = 3), 6) AS s3 FROM a GROUP BY label""")
+@query("SELECT label, p::INTEGER AS position, round(avg(embedding[p + 1]::DOUBLE), 6) AS score FROM embeddings, (SELECT unnest(range(64)) AS p) GROUP BY label, p")
 def ensemble_mean(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("s"))
-    return assembly.ensemble_mean(rows, "label", "s").select("label", *[F.element_at("s", i).alias(f"s{i}") for i in (1, 2, 3)])
+    rows = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
+    return assembly.ensemble_mean(rows, "label", "s").select("label", F.posexplode("s").alias("position", "score"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS v, label FROM embeddings), p AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p, label FROM e)
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS v, label FROM embeddings), p AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p, label FROM e)
 SELECT vec_id, round(-p[label + 1] + ln(list_sum(list_transform(p, lambda x: exp(x)))), 6) AS loss FROM p""")
 def double_softmax_loss(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double"))).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("v"))
     p = e.withColumn("total", F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).withColumn("p", F.transform("v", lambda x: x / F.col("total")))
     return p.select("vec_id", F.round(assembly.double_softmax_loss(F.col("p"), F.col("label")), 6).alias("loss"))
 
@@ -529,14 +596,44 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("""WITH w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY AS w FROM events WHERE event_id % 2 = 0)
+SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events, w WHERE event_id % 2 = 0 OR event_id % 20 = 1 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > w GROUP BY ALL""")
 def stream_hourly_counts(spark, sf_dir):
-    """The tumbling window as a stream that reads the table once; each batch replaces the result."""
-    source = table(spark, sf_dir, "events")
-    base = _scratch(spark, "hourly")
-    stream = spark.readStream.schema(source.schema).parquet(_folder(sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = streams.tumbling(stream, "ts", "event_type", "value", "1 hour", late="3650 days").select("start", "event_type", "n")
-    run = counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out")).start()
+    """The tumbling window as a stream: the table arrives in three parts, and of the third what the first made late is dropped."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = new_path(spark, "hourly")
+    odd, some = F.col("event_id") % 2 == 1, F.col("event_id") % 20 == 1
+    parts = [events.filter(~odd), events.filter(some), events.filter(odd & ~some)]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{base}/in/part={i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{base}/in/*")
+    counts = streams.tumbling(stream, "ts", "event_type", "value", "1 hour", late="2 days").select("start", "event_type", "n")
+    run = counts.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{base}/out")).start()
+    run.awaitTermination()
+    return assembly.first_of(spark.read.parquet(f"{base}/out"), ["start", "event_type"], F.desc("batch")).drop("batch")
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM a)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM b GROUP BY user_id, g""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of each user as a stream that reads the table once."""
+    events = table(spark, sf_dir, "events")
+    base = new_path(spark, "sessions")
+    stream = spark.readStream.schema(events.schema).parquet(_folder(sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    run = streams.sessions(stream, "ts", "user_id", "30 minutes").writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out")).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_distinct_types(spark, sf_dir):
+    """Duplicates dropped within the watermark as a stream that reads the table once."""
+    events = table(spark, sf_dir, "events")
+    base = new_path(spark, "distinct")
+    stream = spark.readStream.schema(events.schema).parquet(_folder(sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = streams.deduplicated(stream.select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"]).select("user_id", "event_type")
+    run = kept.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").option("path", f"{base}/out").start()
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
@@ -545,7 +642,7 @@ def stream_hourly_counts(spark, sf_dir):
 def stream_run_length(spark, sf_dir):
     """The stateful run length as a stream; the table arrives as one batch."""
     source = table(spark, sf_dir, "events")
-    base = _scratch(spark, "runs")
+    base = new_path(spark, "runs")
     stream = spark.readStream.schema(source.schema).parquet(_folder(sf_dir, "events"))
     runs = streams.running_runs(stream.select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_type", "event_id")
     run = runs.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").option("path", f"{base}/out").start()
@@ -557,19 +654,6 @@ def _folder(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet*"
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 # Scaling, grids, text -----------------------------------------------------------------------
 
 
@@ -620,16 +704,42 @@ def box_overlap_fraction(spark, sf_dir):
     return tiling.overlap_fraction(cells, boxes, "slide", ["x0", "y0"], 512)
 
 
-@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Acute leukemia' WHEN 1 THEN 'Normal marrow' WHEN 2 THEN 'Call for more diagnostics' ELSE '' END AS decision FROM conversations""")
+_SAID = [
+    "Final diagnosis: {}. Not {}.", "Decision - {} after review", "Findings are most consistent with {}", "conclusion: {}", "{} is the final diagnosis", "I conclude that this is a case of {}", "Therefore, this is a {}",
+    "we weighed {} against {}", "no opinion",
+]
+
+
+_LABEL_SQL = "['" + "', '".join(text_functions.DECISIONS) + "']"
+_DECISION_SQL = (
+    f"WITH l AS (SELECT conv_id, turn, text, {_LABEL_SQL} AS l, ((conv_id + turn) % 9)::INTEGER AS kind, ((conv_id * 7 + turn * 3) % 5)::INTEGER AS a FROM conversations),"
+    " t AS (SELECT conv_id, turn, coalesce(text, '') || chr(10) || replace(" + str(_SAID).replace('"', "'") + "[kind + 1], '{}', l[a + 1]) AS s FROM l),"
+)
+
+
+def _decision_sql() -> str:
+    patterns = [p.replace("'", "''") for p in text_functions._ANNOUNCED]
+    found = ", ".join(f"nullif(regexp_extract(s, '{p}', 1, 'i'), '')" for p in patterns)
+    lookup = {d.lower(): d for d in text_functions.DECISIONS}
+    named = " ".join(f"WHEN lower(f) = '{k}' THEN '{v}'" for k, v in lookup.items())
+    last = ", ".join(f"CASE WHEN contains(lower(s), '{d.lower()}') THEN length(s) - strpos(reverse(lower(s)), '{d[::-1].lower()}') - {len(d)} END" for d in text_functions.DECISIONS)
+    return (
+        _DECISION_SQL + f" f AS (SELECT conv_id, turn, coalesce({found}) AS f, [{last}] AS places FROM t)"
+        f" SELECT conv_id, turn, CASE WHEN f IS NOT NULL THEN CASE {named} ELSE f END WHEN list_max(places) IS NULL THEN '' ELSE {_LABEL_SQL}[list_position(places, list_max(places))] END AS decision FROM f"
+    )
+
+
+@query(_decision_sql())
 def decision_extract(spark, sf_dir):
-    """Decisions announced in, named by or absent from each turn's text."""
-    said = F.when(F.col("turn") % 4 == 0, "Final diagnosis: ACUTE leukemia. Not normal marrow.").when(F.col("turn") % 4 == 1, "acute leukemia was weighed against normal marrow").when(F.col("turn") % 4 == 2, "Conclusion - call for more diagnostics").otherwise("no opinion")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("\n", F.regexp_replace("text", "(?i)diagnos|decision|conclusion|marrow|leukemia", "x"), said).alias("text"))
-    return rows.select("conv_id", "turn", text_functions.final_decision(F.col("text")).alias("decision"))
+    """Decisions that each turn's text, with a statement of one of nine kinds after it, announces or names."""
+    rows = table(spark, sf_dir, "conversations")
+    label = F.element_at(F.array(*map(F.lit, text_functions.DECISIONS)), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _SAID)), ((F.col("conv_id") + F.col("turn")) % 9 + 1).cast("int"))
+    said = F.replace(kind, F.lit("{}"), label)
+    return rows.select("conv_id", "turn", text_functions.final_decision(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said)).alias("decision"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(split_part(url, '/', -1), '\\.[^.]*$', ''), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages WHERE split_part(url, '/', -1) <> '' AND split_part(url, '/', -1) NOT LIKE '.%' AND NOT regexp_matches(split_part(url, '/', -1), '^[._-]|[._-]$|[._-]\\.')")
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(split_part(trim(url), '/', -1), '^(.+)\.[^.]*$', '\1') AS s FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(s, '[^\p{L}\p{N}._-]', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name FROM s""")
 def sanitized_stems(spark, sf_dir):
-    last = F.element_at(F.split("url", "/"), -1)
-    rows = table(spark, sf_dir, "pages").filter((last != "") & ~last.startswith(".") & ~last.rlike(r"^[._-]|[._-]$|[._-]\."))
-    return rows.select("page_id", text_functions.sanitized(text_functions.stem(F.col("url"))).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", text_functions.sanitized(text_functions.stem(F.col("url"))).alias("name"))

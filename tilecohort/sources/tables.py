@@ -24,6 +24,72 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
     return table.toDF(*[c.lstrip("﻿") for c in table.columns])
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of strings by its suffix: CSV, or the first sheet of a workbook, whose first row is the header; other suffixes raise."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        return read_strings(spark, path)
+    if kind != "xlsx":
+        raise ValueError(f"no table reader for .{kind}")
+    cells = read_workbooks(spark, path)
+    header = cells.filter("row = 0").select("cells").first()  # one row
+    return workbook_table(cells, [h or f"column_{i}" for i, h in enumerate(header[0])]).drop("path") if header else spark.createDataFrame([], "path string").drop("path")
+
+
+def read_strings_or_none(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The CSV table at a path, or an empty one with the given columns if there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop):
+        return read_strings(spark, path)
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+
+
+def first_found(places: list[DataFrame], key: list[str]) -> DataFrame:
+    """Documents of several places, of each key from the first place that has it."""
+    found = places[0]
+    for place in places[1:]:
+        found = found.unionByName(place.join(found.select(*key), key, "left_anti"))
+    return found
+
+
+def first_seen(table: DataFrame, column: str, order: str) -> DataFrame:
+    """(value, first): the distinct values of a column as strings, blanks trimmed, with the place where each is first seen."""
+    value = F.trim(F.col(column).cast("string"))
+    return table.filter(F.col(column).isNotNull()).groupBy(value.alias("value")).agg(F.min(order).alias("first"))
+
+
+def read_coordinates(spark: SparkSession, path: str, keep: list[str] | None = None) -> DataFrame:
+    """(x, y, keep) of CSV files with a header x0,y0 or x,y; a row whose coordinates are no whole numbers fails the query with its text."""
+    table = read_strings(spark, path)
+    low = {c.strip().lower(): c for c in table.columns}
+    names = next(((low[a], low[b]) for a, b in (("x0", "y0"), ("x", "y")) if a in low and b in low), None)
+    if names is None:
+        raise ValueError(f"{path}: no columns x0,y0 or x,y in {', '.join(table.columns)}")
+    whole = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in table.columns])
+    numbers = []
+    for c, to in zip(names, ("x", "y")):
+        value = F.trim(F.col(c)).try_cast("long")
+        wrong = F.raise_error(F.concat(F.lit("bad coordinates in "), F.col("_metadata.file_name"), F.lit(": "), whole)).cast("long")
+        numbers.append(F.when(value.isNull(), wrong).otherwise(value).alias(to))
+    return table.select(*numbers, *(keep or []))
+
+
+def resolve_regions(files: DataFrame, folder: str = "folder", path: str = "path") -> DataFrame:
+    """(folder, kind, path): what each folder's regions are read from: a manifest, else any JSON, else an images folder, else single images.
+
+    A folder with an images folder gives its images in order of name; without any of these it has no row.
+    """
+    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    image = name.rlike(r"\.(png|jpe?g|tiff?|bmp|webp)$")
+    kind = F.when(name == "roi_collection.json", 0).when(name.endswith(".json"), 1).when(image & F.lower(path).contains("/images/"), 2).when(image, 3)
+    ranked = files.withColumn("_k", kind).filter("_k IS NOT NULL")
+    best = ranked.groupBy(folder).agg(F.min("_k").alias("_b"))
+    held = ranked.join(best, folder).filter("_k = _b")
+    first = held.filter("_k < 2").groupBy(folder, "_k").agg(F.min(path).alias(path))
+    words = F.element_at(F.array(*map(F.lit, ("manifest", "json", "images", "image"))), F.col("_k") + 1)
+    return first.select(folder, "_k", path).unionByName(held.filter("_k >= 2").select(folder, "_k", path)).select(folder, words.alias("kind"), path)
+
+
 def column_index(letters: str) -> int:
     """0 for A, 26 for AA."""
     n = 0
@@ -117,10 +183,10 @@ def archive_entries(spark: SparkSession, path: str, pattern: str = r"\(?(-?[0-9.
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        at = re.search(pattern, name)
-                        if at:
-                            yield pd.DataFrame({"path": [file], "entry": [name], "x_um": [float(at[1])], "y_um": [float(at[2].rstrip("."))], "image": [z.read(name)]})
+                    found = [(name, at) for name in z.namelist() if (at := re.search(pattern, name))]
+                    for i in range(0, len(found), 256):
+                        some = found[i : i + 256]
+                        yield pd.DataFrame({"path": file, "entry": [n for n, _ in some], "x_um": [float(a[1]) for _, a in some], "y_um": [float(a[2].rstrip(".")) for _, a in some], "image": [z.read(n) for n, _ in some]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, entry string, x_um double, y_um double, image binary")
 
