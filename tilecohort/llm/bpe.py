@@ -21,16 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .words import Words, binary_array, column, raw, slices, split
+from .common import written
+from .words import Words, binary_array, column, give_back, raw, slices, split
 
 #: Lexicon entries at most; more only cost memory, fewer only cost time.
 LEXICON_WORDS = 65_536
 #: Words outside the lexicon that a worker remembers from slice to slice.
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 #: Bytes of text in a slice.
-_SLICE = 12 << 20
+_SLICE = 1 << 20
 _LATIN = "ß-öø-ÿ"  # these letters and their capitals are stable under NFC and have one-letter lower cases
 _PLAIN = re.compile(r"[\n!-~À-ÖØ-öø-ÿ]+")
+# Fixed value: the pre-tokeniser's pattern that _PIECES stands for.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|\n|[^\na-z0-9{_LATIN}]+")
 #: The rank of pairs that never merge.
 NEVER = 1 << 40
@@ -81,7 +84,12 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        steps = [s["type"] for s in (file["normalizer"] or {}).get("normalizers", [])], [s["type"] for s in (file["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        known = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and file["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _SPLIT}
+        if not known or model["type"] != "BPE" or max(model["vocab"].values()) >= 1 << 16:
+            raise ValueError(f"{path}: another normaliser, pre-tokeniser or id range than this encoder is exact for")
         vocab = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.pairs = Pairs([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
@@ -193,13 +201,14 @@ def vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a file, read once per worker."""
     if path not in _VOCABS:
         _VOCABS[path] = Vocabulary(path)
+        give_back()
     return _VOCABS[path]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORDS) -> DataFrame:
-    """The words that occur most, counted over all texts.
+    """The words that occur most, counted over all texts: those from a count on that at most ``size`` words reach.
 
-    Each task keeps lossy counts: when it holds more than eight times ``size``
+    Each task keeps lossy counts: when it holds more than four times ``size``
     words it drops those seen least, and it hands on its ``size`` most frequent.
     A dropped word can only miss the lexicon, never change a result.
     """
@@ -216,10 +225,10 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORD
             w = split(column(part, text))
             waiting.append(pa.table({"word": w.vocab, "n": np.bincount(w.codes, minlength=len(w.vocab)).astype(np.int64)}))
             rows += len(w.vocab)
-            if rows > 8 * size:
+            if rows > 4 * size:
                 held = summed(waiting)
-                if len(held) > 4 * size:
-                    floor = -np.partition(-held["n"].to_numpy(), 4 * size)[4 * size]
+                if len(held) > 2 * size:
+                    floor = -np.partition(-held["n"].to_numpy(), 2 * size)[2 * size]
                     held = held.filter(pc.greater(held["n"], int(floor)))
                 waiting, rows = [held], len(held)
         if waiting:
@@ -230,7 +239,16 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORD
                 yield b
 
     counted = docs.select(text).mapInArrow(count, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    words = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the least count that no more than ``size`` words reach, from how many words have each magnitude (16 steps a doubling)
+    step = F.floor(16 * F.log2("n"))
+    room, floor = size, None
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r.step):
+        room -= r.k
+        if room < 0:
+            break
+        floor = r.n
+    return words.filter(F.col("n") >= floor) if floor is not None else words.limit(0)
 
 
 def make_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
@@ -238,7 +256,9 @@ def make_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", size: int
     vocab = vocabulary(vocab_path)
     words = [w for w in frequent_words(docs, text, size).toArrow()["word"].to_pylist() if len(w) <= 64]
     at, ids = vocab.encode([w.decode("utf-8") for w in words])
-    return lexicon.build({w: ids[a:b].tolist() for w, a, b in zip(words, at, at[1:])})
+    compiled = lexicon.build({w: ids[a:b].tolist() for w, a, b in zip(words, at, at[1:])})
+    give_back()
+    return compiled
 
 
 class SliceEncoder:

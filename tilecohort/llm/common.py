@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -50,10 +50,50 @@ def discard(df: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch between the JVM and Python; texts may be long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; batches of its texts are kept small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(name: str, rows: DataFrame) -> str:
+    """The name, with underscores until no column of rows has it."""
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """rows under names that clash with nothing, and the new name of each column."""
+    names = {c: f"column_{i}" for i, c in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), names
+
+
+def first_by_hash(rows: DataFrame, by: list[str], key: str, salt: str, n: int) -> DataFrame:
+    """The first n rows of each group by a hash of their key; groups are few.
+
+    Groups are thinned by the hash to half as many again as wanted first, so a task orders about 1.5 n rows however long a group is.
+    """
+    range_ = 1 << 53
+    placed = rows.withColumn("_u", F.pmod(F.xxhash64(F.lit(salt), key), F.lit(range_)))
+    counts = placed.groupBy(*by).agg(F.count("*").alias("_n")) if by else placed.agg(F.count("*").alias("_n"))
+    joined = placed.join(counts, by) if by else placed.crossJoin(F.broadcast(counts))  # one row
+    thin = joined.filter(F.col("_u") * F.col("_n").cast("double") <= 1.5 * n * range_ + 64.0 * range_)
+    order = Window.partitionBy(*by).orderBy("_u", key)
+    return thin.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_u", "_n", "_r")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32(doc_id as text) mod 3 is 1; such rows are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

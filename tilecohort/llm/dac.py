@@ -25,10 +25,12 @@ from .words import column, slices
 END_ID = 1
 #: A shard is closed when it holds so many tokens.
 SHARD_TOKENS = 1 << 21
+#: What stands for a null document id in a shard; no document may have it as its own.
+NULL_ID = -(1 << 63)
 _MAGIC = b"DACSHRD1"
 _BLOCK = 512
 _BITS_IN_BYTE = np.array([bin(i).count("1") for i in range(256)], np.int64)
-_SLICE = 6 << 20
+_SLICE = 1 << 20
 SHARDS = "shard long, first_doc long, n_docs long, n_tokens long, payload binary"
 
 
@@ -98,11 +100,12 @@ class Shard:
 def write_shards(docs: DataFrame, vocab_path: str, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes every whole text, ends it with id 1 and writes shards in ascending doc_id (then text) order.
 
-    A null text counts as empty and a null doc_id as the smallest id there is.
+    A null text counts as empty. A null doc_id is written as NULL_ID, before all others, and read back as null;
+    repeated rows are documents each, an empty table gives no shard, other columns aren't read.
     Memory: one slice of text and one open shard a task.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("d"), F.col(text).alias("t")).repartitionByRange(parts, "d").sortWithinPartitions("d", "t")
+    ordered = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).alias("t")).repartitionByRange(parts, "d").sortWithinPartitions("d", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = SliceEncoder(vocab_path, None)
@@ -150,4 +153,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
     # one row a shard of two million tokens, so this window is short
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(base, "shard").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

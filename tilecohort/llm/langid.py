@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import first_by_hash
 from .words import column, per_text, raw, slices, split, windows, word_hashes
 
 BUCKETS = 1 << 17
@@ -36,7 +38,8 @@ FOREIGN = 12.0
 #: Words of a script a language must have, as a share, to be a candidate for it.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
-_SLICE = 8 << 20
+#: Bytes of text in a slice; a slice needs some twenty times as much memory.
+_SLICE = 1 << 20
 
 # First code point of each run of a script, from the Unicode block list.
 _RANGES = [
@@ -136,25 +139,21 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     The driver gets BUCKETS sums a language. With no such row the model knows no language.
     """
-    order = F.xxhash64(F.lit("lang"), doc_id)
-    named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, lang)
-    languages = sorted(r[0] for r in named.select(lang).distinct().collect())
+    named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
+    chosen = first_by_hash(named, ["lang"], "id", "lang", SAMPLE).dropDuplicates(["id"]).collect()  # SAMPLE ids of each language at most
+    languages = sorted({r.lang for r in chosen})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool))
     index = {l: i for i, l in enumerate(languages)}
-    parts = [named.filter(F.col(lang) == l).orderBy(order, doc_id).limit(SAMPLE).select(doc_id, F.lit(index[l]).alias("l")) for l in languages]
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
-    # SAMPLE ids of each language at most
-    rows = docs.select(doc_id, text, lang).join(F.broadcast(chosen.dropDuplicates([doc_id])), doc_id).filter(F.col(text).isNotNull()).select(text, "l")
+    ids = docs.sparkSession.createDataFrame([(r.id, index[r.lang]) for r in chosen], T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("l", T.IntegerType())]))
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").select("t", "l")
     n = len(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * BUCKETS, np.int64)
         scripts = np.zeros(n * len(SCRIPTS), np.int64)
-        for part in slices(batches, text):
-            w = split(column(part, text), lower=True)
+        for part in slices(batches, "t"):
+            w = split(column(part, "t"), lower=True)
             label = column(part, "l").to_numpy()
             key, times = np.unique(label[w.doc_of_word] * np.int64(max(1, len(w.vocab))) + w.codes, return_counts=True)
             label, word = key // max(1, len(w.vocab)), key % max(1, len(w.vocab))

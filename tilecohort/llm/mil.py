@@ -24,6 +24,8 @@ HASHED = 128
 HIDDEN, GATE = 24, 12
 #: Labelled documents of each class that the classifier learns from, at most.
 TRAIN_DOCS = 1024
+#: Passages of a document that the classifier learns from, at most; scoring uses all.
+TRAIN_PASSAGES = 320
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>=@\\^~{}[]")] = True
@@ -106,7 +108,7 @@ class Model:
 
 
 def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
-    """Adam on the log loss over bags, classes weighted by how often they occur in the corpus sample."""
+    """Adam on the log loss over bags, all of one weight."""
     rng = np.random.default_rng(seed)
     normal = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     p = {"W": normal(WIDTH, HIDDEN), "b": np.zeros(HIDDEN), "V": normal(HIDDEN, GATE), "U": normal(HIDDEN, GATE), "w": normal(GATE), "c": normal(HIDDEN), "d": np.zeros(())}
@@ -131,18 +133,21 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, seed: int = 7) -> M
     return m
 
 
+def _few(n: int) -> np.ndarray:
+    """Which passages of n a document trains with: all, or TRAIN_PASSAGES at equal steps from first to last."""
+    return np.arange(n) if n <= TRAIN_PASSAGES else np.linspace(0, n - 1, TRAIN_PASSAGES).astype(int)
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model | float:
-    """Fits on at most TRAIN_DOCS documents of each class, the first by hash; with one class or none, returns its constant score."""
-    chosen = sample_of(labels, doc_id)
-    order = F.xxhash64(F.lit("mil"), doc_id)
-    chosen = chosen.filter("quality = 1").orderBy(order, doc_id).limit(TRAIN_DOCS).unionByName(chosen.filter("quality = 0").orderBy(order, doc_id).limit(TRAIN_DOCS))
+    """Fits on at most TRAIN_DOCS documents of each class, the first by hash, and TRAIN_PASSAGES passages of each; with one class or none, returns its constant score."""
+    chosen = sample_of(labels, doc_id, TRAIN_DOCS)
     rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(doc_id, text, "quality")  # 2 * TRAIN_DOCS ids at most
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             x, first = encode(column(part, text))
             x = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([column(part, doc_id), column(part, "quality"), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["id", "quality", "bag"])
+            yield pa.RecordBatch.from_arrays([column(part, doc_id), column(part, "quality"), pa.array([x[a + _few(b - a)].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["id", "quality", "bag"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     got = sorted(rows.mapInArrow(bags, f"id {kind}, quality int, bag binary").collect(), key=lambda r: (r.id, r.bag))

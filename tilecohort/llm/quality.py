@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, first_by_hash, written
 from .words import binary_array, column, inside, per_text, raw, slices, split, windows, word_hashes
 
 BUCKETS = 1 << 16
@@ -48,12 +48,9 @@ def labelled(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return labels.filter(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min("quality").alias("quality"), F.max("quality").alias("q2")).filter("quality = q2").select(doc_id, "quality")
 
 
-def sample_of(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """At most SAMPLE ids of each quality, the first by hash; null or conflicting labels are left out."""
-    clean = labelled(labels, doc_id)
-    order = F.xxhash64(F.lit("quality"), doc_id)
-    good, bad = (clean.filter(F.col("quality") == q).orderBy(order, doc_id).limit(SAMPLE) for q in (1, 0))
-    return good.unionByName(bad)
+def sample_of(labels: DataFrame, doc_id: str = "doc_id", n: int = SAMPLE) -> DataFrame:
+    """At most n ids of each quality, the first by hash; null or conflicting labels are left out."""
+    return first_by_hash(labelled(labels, doc_id), ["quality"], doc_id, "quality", n)
 
 
 def ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:

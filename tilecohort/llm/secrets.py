@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 
 @dataclass(frozen=True)
@@ -135,10 +135,15 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_
 
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by a mark (overlapping ones by one mark); all rows and columns stay."""
+    """docs with every secret replaced by a mark (overlapping ones by one mark).
+
+    All rows and columns stay, whatever their names; null and empty texts and repeated rows stay as they are, an empty table empty.
+    Copies meet their findings in a join on the blob, which adaptive execution splits where one blob is hot.
+    """
     _, held = scan(docs, ledger, rules, doc_id, text)
-    keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    rows = keyed.join(by_blob(held, rules).select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "_blob", "left")
+    blob, found = free_name("_blob", docs), free_name("_found", docs)
+    keyed = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    rows = keyed.join(by_blob(held, rules).select(F.col("blob").alias(blob), F.col("found").alias(found)), blob, "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
@@ -146,5 +151,5 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id
         fresh = F.struct(x["end"].alias("at"), F.concat(state["out"], F.array(F.concat(piece, F.lit(mark)))).alias("out"))
         return F.when(x["start"] >= state["at"], fresh).otherwise(F.struct(F.greatest(state["at"], x["end"]).alias("at"), state["out"].alias("out")))
 
-    done = F.aggregate("_found", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return rows.withColumn(text, F.when(F.col("_found").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)
+    done = F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return rows.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(done)).select(*docs.columns)

@@ -8,6 +8,7 @@ memory does not depend on the size of the table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 U64 = np.uint64
+#: glibc's call that returns free heap pages; other C libraries lack it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -148,8 +151,8 @@ def inside(bounds: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(ok)[:n] > 0
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a slice has about ``size`` bytes of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that a slice has about ``size`` bytes of text (one row at least); after the last, free memory goes back."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -160,6 +163,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + size, side="right")) - 1)
             yield batch.slice(begin, min(end, n) - begin)
             begin = end
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this worker's allocators hold without use; a worker lives on and would keep its task's peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
