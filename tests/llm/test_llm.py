@@ -419,13 +419,58 @@ def test_common_subsequence():
         assert leaks.common_subsequence(a, at, 9) == table[-1, -1]
 
 
-def test_license_inheritance(spark, awkward, empty):
-    mit = licenses.TEMPLATES[0][1]
-    rows = [(1, "/a/LICENSE", mit), (2, "/a/b/x", "prose\n" + licenses.TEMPLATES[4][1] + "\nmore prose and words"), (3, "/a/b/c/y", "nothing"), (4, "/z/y", "nothing"), (5, "/a/b/LICENSE", licenses.TEMPLATES[3][1]), (6, None, mit), (7, "/a/q", None), (7, "/a/q", None)]
+def brute_licenses(rows):
+    """Plain dictionaries: the best header, licence files and nearest ancestors of (doc_id, path, text)."""
+    weights, other = licenses.term_weights()
+    known = {t: (idf, w) for t, idf, w in weights}
+
+    def best(text):
+        tf = Counter(re.findall(licenses.TERM, text.lower()))
+        x = {t: n * (known[t][0] if t in known else other) for t, n in tf.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        if not norm:
+            return (0.0, "")
+        return min((-round(sum(v * known[t][1][i] for t, v in x.items() if t in known) / norm, 6), name) for i, (name, _) in enumerate(licenses.TEMPLATES))
+
+    own, files = {}, {}
+    for i, path, text in rows:
+        lines = [l for l in (text or "").split("\n") if l.strip(" ")]
+        marked = [k for k, l in enumerate(lines) if re.search(licenses.MARKER, l)]
+        units = [lines[k] for k in marked] + [" ".join(lines[k : k + 2]) for k in marked if k + 1 < len(lines)]
+        found = [b for b in map(best, units) if -b[0] >= licenses.HEADER]
+        whole = best(text) if marked else (0.0, "")
+        found += [whole] if -whole[0] >= licenses.FILE else []
+        if found:
+            own[i] = min(found)
+            if path and (-whole[0] >= licenses.FILE or re.search(licenses.FILE_NAME, path.rsplit("/", 1)[-1])):
+                d = path.rsplit("/", 1)[0]
+                files[d] = min(files.get(d, own[i]), own[i])
+    out = {}
+    for i, path, _ in rows:
+        parts = (path or "").split("/")[:-1]
+        near = next((files["/".join(parts[:k])] for k in range(len(parts), 0, -1) if path and "/".join(parts[:k]) in files), None)
+        out[i] = own[i][1] if i in own else near and near[1]
+    return out
+
+
+def test_license_inheritance(spark, awkward, empty, docs):
+    whole = dict(licenses.WHOLE)
+    prose = " ".join(f"word{k} of the copyright permission and the software" for k in range(400))
+    rows = [
+        (1, "/a/some.txt", whole["MIT"]), (2, "/a/b/x", "prose\nLicensed under the Apache License, Version 2.0.\nmore prose and words"), (3, "/a/b/c/y", "nothing"), (4, "/z/y", "nothing"),
+        (5, "/a/b/COPYING", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + prose), (6, None, whole["MIT"]), (7, "/a/q", None), (7, "/a/q", None), (8, "/y/x", prose), (9, "/y/z", "nothing"),
+        (10, "/w/h", "Released under the MIT License."), (11, "/v/h", "Released under the MIT License.\n" + "plain words " * 50), (12, "/v/i", ""), (13, "/b/LICENSE", whole["BSD-3-Clause"]), (14, "/b/c/d/e", "text"),
+    ]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    assert {i: r.license for i, r in got.items()} == {1: "MIT", 2: "GPL-3.0", 3: "Apache-2.0", 4: None, 5: "Apache-2.0", 6: "MIT", 7: "MIT"}
+    want = {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0", 4: None, 5: "GPL-3.0", 6: "MIT", 7: "MIT", 8: None, 9: None, 10: "MIT", 11: "MIT", 12: None, 13: "BSD-3-Clause", 14: "BSD-3-Clause"}
+    assert {i: r.license for i, r in got.items()} == want == brute_licenses(rows)
     assert got[3].licensed_by == "/a/b" and got[3].own_license is None and got[2].own_score == 1.0 and got[7].licensed_by == "/a"
     assert licenses.scan(awkward).count() == len(set((r[0]) for r in AWKWARD)) and licenses.scan(empty.withColumn("path", F.lit("/a"))).count() == 0
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = queries.op1_license_inheritance(spark, SF).collect()
+    paths = {r.doc_id: r.path for r in found}
+    assert all(p.startswith(f"/{source[i] or 'unknown'}/") for i, p in paths.items())
+    assert {r.doc_id: r.license for r in found} == brute_licenses([(i, paths[i], t) for i, t in docs.items()])
 
 
 def test_window_hashes():
