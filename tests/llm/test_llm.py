@@ -494,10 +494,73 @@ def test_pipeline(spark):
     assert {r.doc_id for r in docs.collect()} <= {i for i, (_, _, k) in kept.items() if k}
 
 
-def test_stages_on_awkward_rows(spark, empty):
+def test_stages_on_awkward_rows(spark, empty, awkward):
     from tilecohort.llm import stages
 
     rows = spark.createDataFrame(AWKWARD, DOCS)
+    clash = rows
+    for c in ("score", "spans", "lang_pred", "_blob", "_found", "blob", "column_0", "kept", "component_id", "_hot", "n_tokens", "cell", "h"):
+        clash = clash.withColumn(c, F.lit(1))
     for stage in (stages.drop_unidentified, stages.drop_near_duplicates, stages.drop_benchmark_leaks, stages.redact_secrets):
+        got = stage(spark, clash, SF)
+        assert got.columns == clash.columns and got.select(*DOCS.names).exceptAll(stage(spark, rows, SF)).count() == 0
         assert stage(spark, rows, SF).columns == rows.columns
         assert stage(spark, empty, SF).count() == 0
+    assert stages.bpe_tokens(spark, clash, SF).count() == len(AWKWARD) and stages.bpe_tokens(spark, empty, SF).count() == 0
+
+
+def test_repeated_ids_of_different_texts(spark):
+    rows = spark.createDataFrame([(1, LONG[:400]), (2, LONG[:400]), (2, "another text of a few words")], "doc_id long, text string")
+    for run in (substrings.remove_repeats, neardup.groups):
+        with pytest.raises(ValueError, match="2 stands at different texts"):
+            run(rows)
+
+
+def test_shards_keep_null_ids(spark):
+    path = new_path(spark, "test")
+    dac.write_shards(spark.createDataFrame([(None, "a b"), (-5, "c"), (3, None)], "doc_id long, text string"), queries.VOCAB, path)
+    got = dac.read_shards(spark.read.schema(dac.SHARDS).parquet(path)).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 3), (-5, 3, 2), (3, 5, 1)]
+
+
+def test_clean_reads_the_named_columns(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    text = next(r.text for r in items.collect())
+    rows = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id long, body string")
+    assert sorted(r.doc_id for r in leaks.clean(rows, items, text="body").collect()) == [2, 3]
+
+
+def test_svd_of_bags(spark):
+    """The basis against numpy's singular vectors of the same weighted bags."""
+    rng = np.random.default_rng(4)
+    bags = [rng.choice(300, 40, p=rng.dirichlet(np.full(300, 0.05))).astype(np.int32) * 7 for _ in range(60)]
+    idf = rng.uniform(0.5, 3, leaks.CELLS)
+    q = leaks.basis(spark.createDataFrame([(b.tobytes(), 1.0) for b in bags], "bag binary, weight double"), idf)
+    dense = np.zeros((60, leaks.CELLS), np.float32)
+    for i, b in enumerate(bags):
+        cell, x = leaks._vector(b, idf)
+        dense[i, cell] = x
+    want = np.linalg.svd(dense, full_matrices=False)[1]
+    assert np.allclose(np.linalg.norm(dense @ q, axis=0)[:40], want[:40], rtol=1e-3) and np.allclose((q.T @ q)[:40, :40], np.eye(40), atol=1e-3)
+
+
+def test_passages_near_an_item_are_candidates(spark):
+    """Every passage with a cosine of NEAR by plain arithmetic is among the candidates."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    (index,) = leaks._indexes(docs, spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")
+    texts = pa.array([r.text for r in docs.orderBy("doc_id").limit(60).collect()], pa.string())
+    w, h, first, block = leaks._split(texts)
+    start = np.searchsorted(block, np.arange(first[-1] + 1))
+    last = np.repeat(first[1:], np.diff(first)) - 1
+    got = set(zip(*(x.tolist() for x in index._near(leaks._cells(h)[w.codes], start, last))))
+    codes, want = h[w.codes], set()
+    for i in range(int(first[-1])):
+        words = codes[start[i] : start[min(i + 2, int(last[i])) + 1]]
+        want |= {(i, j) for j in range(len(index.latent)) if index._cosine(words, j) >= leaks.NEAR + 1e-4}
+    assert want <= got and all(index._cosine(codes[start[i] : start[min(i + 2, int(last[i])) + 1]], j) >= leaks.NEAR - 1e-4 for i, j in got)
+
+
+def test_frequent_words_fit(spark):
+    rows = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),) for n in range(1, 40)], "text string").coalesce(1)
+    got = {r.word.decode(): r.n for r in bpe.frequent_words(rows, size=10).collect()}
+    assert got and len(got) <= 10 and set(got) == {f"w{i}" for i in range(len(got))}

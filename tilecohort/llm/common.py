@@ -94,6 +94,23 @@ def first_by_hash(rows: DataFrame, by: list[str], key: str, salt: str, n: int) -
     return thin.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_u", "_n", "_r")
 
 
+def in_both(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in keys (key, hot), a row a key; hot keys, a thousand at most, are looked up without moving their rows."""
+    hot = F.broadcast(keys.filter("hot").select(key, F.lit(True).alias("_hot")))
+    placed = rows.join(hot, key, "left")
+    here = placed.filter("_hot").drop("_hot")
+    moved = placed.filter("_hot IS NULL").drop("_hot").join(keys.filter("NOT hot").select(key), key, "left_semi")
+    return here.unionByName(moved)
+
+
+def one_text_each(rows: DataFrame, key: str, *content: str) -> None:
+    """Fails unless rows that repeat a key agree in what names their content."""
+    names = [F.max(F.struct(*content)) != F.min(F.struct(*content))]
+    wrong = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(names[0].alias("_differ")).filter("_differ").select(key).first()
+    if wrong:
+        raise ValueError(f"{key} {wrong[0]} stands at different texts")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32(doc_id as text) mod 3 is 1; such rows are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

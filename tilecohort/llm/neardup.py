@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, one_text_each, written
 from .components import connected
 from .words import column, mix64, multipliers, slices, split, windows, word_hashes
 
@@ -183,10 +183,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     Returns doc_id (long), n_shingles, component_id (the smallest doc_id reachable, itself included) and
     kept (doc_id = component_id), a row for each input row. A text that is null or has no word has no
-    shingle and is linked with nothing; rows that repeat a doc_id are one document; a null doc_id is
+    shingle and is linked with nothing; rows that repeat a doc_id and its shingles are one document, and with different shingles raise; a null doc_id is
     linked with nothing and kept, with a null component. Other columns are not read.
     """
     rows = written(sketches(docs, doc_id, text), "sketches")
+    one_text_each(rows, "doc_id", "n_shingles", "k1", "k2")
     real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "nodes")
     keys = band_keys(nodes)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, in_both, one_text_each, written
 from .words import column, inside, mix64, multipliers, slices, split, windows, word_hashes
 
 WINDOW = 13
@@ -154,23 +154,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Removes each word covered by a window of WINDOW words that also starts in a document with a smaller id.
 
     Returns doc_id (long), n_words, n_removed and kept_sha256 of each document. Windows are judged on the
-    input. A null text has no words. Rows that repeat a doc_id must repeat its text and give one row each;
-    a null doc_id is a document of its own that neither removes nor loses words. Other columns aren't read.
+    input. A null text has no words. Rows that repeat a doc_id and its text give one row each, and with
+    different texts raise; a null doc_id is a document of its own that neither removes nor loses words. Other columns aren't read.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     named = source.filter("doc IS NOT NULL")
     found = written(_anchors(source), "anchors")
     at = found.filter("h IS NOT NULL AND doc IS NOT NULL").select("h", "s", "doc", "pos")
     whole = written(found.filter("h IS NULL").select("doc", "n_words", "sha"), "whole")
-    shared = at.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
-    seeds = written(at.join(shared, "h", "left_semi"), "seeds")
+    one_text_each(whole, "doc", "n_words", "sha")
+    rows = at.count()
+    # anchors with a thousandth of all rows or more, of which there are a thousand at most, are hot
+    shared = written(at.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b").select("h", (F.col("n") * 1000 > rows).alias("hot")), "shared")
+    seeds = written(in_both(at, shared, "h"), "seeds")
     discard(found)
 
     first = written(seeds.groupBy("h", "s").agg(F.min("doc").alias("first")), "segments")
-    several = first.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("h")
+    several = written(first.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("h").join(shared, "h"), "several")
     placed = seeds.join(first, ["h", "s"])
     cut = placed.filter("doc > first").groupBy("doc").agg(F.collect_list("pos").alias("cut"))
-    ask = placed.filter("doc = first").join(several, "h", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("ask"))
+    ask = in_both(placed.filter("doc = first"), several, "h").groupBy("doc").agg(F.collect_list("pos").alias("ask"))
     todo = written(cut.join(ask, "doc", "full"), "todo")
     step = written(_second(named.join(todo, "doc").dropDuplicates(["doc"])), "step")
 
