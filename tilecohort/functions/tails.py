@@ -63,8 +63,9 @@ def t_quantile(p, df) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p of Student's t."""
-    return pd.Series(np.where(t.isna() | df.isna(), np.nan, t_two_sided(t.fillna(0), df.fillna(1))))
+    """Two-sided p of Student's t; null where t is null or there is no degree of freedom."""
+    none = t.isna() | df.isna() | (df < 1)
+    return pd.Series(np.where(none, np.nan, t_two_sided(t.mask(none, 0.0), df.mask(none, 1.0))))
 
 
 @F.pandas_udf(DoubleType())
