@@ -198,3 +198,11 @@ def test_fresh_regions(spark):
     assert [r.id for r in selection.fresh_regions(rows, ["slide"], 100).orderBy("id").collect()] == [0, 2, 3]
     box = spark.range(1).select(selection.box_of_view(F.lit(100), F.lit(100), F.lit(400), F.lit(200), (F.lit(0), F.lit(0), F.lit(999), F.lit(999)), F.lit(5000), F.lit(5000)).alias("b")).first().b
     assert (box.w, box.h) == (140, 100) and box.x == 180
+
+
+def test_reduced_precision(spark):
+    rows = spark.createDataFrame([(k, [1.2345678, -9.87654, 0.0]) for k in range(50)], "k long, v array<float>")
+    got = [r.w for r in rows.select(vectors.reduced_precision(5)("k", "v").alias("w")).collect()]
+    flat = np.array(got, np.float32)
+    assert (np.abs(flat - np.float32([1.2345678, -9.87654, 0.0])) <= np.abs(np.float32([1.2345678, -9.87654, 0.0])) / 2**5).all() and len(np.unique(flat[:, 0])) > 5
+    assert (flat.view(np.uint32) & ((1 << 0) - 1) == 0).all() and got == [r.w for r in rows.select(vectors.reduced_precision(5)("k", "v").alias("w")).collect()]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,3 +145,23 @@ def centroid_distance(tiles: DataFrame, id_: str = "id", vector: str = "vector",
     # a vector's length rows for each slide
     center = mean.groupBy(slide).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("c")).select(slide, normalized(F.col("c")).alias("c"))
     return unit.join(center, slide).select(slide, "id", F.round(1 - dot(F.col("u"), F.col("c")), 6).alias("centroid_distance"))
+
+
+def reduced_precision(least_bits: int, seed: int = 0):
+    """A function of (key, vector) that clears a random number of each value's low fraction bits and keeps ``least_bits`` at least.
+
+    How many is drawn from the row's key, so a repeated task draws the same.
+    """
+    if least_bits < 1:
+        raise ValueError("a fraction keeps a bit at least")
+
+    @F.pandas_udf("array<float>")
+    def run(key: pd.Series, vector: pd.Series) -> pd.Series:
+        out = []
+        for k, v in zip(key, vector):
+            bits = np.asarray(v, np.float32).view(np.uint32)
+            drop = np.random.default_rng([seed, int(k)]).integers(0, 23 - least_bits, len(bits)).astype(np.uint32)
+            out.append((bits & (np.uint32(0xFFFFFFFF) << drop)).view(np.float32))
+        return pd.Series(out)
+
+    return run

@@ -52,11 +52,14 @@ _METRIC_NAMES = [
 _CELLULAR = "gray < {1} AND gray > {0} AND ch > {2} AND s >= greatest({3}, fl * {4}) AND e > {5} AND blue"
 
 
-@query(_PIXELS + f""", f AS (SELECT *, r / 255 AS fr, g / 255 AS fg, b / 255 AS fb FROM px),
+_EDGES = _PIXELS.rstrip() + """, f AS (SELECT *, r / 255 AS fr, g / 255 AS fg, b / 255 AS fb FROM px),
 o AS (SELECT *, fr * 0.299 + fg * 0.587 + fb * 0.114 AS gray, greatest(fr, fg, fb) - least(fr, fg, fb) AS ch, -ln(greatest(fr, 1 / 255.0::DOUBLE)) AS dr, -ln(greatest(fg, 1 / 255.0::DOUBLE)) AS dg, -ln(greatest(fb, 1 / 255.0::DOUBLE)) AS db FROM f),
 n AS (SELECT *, greatest(dr * 0.35 + dg * -0.55 + db * 0.65, 0) AS s, lead(gray, 1, gray) OVER u AS gr, lag(gray, 1, gray) OVER u AS gl, lead(gray, 1, gray) OVER v AS gd, lag(gray, 1, gray) OVER v AS gu FROM o WINDOW u AS (PARTITION BY vec_id, y ORDER BY x), v AS (PARTITION BY vec_id, x ORDER BY y)),
-e AS (SELECT *, abs(gr - gray) AS dx, abs(gd - gray) AS dy, abs(gr - gray) + abs(gd - gray) AS e, gl + gr + gu + gd - 4 * gray AS l, fr - greatest(fg, fb) AS rl, fb >= fr - 0.06 AS blue FROM n),
-p AS (SELECT vec_id, greatest(0.05, quantile_cont(s, 0.7)) AS fl, greatest(0.05, quantile_cont(e, 0.7)) AS ef, least(greatest(ln(1 + var_pop(l) * 256) / ln(4), 0), 1) AS proxy FROM e GROUP BY vec_id),
+e AS (SELECT *, abs(gr - gray) AS dx, abs(gd - gray) AS dy, abs(gr - gray) + abs(gd - gray) AS e, gl + gr + gu + gd - 4 * gray AS l, fr - greatest(fg, fb) AS rl, fb >= fr - 0.06 AS blue FROM n)
+"""
+
+
+@query(_EDGES.rstrip() + f""", p AS (SELECT vec_id, greatest(0.05, quantile_cont(s, 0.7)) AS fl, greatest(0.05, quantile_cont(e, 0.7)) AS ef, least(greatest(ln(1 + var_pop(l) * 256) / ln(4), 0), 1) AS proxy FROM e GROUP BY vec_id),
 k AS (SELECT e.*, fl, ef, proxy, s >= fl AS nu FROM e JOIN p ON e.vec_id = p.vec_id),
 bx AS (SELECT a.vec_id, a.i, avg(c.nu::INTEGER) AS m FROM k a, (SELECT unnest([-1, 0, 1]) AS oy) y0, (SELECT unnest([-1, 0, 1]) AS ox) x0, k c WHERE c.vec_id = a.vec_id AND c.x = least(greatest(a.x + ox, 0), 7) AND c.y = least(greatest(a.y + oy, 0), 7) GROUP BY a.vec_id, a.i),
 m AS (SELECT k.*, bx.m AS packed FROM k JOIN bx ON k.vec_id = bx.vec_id AND k.i = bx.i),
@@ -77,6 +80,29 @@ def tile_pixel_metrics(spark, sf_dir):
     return rows.select("vec_id", *[F.round(f"m.{c}", 9).alias(c) for c in _METRIC_NAMES])
 
 
+@query(_EDGES.rstrip() + """, t AS (SELECT *, gray < 0.85 OR ch > 0.05 OR e > 0.02 OR s > 0.05 AS t FROM e),
+b AS (SELECT vec_id, avg(gray) * 255 AS gray, avg(t::INTEGER) AS m, [avg(t::INTEGER) FILTER (y < 4), avg(t::INTEGER) FILTER (y >= 4), avg(t::INTEGER) FILTER (x < 4), avg(t::INTEGER) FILTER (x >= 4)] AS sides,
+    [avg(t::INTEGER) FILTER (y < 4 AND x < 4), avg(t::INTEGER) FILTER (y < 4 AND x >= 4), avg(t::INTEGER) FILTER (y >= 4 AND x < 4), avg(t::INTEGER) FILTER (y >= 4 AND x >= 4)] AS q FROM t GROUP BY vec_id),
+c AS (SELECT *, m > 0.03 AND m < 0.995 AS mixed FROM b),
+d AS (SELECT vec_id, gray, CASE WHEN mixed THEN 4 * m * (1 - m) ELSE 0 END AS contact, mixed AND ((len(list_filter(sides, lambda v: v > 0.05 AND v < 0.95)) > 0 AND m BETWEEN 0.08 AND 0.92)
+    OR (1 - m >= 0.04 AND list_min(q) <= 0.65) OR (1 - m >= 0.02 AND list_min(q) <= 0.35) OR (list_min(sides) <= 0.20 AND list_max(sides) >= 0.80)) AS touches FROM c)
+SELECT vec_id, round(contact, 9) AS contact FROM d WHERE gray < 226 AND NOT touches""")
+def obvious_tiles(spark, sf_dir):
+    """Tiles that are neither pale nor on tissue's border, with how mixed their border is."""
+    rows = _tiles(spark, sf_dir).select("vec_id", screening.tile_metrics("pixels", "side").alias("m"), screening.foreground_metrics("pixels", "side")["gray"].alias("gray"))
+    kept = screening.obvious_tiles(rows.select("vec_id", "gray", "m.*"))
+    return kept.select("vec_id", F.round("tissue_edge_contact", 9).alias("contact"))
+
+
+@query(_PIXELS + """, gy AS (SELECT *, r * 0.299 + g * 0.587 + b * 0.114 AS v FROM px), d AS (SELECT *, CASE WHEN x = 0 THEN lead(v) OVER u - v WHEN x = 7 THEN v - lag(v) OVER u ELSE (lead(v) OVER u - lag(v) OVER u) / 2 END AS dx,
+CASE WHEN y = 0 THEN lead(v) OVER w - v WHEN y = 7 THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END AS dy,
+    greatest(-ln(greatest(r / 255, 1 / 255.0::DOUBLE)) * 0.35 + -ln(greatest(g / 255, 1 / 255.0::DOUBLE)) * -0.55 + -ln(greatest(b / 255, 1 / 255.0::DOUBLE)) * 0.65, 0) AS s FROM gy WINDOW u AS (PARTITION BY vec_id, y ORDER BY x), w AS (PARTITION BY vec_id, x ORDER BY y))
+SELECT vec_id, round(avg(dx * dx + dy * dy), 4) AS focus, round(avg(s), 6) AS h_mean FROM d GROUP BY vec_id""")
+def detail_metrics(spark, sf_dir):
+    rows = _tiles(spark, sf_dir).select("vec_id", screening.detail_metrics("pixels", "side").alias("m"))
+    return rows.select("vec_id", F.round("m.focus", 4).alias("focus"), F.round("m.h_mean", 6).alias("h_mean"))
+
+
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiles(spark, sf_dir).select("slide", "vec_id", screening.tile_metrics("pixels", "side").alias("m"))
 
