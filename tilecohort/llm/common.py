@@ -88,7 +88,7 @@ def first_by_hash(rows: DataFrame, by: list[str], key: str, salt: str, n: int) -
     range_ = 1 << 53
     placed = rows.withColumn("_u", F.pmod(F.xxhash64(F.lit(salt), key), F.lit(range_)))
     counts = placed.groupBy(*by).agg(F.count("*").alias("_n")) if by else placed.agg(F.count("*").alias("_n"))
-    joined = placed.join(counts, by) if by else placed.crossJoin(F.broadcast(counts))  # one row
+    joined = placed.join(F.broadcast(counts), by) if by else placed.crossJoin(F.broadcast(counts))  # a row a group; thinned where they are
     thin = joined.filter(F.col("_u") * F.col("_n").cast("double") <= 1.5 * n * range_ + 64.0 * range_)
     order = Window.partitionBy(*by).orderBy("_u", key)
     return thin.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_u", "_n", "_r")
