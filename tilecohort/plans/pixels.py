@@ -37,12 +37,12 @@ _SCREEN_NAMES = ["tissue_fraction", "purple_fraction", "purple_strength", "red_f
 @query(_PIXELS + """, f AS (SELECT *, r / 255 AS fr, g / 255 AS fg, b / 255 AS fb FROM px), c AS (SELECT *, fr * 0.299 + fg * 0.587 + fb * 0.114 AS gray, greatest(fr, fg, fb) - least(fr, fg, fb) AS ch, greatest(0.55 * fb + 0.35 * fr - 0.75 * fg, 0) AS p FROM f),
 t AS (SELECT *, gray < 0.93 AND (ch > 0.035 OR gray < 0.82) AS t, floor(r * 8 / 256) * 64 + floor(g * 8 / 256) * 8 + floor(b * 8 / 256) AS q FROM c),
 h AS (SELECT vec_id, sum(n * log2(n)) AS s, sum(n) AS n FROM (SELECT vec_id, q, count(*) AS n FROM t WHERE t GROUP BY ALL) GROUP BY vec_id)
-SELECT t.vec_id, round(avg(t::INTEGER), 6) AS tissue_fraction, round(avg((t AND p > 0.04)::INTEGER), 6) AS purple_fraction, round(avg(p) FILTER (t), 6) AS purple_strength, round(avg((t AND fr - greatest(fg, fb) > 0.05)::INTEGER), 6) AS red_fraction,
-round(avg((t AND gray < 0.72 AND ch < 0.12)::INTEGER), 6) AS gray_cluster_fraction, round(avg((t AND gray < 0.24)::INTEGER), 6) AS dark_fraction, round(avg((t AND ch > 0.55)::INTEGER), 6) AS extreme_saturation_fraction,
-round((log2(any_value(h.n)) - any_value(h.s) / any_value(h.n)) / 9, 6) AS color_entropy FROM t JOIN h ON t.vec_id = h.vec_id GROUP BY t.vec_id""")
+SELECT t.vec_id, round(avg(t::INTEGER), 9) AS tissue_fraction, round(avg((t AND p > 0.04)::INTEGER), 9) AS purple_fraction, round(avg(p) FILTER (t), 9) AS purple_strength, round(avg((t AND fr - greatest(fg, fb) > 0.05)::INTEGER), 9) AS red_fraction,
+round(avg((t AND gray < 0.72 AND ch < 0.12)::INTEGER), 9) AS gray_cluster_fraction, round(avg((t AND gray < 0.24)::INTEGER), 9) AS dark_fraction, round(avg((t AND ch > 0.55)::INTEGER), 9) AS extreme_saturation_fraction,
+round((log2(any_value(h.n)) - any_value(h.s) / any_value(h.n)) / 9, 9) AS color_entropy FROM t JOIN h ON t.vec_id = h.vec_id GROUP BY t.vec_id""")
 def screening_metrics(spark, sf_dir):
     rows = _tiles(spark, sf_dir).select("vec_id", screening.screening_metrics("pixels", "side").alias("m"))
-    return rows.select("vec_id", *[F.round(f"m.{c}", 6).alias(c) for c in _SCREEN_NAMES])
+    return rows.select("vec_id", *[F.round(f"m.{c}", 9).alias(c) for c in _SCREEN_NAMES])
 
 
 _METRIC_NAMES = [
