@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from tilecohort.plans import catalogue
+from tilecohort.plans import catalogue, cohort, pixels  # noqa: F401  (the last two add their queries)
 
 SF = "/root/testdata/sf0.001"
 

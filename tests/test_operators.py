@@ -91,6 +91,10 @@ def test_json_repair():
     assert text.repair_json('```json\n{"a": 1}\n```') == '{"a": 1}'
     assert text.repair_json('{"roi_assessment": "[{""i"": 1}]", "b": 2}') == '{"b": 2, "roi_assessment": [{"i": 1}]}'
     assert text.repair_json("none") is None and text.repair_json(None) is None
+    assert text.repair_json('<|begin_of_box|>\x1b[1m[{"a": ""x"", "b": null}, 2.5]\x1b[0m') == '[{"a": "x", "b": null}, 2.5]'
+    assert text.repair_json('{"a": "line\nend", "b": "q\\"q \\u00e9"') == '{"a": "line\\nend", "b": "q\\"q \\u00e9"}'
+    assert text.repair_json('{"roi_assessment": "[{\\"i\\": 1}]"}') == '{"roi_assessment": "[{\\"i\\": 1}]"}' and text.repair_json('{"roi_assessment": "[{\\"i\\": 1}]",}') == '{"roi_assessment": [{"i": 1}]}'
+    assert text.repair_json('{"a" 1}') is None
 
 
 def test_status_words(spark):
