@@ -94,13 +94,10 @@ def first_by_hash(rows: DataFrame, by: list[str], key: str, salt: str, n: int) -
     return thin.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_u", "_n", "_r")
 
 
-def in_both(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows whose key is in keys (key, hot), a row a key; hot keys, a thousand at most, are looked up without moving their rows."""
-    hot = F.broadcast(keys.filter("hot").select(key, F.lit(True).alias("_hot")))
-    placed = rows.join(hot, key, "left")
-    here = placed.filter("_hot").drop("_hot")
-    moved = placed.filter("_hot IS NULL").drop("_hot").join(keys.filter("NOT hot").select(key), key, "left_semi")
-    return here.unionByName(moved)
+def split_hot(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with one of keys, rows with another); keys are a thousand at most, so no row moves."""
+    few = F.broadcast(keys)
+    return rows.join(few, key, "left_semi"), rows.join(few, key, "left_anti")
 
 
 def one_text_each(rows: DataFrame, key: str, *content: str) -> None:

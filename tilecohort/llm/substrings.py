@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_both, one_text_each, written
+from .common import discard, one_text_each, split_hot, written
 from .words import column, inside, mix64, multipliers, slices, split, windows, word_hashes
 
 WINDOW = 13
@@ -163,17 +163,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     at = found.filter("h IS NOT NULL AND doc IS NOT NULL").select("h", "s", "doc", "pos")
     whole = written(found.filter("h IS NULL").select("doc", "n_words", "sha"), "whole")
     one_text_each(whole, "doc", "n_words", "sha")
-    rows = at.count()
-    # anchors with a thousandth of all rows or more, of which there are a thousand at most, are hot
-    shared = written(at.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b").select("h", (F.col("n") * 1000 > rows).alias("hot")), "shared")
-    seeds = written(in_both(at, shared, "h"), "seeds")
+    # frequent anchors: with a thousandth of a sample of documents' rows or more, so a thousand at most; this only decides how rows meet
+    some = at.filter(F.pmod(F.xxhash64("doc"), F.lit(64)) == 0)
+    hot = written(some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * 1000 > some.count()).select("h"), "hot")
+    several_docs = lambda rows: rows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
+    often, seldom = split_hot(at, hot, "h")
+    shared_hot = written(several_docs(often), "hot")
+    seeds = written(often.join(F.broadcast(shared_hot), "h", "left_semi").unionByName(seldom.join(several_docs(seldom), "h", "left_semi")), "seeds")
     discard(found)
 
     first = written(seeds.groupBy("h", "s").agg(F.min("doc").alias("first")), "segments")
-    several = written(first.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("h").join(shared, "h"), "several")
+    several = lambda rows: rows.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("h")
     placed = seeds.join(first, ["h", "s"])
     cut = placed.filter("doc > first").groupBy("doc").agg(F.collect_list("pos").alias("cut"))
-    ask = in_both(placed.filter("doc = first"), several, "h").groupBy("doc").agg(F.collect_list("pos").alias("ask"))
+    own_often, own_seldom = split_hot(placed.filter("doc = first"), shared_hot, "h")
+    several_hot = several(first.join(F.broadcast(shared_hot), "h", "left_semi"))
+    asked_of = own_often.join(F.broadcast(several_hot), "h", "left_semi").unionByName(own_seldom.join(several(first.join(F.broadcast(shared_hot), "h", "left_anti")), "h", "left_semi"))
+    ask = asked_of.groupBy("doc").agg(F.collect_list("pos").alias("ask"))
     todo = written(cut.join(ask, "doc", "full"), "todo")
     step = written(_second(named.join(todo, "doc").dropDuplicates(["doc"])), "step")
 
