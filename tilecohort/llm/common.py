@@ -100,6 +100,22 @@ def split_hot(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Da
     return rows.join(few, key, "left_semi"), rows.join(few, key, "left_anti")
 
 
+#: A key with over a HOT-th of what a table of classes counts is hot; there are HOT such keys at most.
+HOT = 1000
+
+
+def hot_joined(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
+    """rows with the columns of their class, a row a key, by equal keys; ``size`` is the number of rows of a class.
+
+    Classes of over a HOT-th of all rows, HOT at most, are broadcast, so their rows stay where they are; the others meet by a shuffle.
+    ``classes`` is read twice and should be a written table. Null keys find no class.
+    """
+    total = classes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.broadcast(classes.filter(F.col(size) * HOT > F.lit(int(total))))
+    seldom = classes.filter(F.col(size) * HOT <= F.lit(int(total)))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(seldom, keys, how))
+
+
 def one_text_each(rows: DataFrame, key: str, *content: str) -> None:
     """Fails unless rows that repeat a key agree in what names their content."""
     names = [F.max(F.struct(*content)) != F.min(F.struct(*content))]

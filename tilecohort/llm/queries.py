@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, langid, leaks, licenses, mil, neardup, quality, secrets, substrings
+from . import bpe, centroids, dac, langid, leaks, licenses, mil, neardup, quality, runs, secrets, simhash, substrings
 from .common import documents, held_out, new_path
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -62,7 +62,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), labels.filter(~held_out(F.col("doc_id"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_inheritance, op2_bpe_round_trip, op3_benchmark_leaks, op4_language_spans, op5_token_shards, op6_repeated_passages, op7_near_duplicates, op8_secret_ledger, op9_quality_attention, op10_quality_rules)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.collapse(runs.with_periodic_tails(documents(spark, sf_dir))))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_inheritance, op2_bpe_round_trip, op3_benchmark_leaks, op4_language_spans, op5_token_shards, op6_repeated_passages, op7_near_duplicates, op8_secret_ledger, op9_quality_attention, op10_quality_rules, op11_periodic_runs, op12_centroids, op13_simhash_groups)}
 
 
 def _secret_sql() -> str:
@@ -94,4 +106,25 @@ n AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w
 c AS (SELECT n.doc_id, count(r.p) AS n_removed, string_agg(word, ' ' ORDER BY n.p) FILTER (r.p IS NULL) AS kept FROM n LEFT JOIN r ON n.doc_id = r.doc_id AND n.p = r.p GROUP BY n.doc_id)
 SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN c ON w.doc_id = c.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op6_repeated_passages": _REPEAT_SQL, "op8_secret_ledger": _secret_sql()}
+def _centroid_sql(rounds: int = 10) -> str:
+    """Every round in full: distances to all centroids by list arithmetic, floors of the means, and the next round."""
+    nearest = "SELECT v.vec_id, v.x, arg_min(struct_pack(k := c.k, d := list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))), struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))), k := c.k)) AS b FROM v CROSS JOIN c{0} c GROUP BY v.n, v.vec_id, v.x"
+    parts = [
+        "e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda y: y::DOUBLE) AS y FROM embeddings WHERE len(embedding) = 64)",
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(y, lambda z: floor(1024 * z)::BIGINT) AS x FROM e WHERE len(list_filter(y, lambda z: z IS NOT NULL AND isfinite(z))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS k, x FROM v ORDER BY k LIMIT 8)",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"a{r} AS MATERIALIZED ({nearest.format(r)})",
+            f"m{r} AS MATERIALIZED (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (SELECT b.k AS k, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY b.k, i) GROUP BY k)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON c.k = m.k)",
+        ]
+    parts.append(f"a AS MATERIALIZED ({nearest.format(rounds)})")
+    named = f"SELECT k, sha256(array_to_string(x, ',')) AS h FROM c{rounds}"
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, b.k::INT AS cluster, b.d::BIGINT AS distance, sum(b.d) OVER (PARTITION BY b.k)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+FROM a JOIN ({named}) s ON a.b.k = s.k"""
+
+
+ORACLE_SQL: dict[str, str] = {"op12_centroids": _centroid_sql(), "op6_repeated_passages": _REPEAT_SQL, "op8_secret_ledger": _secret_sql()}

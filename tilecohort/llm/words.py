@@ -183,3 +183,16 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "biu" else values.dtype)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def joined(w: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): the words, or those that ``keep`` selects, each followed by one space, and where each stands."""
+    starts, ends = (w.starts, w.ends) if keep is None else (w.starts[keep], w.ends[keep])
+    size = ends - starts
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size + 1, out=at[1:])
+    out = np.full(at[-1], 0x20, np.uint8)
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum()))
+    out[np.repeat(at[:-1] - before, size) + place] = w.data[np.repeat(starts - before, size) + place]
+    return out, at[:-1], at[:-1] + size
