@@ -85,12 +85,13 @@ def linked(nodes: DataFrame) -> DataFrame:
     keys = nodes.select("doc", "fp", F.explode(variants(F.col("fp"))).alias("key"))
     drawn = F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc", "fp"))
     buckets = written(keys.groupBy("key").agg(F.count("*").alias("n"), drawn.alias("m")).filter("n > 1").select("key", "n", F.col("m.doc").alias("hub"), F.col("m.fp").alias("hub_fp")), "buckets")
-    live = written(hot_joined(keys, buckets, ["key"], "n", "inner").select("key", "doc", "fp", "hub", "hub_fp"), "live")
+    live = written(hot_joined(keys, buckets, ["key"], "n", "inner").select("key", "doc", "fp", "n", "hub", "hub_fp"), "live")
     star = written(live.filter((F.col("doc") != F.col("hub")) & _near("fp", "hub_fp")).select(F.col("doc").alias("u"), F.col("hub").alias("v")).distinct(), "links")
     same = written(connected(star), "components")
 
-    # what is still apart within a bucket
-    labelled = written(live.select("key", "doc", "fp").join(same.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "fp", F.coalesce("component", "doc").alias("c")), "labelled")
+    # what is still apart within a bucket; its hub has met all others, so a bucket of two is done
+    rest = live.filter((F.col("n") > 2) & (F.col("doc") != F.col("hub"))).select("key", "doc", "fp")
+    labelled = written(rest.join(same.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "fp", F.coalesce("component", "doc").alias("c")), "labelled")
     sizes = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = written(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("k")).filter("k > 1").select("key", "n", "most"), "mixed")
     apart = written(hot_joined(labelled, mixed, ["key"], "n", "inner").select("key", "doc", "fp", "c", "n", "most"), "apart")
