@@ -1,21 +1,19 @@
 """Candidate ranking within a view: filters, combined score, hints and spatial selection.
 
 The score is column arithmetic over one window a slide. Only selections that
-depend on what was selected before go through a slide's candidates in order in
-Python: sorted by Spark, streamed by Arrow batch, with what is taken as the only state.
+depend on what was selected before go through ``greedy.independent``, block by block of the slide.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .greedy import independent
+from .ordered import with_group
 from .scaling import zscore
 
 
@@ -128,70 +126,40 @@ def separation(least: float, tile: Column | float, s: Settings = DEFAULT) -> Col
     return F.greatest(F.lit(float(least)), F.round(F.lit(s.separation_of_tile) * tile))
 
 
-def _far(x: float, y: float, taken: list[tuple[float, float]], square: float) -> bool:
-    return all((x - a) ** 2 + (y - b) ** 2 >= square for a, b in taken)
-
-
-def _in_order(rows: DataFrame, by: list[str], order: list[Column], select: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
-    """Rows of each group in order through ``select``, a generator over one group; a task holds one Arrow batch, not a group.
-
-    ``select`` gets rows as dicts one by one and yields those to keep; what it leaves of a group is skipped.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = (r for batch in batches for r in batch.to_dict("records"))
-        kept: list[dict] = []
-        for _, group in itertools.groupby(stream, key=lambda r: tuple(r[c] for c in by)):
-            kept += select(group)
-            if len(kept) >= 1000:
-                yield pd.DataFrame(kept, columns=names)
-                kept = []
-        yield pd.DataFrame(kept, columns=names)
-
-    names = rows.columns
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, rows.schema)
+def _first(rows: DataFrame, by: list[str], k: Column | int, name: str, *order: Column) -> DataFrame:
+    """The first k rows of each group (null keys are one), numbered from 1 in ``name``."""
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= k)
+    return numbered.withColumn(name, F.col("_n").cast(rows.schema[name].dataType) if name in rows.columns else F.col("_n")).drop("_n")
 
 
 def suppress(rows: DataFrame, by: list[str], apart: float, k: int, order: str = "rank") -> DataFrame:
     """Greedy spatial suppression in order: a candidate nearer than ``apart`` to a taken one is passed over, until k are taken.
 
-    The whole order of a group is gone through; ranks are numbered anew.
+    Ranks are numbered anew. Null keys are one group, and so are all rows if there are no keys; a candidate without a place is never taken.
     """
-
-    def select(group: Iterator[dict]) -> Iterator[dict]:
-        taken: list[tuple[float, float]] = []
-        for r in group:
-            if _far(r["cx"], r["cy"], taken, apart**2):
-                taken.append((r["cx"], r["cy"]))
-                yield r | {order: len(taken)}
-                if len(taken) >= k:
-                    return
-
-    return _in_order(rows, by, [F.col(order), F.col("id")], select)
+    down = [F.col(order), F.col("id")]
+    taken = independent(rows, by, "cx", "cy", apart, *down).filter("taken").drop("taken")
+    return _first(taken, by, k, order, *down).select(*rows.columns)
 
 
 def diversify(rows: DataFrame, by: list[str], visited: list[tuple[float, float]], apart: float, visited_apart: float, least: int, k: int) -> DataFrame:
-    """Drops candidates near visited centres unless fewer than ``least`` stay, spaces the others out, then fills up to ``least``."""
+    """Drops candidates near visited centres unless fewer than ``least`` stay, spaces the others out, then fills up to ``least``.
+
+    Null keys are one group, and so are all rows if there are no keys; a candidate without a place counts as near a visited centre and only fills up.
+    """
     near = [(F.col("cx") - x) ** 2 + (F.col("cy") - y) ** 2 < visited_apart**2 for x, y in visited]
-    free = ~reduce(lambda a, b: a | b, near) if near else F.lit(True)
+    free = F.coalesce(~reduce(lambda a, b: a | b, near), F.lit(False)) if near else F.lit(True)
     counts = rows.groupBy(*by).agg(F.count_if(free).alias("_free"))
-    pool = rows.join(counts, by).filter((F.col("_free") < least) | free).select(*rows.columns)
-
-    def select(group: Iterator[dict]) -> Iterator[dict]:
-        taken: list[tuple[float, float]] = []
-        passed: list[dict] = []
-        for r in group:
-            if _far(r["cx"], r["cy"], taken, apart**2):
-                taken.append((r["cx"], r["cy"]))
-                yield r | {"rank": len(taken)}
-                if len(taken) >= k:
-                    return
-            elif len(passed) < least:
-                passed.append(r)
-        for n, r in enumerate(passed[: max(0, min(least, k) - len(taken))], len(taken) + 1):
-            yield r | {"rank": n}
-
-    return _in_order(pool, by, [F.col("rank"), F.col("id")], select)
+    pool = with_group(rows, counts, by).filter((F.col("_free") < least) | free).select(*rows.columns)
+    down = [F.col("rank"), F.col("id")]
+    found = independent(pool, by, "cx", "cy", apart, *down)
+    # the first k taken come before the fill, which is there only if fewer than ``least`` are taken
+    taken = _first(found.filter("taken"), by, k, "rank", *down)
+    spare = _first(found.filter("NOT taken"), by, max(0, min(least, k)), "rank", *down)
+    both = taken.withColumn("_fill", F.lit(0)).unionByName(spare.withColumn("_fill", F.lit(1)))
+    numbered = both.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_fill", "rank")))
+    kind = rows.schema["rank"].dataType
+    return numbered.filter((F.col("_fill") == 0) | (F.col("_n") <= min(least, k))).withColumn("rank", F.col("_n").cast(kind)).select(*rows.columns)
 
 
 def next_unattempted(rows: DataFrame, attempted: DataFrame, by: list[str], apart: float) -> DataFrame:

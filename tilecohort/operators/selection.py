@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clinical import hashed_order
+from .greedy import independent
 from .ordered import quantiles, with_group
-from .ranking import _in_order
+from .ranking import _first
 from .scaling import unit_scale
 
 
@@ -19,24 +18,14 @@ def separated(cells: DataFrame, by: list[str], score: str, keep: str) -> DataFra
     Cells lie two apart where the group has more than twice as many as it keeps, else any distinct ones do.
     Ties go to the upper, then the left cell. ``keep`` is a column that is constant in a group.
     """
-    total = F.count("*").over(Window.partitionBy(*by))
-    sized = cells.withColumn("_all", total)
-
-    def select(group: Iterator[dict]) -> Iterator[dict]:
-        taken: list[tuple[int, int]] = []
-        passed: list[dict] = []
-        for r in group:
-            wanted, apart = int(r[keep]), 2 if r["_all"] > 2 * r[keep] else 1
-            if len(taken) >= wanted:
-                return
-            if all(max(abs(r["gx"] - x), abs(r["gy"] - y)) >= apart for x, y in taken):
-                taken.append((r["gx"], r["gy"]))
-                yield r
-            elif len(passed) < wanted:
-                passed.append(r)
-        yield from passed[: max(0, wanted - len(taken))]
-
-    return _in_order(sized, by, [F.desc(score), F.col("gy"), F.col("gx")], select).drop("_all")
+    sized = with_group(cells, cells.groupBy(*by).agg(F.count("*").alias("_all")), by)
+    down = [F.desc(score), F.col("gy"), F.col("gx")]
+    apart = F.when(F.col("_all") > 2 * F.col(keep), 2).otherwise(1)
+    found = independent(sized, by, "gx", "gy", apart, *down, square=True)
+    taken = _first(found.filter("taken"), by, F.col(keep), "_i", *down)
+    spare = _first(found.filter("NOT taken"), by, F.col(keep), "_i", *down)
+    both = taken.withColumn("_fill", F.lit(0)).unionByName(spare.withColumn("_fill", F.lit(1)))
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_fill", "_i"))).filter(F.col("_n") <= F.col(keep)).select(*cells.columns)
 
 
 def dark_keep_count(n: Column, overlapping: Column) -> Column:
@@ -115,15 +104,7 @@ def region_crop(box: tuple[Column, Column, Column, Column], view: tuple[Column,
 
 def fresh_regions(rows: DataFrame, by: list[str], size: int) -> DataFrame:
     """Regions (cx, cy) in order of ``rank`` that aren't within half a size of one accepted before."""
-
-    def select(group: Iterator[dict]) -> Iterator[dict]:
-        taken: list[tuple[float, float]] = []
-        for r in group:
-            if all((r["cx"] - x) ** 2 + (r["cy"] - y) ** 2 >= (0.5 * size) ** 2 for x, y in taken):
-                taken.append((r["cx"], r["cy"]))
-                yield r
-
-    return _in_order(rows, by, [F.col("rank"), F.col("id")], select)
+    return independent(rows, by, "cx", "cy", 0.5 * size, F.col("rank"), F.col("id")).filter("taken").drop("taken")
 
 
 def box_of_view(x0: Column, y0: Column, x1: Column, y1: Column, view: tuple[Column, Column, Column, Column], width: Column, height: Column, shrink: float = 0.35, aspect: float = 1.4) -> Column:
