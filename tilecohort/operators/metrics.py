@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_p_value, t_interval_half, t_p_value
+from .bootstrap import Resampled
 from .ordered import PART, concordance, ranged, running, with_group
 
 POSITIVE, NEGATIVE, CALL_MORE = "positive", "negative", "call for more"
@@ -230,22 +231,9 @@ def cox_efron(rows: DataFrame, by: list[str], time: str, event: str, risk: str)
     return placed.withColumn("l", F.col("s") - logs).groupBy(*by).agg(F.round(F.sum("l"), 4).alias("loglik"))
 
 
-# The distribution function of a Poisson variable with mean 1.
-POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
-
-
 def bootstrap_auroc(rows: DataFrame, by: list[str], key: str, truth: str = "truth", score: str = "score", samples: int = 1000, seed: int = 0) -> DataFrame:
-    """Median and 95 % band of the AUROC over resamples, and how many had both classes.
-
-    A row's multiplicity in a resample is a Poisson draw from a hash of its key, so resamples need no
-    shuffle of their own and repeat exactly. The grouping key takes the resample in, so no task holds one whole.
-    """
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "sample", key).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    times = sum((F.when(drawn >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    each = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("m", times).filter("m > 0")
-    at = each.groupBy(*by, "sample", score).agg(F.sum(F.col(truth) * F.col("m")).cast("double").alias("p"), F.sum((1 - F.col(truth)) * F.col("m")).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "sample").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    areas = at.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(*by, "sample").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")).alias("a")).filter("a IS NOT NULL")
+    """Median and 95 % band of the AUROC over resamples, and how many had both classes."""
+    areas = Resampled(rows, by, key, truth, score, samples, seed).areas()
     q = lambda p, n: F.round(F.percentile("a", p), 6).alias(n)
     return areas.groupBy(*by).agg(F.count("*").alias("samples"), q(0.025, "low"), q(0.5, "median"), q(0.975, "high"))
 
@@ -256,9 +244,16 @@ def on_grid(points: DataFrame, by: list[str], x: str, y: str, steps: int = 1000)
     Each point serves the grid places up to the next one, so the join is an explosion of intervals.
     """
     best = points.groupBy(*by, x).agg(F.max(y).alias(y))
-    order = Window.partitionBy(*by).orderBy(x)
-    ends = best.select(*by, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(order).alias("x1"), F.lead(y).over(order).alias("y1"), F.row_number().over(order).alias("i"))
-    first = F.when(F.col("i") == 1, F.lit(0)).otherwise(F.ceil(F.col("x0") * (steps - 1)))
+    dealt = ranged(best, by, F.col(x))
+    # the next point is in the same range, or it is the first one of the next
+    local = Window.partitionBy(PART, *by).orderBy(x)
+    heads = dealt.groupBy(PART, *by).agg(F.min(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_h"))
+    over = Window.partitionBy(*by).orderBy(PART)
+    beyond = heads.select(PART, *by, F.lead("_h").over(over).alias("_next"), F.lag("_h").over(over).isNull().alias("_front"))
+    ahead = dealt.withColumn("_ahead", F.lead(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(local)).withColumn("_i", F.row_number().over(local))
+    joined = with_group(ahead, beyond, [PART, *by]).withColumn("_to", F.coalesce("_ahead", "_next"))
+    ends = joined.select(*by, F.col(x).alias("x0"), F.col(y).alias("y0"), F.col("_to.x").alias("x1"), F.col("_to.y").alias("y1"), (F.col("_front") & (F.col("_i") == 1)).alias("i"))
+    first = F.when(F.col("i"), F.lit(0)).otherwise(F.ceil(F.col("x0") * (steps - 1)))
     last = F.when(F.col("x1").isNull(), F.lit(steps - 1)).otherwise(F.ceil(F.col("x1") * (steps - 1)) - 1)
     placed = ends.filter(last >= first).withColumn("step", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     at = F.col("step") / float(steps - 1)

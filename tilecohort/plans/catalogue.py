@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
-from ..operators import assembly, metrics, ranking, scaling, steps, tiling, vectors
+from ..operators import assembly, bootstrap, metrics, ranking, scaling, steps, tiling, vectors
 from ..operators.ordered import quantiles
 from ..operators.scratch import new_path
 from ..streaming import steps as streams
@@ -242,18 +242,33 @@ def cox_efron_loglik(spark, sf_dir):
     return metrics.cox_efron(rows, ["o_orderpriority"], "time", "event", "risk")
 
 
-_DRAWS = " + ".join(f"(u >= {p})::INTEGER" for p in metrics.POISSON)
+_MIXED = """, h0 AS (SELECT target, score, truth, s, (('0x' || substr(md5('0:' || doc_id), 1, 8))::UBIGINT + s * 2654435769::UBIGINT) % 4294967296 AS h FROM x, (SELECT unnest(range(1, 1001))::UBIGINT AS s)),
+h1 AS (SELECT * REPLACE ((xor(h, h >> 16) * 2246822507::UBIGINT) % 4294967296 AS h) FROM h0), h2 AS (SELECT * REPLACE ((xor(h, h >> 13) * 3266489909::UBIGINT) % 4294967296 AS h) FROM h1),
+"""
+_DRAWN = _MIXED + f"w AS (SELECT target, score, truth, s, {' + '.join(f'(xor(h, h >> 16) >= {int(c)})::INTEGER' for c in bootstrap._CUTS)} AS m FROM h2), gw AS (SELECT target, s, score, sum(truth * m) AS p, sum((1 - truth) * m) AS n FROM w WHERE m > 0 GROUP BY ALL)"
 
 
-@query(_SCORED + f""", b AS (SELECT target, score, truth, s, ('0x' || substr(md5('0:' || s || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM x, (SELECT unnest(range(1, 1001)) AS s)),
-w AS (SELECT target, score, truth, s, {_DRAWS} AS m FROM b), gw AS (SELECT target, s, score, sum(truth * m)::DOUBLE AS p, sum((1 - truth) * m)::DOUBLE AS n FROM w WHERE m > 0 GROUP BY ALL),
-aw AS (SELECT target, s, p, n, p * (coalesce(sum(n) OVER (PARTITION BY target, s ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS won FROM gw),
-rw AS (SELECT target, s, sum(won) / nullif(sum(p) * sum(n), 0) AS a FROM aw GROUP BY target, s)
+@query(_SCORED + _DRAWN + """, aw AS (SELECT target, s, p, n, p * (coalesce(sum(n) OVER (PARTITION BY target, s ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS won FROM gw),
+rw AS (SELECT target, s, sum(won)::DOUBLE / nullif(sum(p) * sum(n), 0)::DOUBLE AS a FROM aw GROUP BY target, s)
 SELECT target, count(a) AS samples, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.5), 6) AS median, round(quantile_cont(a, 0.975), 6) AS high FROM rw GROUP BY target""")
 def bootstrap_auroc(spark, sf_dir):
     return metrics.bootstrap_auroc(_scored(spark, sf_dir), ["target"], "doc_id")
 
 
+_BAND = """ SELECT target, '{c}' AS curve, step, y FROM (SELECT target, s, y0, y1, x0, x1, a, unnest(range((999 * x0 + a - 1) // a, (999 * x1 + a - 1) // a)) AS step FROM {c}), LATERAL (SELECT y0 + (y1 - y0) * ((step * a / 999::DOUBLE - x0) / (x1 - x0)) AS y)"""
+
+
+@query(_SCORED + _DRAWN + """, c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER a AS ap, sum(n) OVER a AS an FROM gw WINDOW w AS (PARTITION BY target, s ORDER BY score DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY target, s)),
+v AS (SELECT target, s, (tp - p)::BIGINT AS t0, tp::BIGINT AS t1, (fp - n)::BIGINT AS f0, fp::BIGINT AS f1, ap::BIGINT AS ap, an::BIGINT AS an FROM c WHERE ap > 0 AND an > 0),
+roc AS (SELECT target, s, f0 AS x0, f1 AS x1, an AS a, t0 / ap::DOUBLE AS y0, t1 / ap::DOUBLE AS y1 FROM v WHERE f1 > f0),
+pr AS (SELECT target, s, t0 AS x0, t1 AS x1, ap AS a, CASE WHEN t0 + f0 > 0 THEN t0 / (t0 + f0)::DOUBLE ELSE 1.0 END AS y0, t1 / (t1 + f1)::DOUBLE AS y1 FROM v WHERE t1 > t0),
+al AS (""" + " UNION ALL ".join(_BAND.format(c=c) for c in ("roc", "pr")) + """ UNION ALL SELECT target, 'roc', 999, 1.0 FROM (SELECT DISTINCT target, s FROM v) UNION ALL SELECT target, 'pr', 999, ap / (ap + an)::DOUBLE FROM (SELECT DISTINCT target, s, ap, an FROM v))
+SELECT target, curve, step::INTEGER AS step, round(quantile_cont(y, 0.025), 6) AS low, round(quantile_cont(y, 0.975), 6) AS high FROM al GROUP BY target, curve, step""")
+def bootstrap_bands(spark, sf_dir):
+    """Where 95 % of 1,000 resampled ROC and precision-recall curves lie at 1,000 places."""
+    return bootstrap.Resampled(_scored(spark, sf_dir), ["target"], "doc_id").bands()
+
+
 @query(_SCORED + _CURVE + """, q AS (SELECT target, fpr AS x, max(tpr) AS y FROM (SELECT target, round(fp / nullif(an, 0), 6) AS fpr, round(tp / nullif(ap, 0), 6) AS tpr FROM d) GROUP BY ALL),
 e AS (SELECT target, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS i FROM q WINDOW w AS (PARTITION BY target ORDER BY x)),
 s AS (SELECT unnest(range(1000)) AS step), h AS (SELECT e.*, step, step / 999.0::DOUBLE AS g FROM e JOIN s ON (step / 999.0::DOUBLE >= x OR i = 1) AND (x1 IS NULL OR step / 999.0::DOUBLE < x1))
