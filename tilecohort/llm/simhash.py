@@ -6,9 +6,10 @@ bits with that bit as a wildcard: 64 keys a fingerprint, and equal keys are join
 and verified.
 
 Equal fingerprints are one node. A group of near copies shares most keys, so pairs aren't
-formed within a bucket: each fingerprint is first verified against one of its bucket,
-drawn by hash, and components are found; then only fingerprints of different components
+formed within a bucket: each fingerprint is first verified against a few with an equal
+segment, drawn by hash, and components are found; then only fingerprints of different components
 of a bucket are compared, those of its largest component with the others but not with each other.
+A bucket of two needs no join: both are in its aggregate.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ SHINGLE = 4
 BITS = 4
 #: (first bit, bits) of the segments; BITS // 3 = 1.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-#: Members of a bucket that one task compares with its smaller components.
-PIECE = 2048
+#: Fingerprints of a bucket of equal segments that its members are compared with first.
+HUBS = 16
+#: A bucket with a SHARE-th of all fingerprints or more is dealt out to PIECES tasks.
+SHARE, PIECES = 100, 64
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
 
@@ -76,32 +79,54 @@ def variants(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
+def plain(fp: Column) -> Column:
+    """The three segments of a fingerprint as they are, each as (number, bits) in one long."""
+    return F.array(*[F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(start << 22) for start, width in SEGMENTS])
+
+
+def _near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= BITS
+
+
+def _stars(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) of each node with the first near one of HUBS fingerprints, drawn by hash, of each bucket of equal segments, and of these with each other."""
+    keys = nodes.select("doc", "fp", F.explode(plain(F.col("fp"))).alias("key"))
+    drawn = keys.groupBy("key", F.pmod(F.xxhash64("key", "doc"), F.lit(HUBS)).alias("slot")).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "fp")).alias("m"))
+    buckets = written(drawn.groupBy("key").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("m")).alias("hubs")), "buckets")
+    near = F.filter("hubs", lambda m: (m["doc"] != F.col("doc")) & _near(m["fp"], F.col("fp")))
+    first = hot_joined(keys, buckets, ["key"], "n", "inner").select(F.col("doc").alias("u"), F.get(near, 0)["doc"].alias("v")).filter("v IS NOT NULL")
+    links = written(first.distinct(), "links")
+    discard(buckets)
+    return links
 
 
 def linked(nodes: DataFrame) -> DataFrame:
     """(node, component) of the nodes (doc: long, fp; a row a fingerprint) that link with any other."""
-    keys = nodes.select("doc", "fp", F.explode(variants(F.col("fp"))).alias("key"))
-    drawn = F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc", "fp"))
-    buckets = written(keys.groupBy("key").agg(F.count("*").alias("n"), drawn.alias("m")).filter("n > 1").select("key", "n", F.col("m.doc").alias("hub"), F.col("m.fp").alias("hub_fp")), "buckets")
-    live = written(hot_joined(keys, buckets, ["key"], "n", "inner").select("key", "doc", "fp", "n", "hub", "hub_fp"), "live")
-    star = written(live.filter((F.col("doc") != F.col("hub")) & _near("fp", "hub_fp")).select(F.col("doc").alias("u"), F.col("hub").alias("v")).distinct(), "links")
-    same = written(connected(star), "components")
-
-    # what is still apart within a bucket; its hub has met all others, so a bucket of two is done
-    rest = live.filter((F.col("n") > 2) & (F.col("doc") != F.col("hub"))).select("key", "doc", "fp")
-    labelled = written(rest.join(same.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "fp", F.coalesce("component", "doc").alias("c")), "labelled")
-    sizes = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = written(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("k")).filter("k > 1").select("key", "n", "most"), "mixed")
-    apart = written(hot_joined(labelled, mixed, ["key"], "n", "inner").select("key", "doc", "fp", "c", "n", "most"), "apart")
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    left = apart.select("key", F.pmod(F.xxhash64("doc"), pieces).cast("int").alias("piece"), "fp", "c")
-    right = apart.filter("c <> most").select("key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    across = left.join(right, (left.key == right.key) & (left.piece == right.piece) & (F.col("c") != F.col("c2")) & _near("fp", "fp2"))
-    more = across.select(F.col("c").alias("u"), F.col("c2").alias("v")).distinct()
+    links = _stars(nodes)
+    same = written(connected(links), "components")
+    sizes = same.groupBy("component").agg(F.count("*").alias("size"))
+    named = hot_joined(same, written(sizes, "sizes"), ["component"], "size", "inner").select(F.col("node").alias("doc"), F.col("component").alias("c"), "size")
+    labelled = written(nodes.join(named, "doc", "left").select("fp", F.coalesce("c", "doc").alias("c"), F.coalesce("size", F.lit(1).cast("long")).alias("size")), "labelled")
+
+    # buckets of several components; the one with most members anywhere isn't compared with itself
+    keys = labelled.select("fp", "c", "size", F.explode(variants(F.col("fp"))).alias("key"))
+    member = F.struct("size", "c", "fp")
+    mixed = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("lo"), F.max(member).alias("hi")).filter("lo.c <> hi.c").select("key", "n", "lo", "hi"), "mixed")
+    pairs = mixed.filter((F.col("n") == 2) & _near(F.col("lo.fp"), F.col("hi.fp"))).select(F.col("lo.c").alias("u"), F.col("hi.c").alias("v"))
+    many = mixed.filter("n > 2").select(F.col("key").alias("k"), "n", F.col("hi.c").alias("most"))
+    # a fingerprint is in 64 buckets, so 64 * SHARE buckets at most hold a SHARE-th of all fingerprints each
+    hot = [r.k for r in many.filter(F.col("n") * SHARE > labelled.count()).select("k").collect()]
+    is_hot = lambda k: k.isin(hot) if hot else F.lit(False)
+    of = (F.col("key") == F.col("k")) & (F.col("c") != F.col("most"))
+    rare = keys.filter(~is_hot(F.col("key"))).join(many.filter(~is_hot(F.col("k"))), of)
+    minor = written(keys.filter(is_hot(F.col("key"))).join(F.broadcast(many.filter(is_hot(F.col("k")))), of).unionByName(rare).select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2")), "minor")
+    # the rows of a hot bucket are dealt out to PIECES tasks, each with all its smaller components
+    left = keys.select("key", "fp", "c", F.when(is_hot(F.col("key")), F.pmod(F.xxhash64("fp"), F.lit(PIECES))).otherwise(0).cast("int").alias("piece"))
+    right = minor.select(F.col("key").alias("k"), "fp2", "c2", F.explode(F.when(is_hot(F.col("key")), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))).alias("p"))
+    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("piece") == F.col("p")) & (F.col("c") != F.col("c2")) & _near(F.col("fp"), F.col("fp2")))
+    more = pairs.unionByName(across.select(F.col("c").alias("u"), F.col("c2").alias("v"))).distinct()
     result = written(connected(same.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
-    for table in (buckets, live, star, same, labelled, mixed, apart):
+    for table in (links, same, labelled, mixed, minor):
         discard(table)
     return result
 
