@@ -116,6 +116,21 @@ def hot_joined(rows: DataFrame, classes: DataFrame, keys: list[str], size: str,
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(seldom, keys, how))
 
 
+def salted(left: DataFrame, right: DataFrame, key: str, pieces: int = 16) -> DataFrame:
+    """left joined with right, a row a key, where keys with over a HOT-th of left's rows are dealt out to ``pieces`` tasks, each with a copy of their row.
+
+    ``left`` is read twice and should be a written table. The hot keys, HOT at most, are known to the driver.
+    """
+    total = left.count()
+    hot = [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") * HOT > total) & (F.col("n") > 16 * pieces)).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    is_hot, piece = F.col(key).isin(hot), "_piece"
+    dealt = left.withColumn(piece, F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(pieces))).otherwise(0).cast("int"))
+    copies = right.withColumn(piece, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, piece]).drop(piece)
+
+
 def one_text_each(rows: DataFrame, key: str, *content: str) -> None:
     """Fails unless rows that repeat a key agree in what names their content."""
     names = [F.max(F.struct(*content)) != F.min(F.struct(*content))]

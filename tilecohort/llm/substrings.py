@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, one_text_each, split_hot, written
+from .common import discard, hot_joined, one_text_each, split_hot, written
 from .words import column, inside, mix64, multipliers, slices, split, windows, word_hashes
 
 WINDOW = 13
@@ -172,20 +172,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     seeds = written(often.join(F.broadcast(shared_hot), "h", "left_semi").unionByName(seldom.join(several_docs(seldom), "h", "left_semi")), "seeds")
     discard(found)
 
-    first = written(seeds.groupBy("h", "s").agg(F.min("doc").alias("first")), "segments")
+    first = written(seeds.groupBy("h", "s").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "segments")
     several = lambda rows: rows.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("h")
-    placed = seeds.join(first, ["h", "s"])
+    placed = hot_joined(seeds, first, ["h", "s"], "n", "inner")
     cut = placed.filter("doc > first").groupBy("doc").agg(F.collect_list("pos").alias("cut"))
     own_often, own_seldom = split_hot(placed.filter("doc = first"), shared_hot, "h")
     several_hot = several(first.join(F.broadcast(shared_hot), "h", "left_semi"))
     asked_of = own_often.join(F.broadcast(several_hot), "h", "left_semi").unionByName(own_seldom.join(several(first.join(F.broadcast(shared_hot), "h", "left_anti")), "h", "left_semi"))
     ask = asked_of.groupBy("doc").agg(F.collect_list("pos").alias("ask"))
     todo = written(cut.join(ask, "doc", "full"), "todo")
+    for table in (seeds, first, hot, shared_hot):
+        discard(table)
     step = written(_second(named.join(todo, "doc").dropDuplicates(["doc"])), "step")
+    discard(todo)
 
     asked = step.filter("w1 IS NOT NULL").select("w1", "w2", "doc", "pos")
-    origin = asked.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("b")).filter("first < b").select("w1", "w2", "first")
-    more = asked.join(origin, ["w1", "w2"]).filter("doc > first").groupBy("doc").agg(F.collect_list(F.shiftleft("pos", 4).bitwiseOR(F.lit(1))).alias("more"))
+    origin = written(asked.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("first < b").select("w1", "w2", "first", "n"), "origin")
+    more = hot_joined(asked, origin, ["w1", "w2"], "n", "inner").filter("doc > first").groupBy("doc").agg(F.collect_list(F.shiftleft("pos", 4).bitwiseOR(F.lit(1))).alias("more"))
     going = step.filter("text IS NOT NULL").select("doc", "text", "cut").join(more, "doc", "left")
     late = _last(going.select("doc", "text", F.concat(F.coalesce("cut", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>"))).alias("cut")))
     early = step.filter("w1 IS NULL AND text IS NULL").select("doc", "n_words", "n_removed", "sha")
