@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, one_text_each, written
+from .common import discard, hot_joined, one_text_each, salted, written
 from .components import connected
 from .words import column, mix64, multipliers, slices, split, windows, word_hashes
 
@@ -103,7 +103,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield out.filter(pa.array(same >= AGREE))
 
     sig = nodes.select("doc", "sig")
-    full = pairs.join(sig.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
+    # the signature of a bucket's hub goes to its many pairs in copies
+    full = salted(pairs, sig.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a")
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same int")
 
 
@@ -120,10 +121,21 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.select("a", "b").join(sets.select(F.col("doc").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("x").alias("xb")), "b")
+    full = salted(pairs.select("a", "b"), sets.select(F.col("doc").alias("b"), F.col("x").alias("xb")), "b").join(sets.select(F.col("doc").alias("a"), F.col("x").alias("xa")), "a")
     return full.select("a", "b", "xa", "xb").mapInArrow(run, "u long, v long")
 
 
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, n: int | None = None) -> DataFrame:
+    """The links among pairs, written; with n, of each a only the n pairs whose signatures agree most are compared in full."""
+    asked = written(pairs, "pairs")
+    alike = _alike(asked, nodes)
+    near = written(_best(alike, n) if n else alike.select("a", "b"), "pairs")
+    links = written(_links(near, sets), "links")
+    discard(asked)
+    discard(near)
+    return links
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, x): the full shingle sets of the wanted documents."""
 
@@ -189,14 +201,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = written(sketches(docs, doc_id, text), "sketches")
     one_text_each(rows, "doc_id", "n_shingles", "k1", "k2")
     real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "nodes")
+    nodes = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count("*").alias("n")), "nodes")
     keys = band_keys(nodes)
     hubs = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).filter("hub < top")
     live = written(keys.join(hubs, "key").select("key", "doc", "hub"), "buckets")
     sets = written(_sets(docs, live.select("doc").distinct(), doc_id, text).dropDuplicates(["doc"]), "sets")
 
     first = live.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(_links(_best(_alike(first, nodes), 2), sets), "links")
+    links = _verified(first, nodes, sets, 2)
     same = written(connected(links), "components")
 
     # second round: each document against a member of another component of its bucket
@@ -204,17 +216,20 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     hashed = members.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc")).alias("m"))
     ends = hashed.groupBy("key").agg(F.min(F.struct("c", "m.doc")).alias("low"), F.max(F.struct("c", "m.doc")).alias("high"))
     second = members.join(ends, "key").select(F.col("doc").alias("a"), F.when(F.col("c") == F.col("low.c"), F.col("high.doc")).otherwise(F.col("low.doc")).alias("b")).distinct()
-    more = written(_links(_best(_alike(second, nodes), 4), sets), "links")
+    more = _verified(second, nodes, sets, 4)
     same = written(connected(_joined(same, more)), "components")
 
     # last round: what is still apart within a bucket
     rest = written(_members(members.select("key", "doc"), same), "members")
-    last = written(_links(_alike(_across(rest, sets), nodes), sets), "links")
+    last = _verified(_across(rest, sets), nodes, sets)
     same = written(connected(_joined(same, last)), "components")
 
-    named = nodes.select("k1", "k2", "doc").join(same.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "k2", F.coalesce("component", "doc").alias("component"))
-    found = rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    named = nodes.select("k1", "k2", "doc", "n").join(same.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "k2", "n", F.coalesce("component", "doc").alias("component"))
+    is_real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    slim = rows.select("doc_id", "n_shingles", "k1", "k2")
+    # equal texts meet their component where they are, and texts without a word need none
+    found = hot_joined(slim.filter(is_real), written(named, "classes"), ["k1", "k2"], "n").select("doc_id", "n_shingles", "component").unionByName(slim.filter(~is_real).select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    component = F.col("component")
     for table in (live, sets, links, members, more, rest, last):
         discard(table)
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
