@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import HOT, free_name, hot_joined, written
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,13 @@ def by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return flat.distinct().groupBy("blob").agg(F.array_sort(F.collect_list("x")).alias("found"))
 
 
+def _classes(addresses: DataFrame, held: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, found, n) of the blobs with findings, and of those that a HOT-th of all rows share; n: rows that share it."""
+    counts = addresses.groupBy("blob").agg(F.count("*").alias("n"))
+    joined = counts.join(by_blob(held, rules), "blob", "left")
+    return written(joined.filter(F.col("found").isNotNull() | (F.col("n") * HOT > F.lit(addresses.count()))).select("blob", "found", "n"), "classes")
+
+
 def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Secrets of every row of docs, by way of the ledger.
 
@@ -125,7 +132,7 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_
         return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    rows = addresses.join(by_blob(held, rules), "blob", "left").withColumn("found", F.coalesce("found", nothing))
+    rows = hot_joined(addresses, _classes(addresses, held, rules), ["blob"], "n").withColumn("found", F.coalesce("found", nothing))
 
     def count(number: int) -> Column:
         return F.size(F.filter("found", lambda x: x["kind"] == number)).cast("long")
@@ -138,12 +145,13 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id
     """docs with every secret replaced by a mark (overlapping ones by one mark).
 
     All rows and columns stay, whatever their names; null and empty texts and repeated rows stay as they are, an empty table empty.
-    Copies meet their findings in a join on the blob, which adaptive execution splits where one blob is hot.
+    Copies of a blob that many rows share get its findings where they are; other rows meet theirs by a shuffle.
     """
-    _, held = scan(docs, ledger, rules, doc_id, text)
-    blob, found = free_name("_blob", docs), free_name("_found", docs)
+    addresses, held = scan(docs, ledger, rules, doc_id, text)
+    blob, found, n = (free_name(c, docs) for c in ("_blob", "_found", "_n"))
     keyed = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    rows = keyed.join(by_blob(held, rules).select(F.col("blob").alias(blob), F.col("found").alias(found)), blob, "left")
+    classes = _classes(addresses, held, rules).select(F.col("blob").alias(blob), F.col("found").alias(found), F.col("n").alias(n))
+    rows = hot_joined(keyed, classes, [blob], n)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
