@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from tilecohort.plans import catalogue, cohort, logs, pixels  # noqa: F401  (the last ones add their queries)
+from tilecohort.plans import catalogue, cohort, indexed, logs, pixels  # noqa: F401  (the last ones add their queries)
 
 SF = "/root/testdata/sf0.001"
 
