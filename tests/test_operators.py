@@ -126,13 +126,6 @@ def test_workbook(spark, tmp_path):
     assert [(r.PATIENT, r.none, r.AGE) for r in got] == [("p1", None, "7")] and tables.column_index("AB") == 27
 
 
-def test_append_new(spark, tmp_path):
-    path, rows = str(tmp_path / "t"), spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    tables.append_new(rows, path, ["k"])
-    tables.append_new(rows.union(spark.createDataFrame([(3, "c")], "k int, v string")), path, ["k"])
-    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3]
-
-
 def test_masks_and_boxes():
     mask = np.zeros((40, 40), bool)
     mask[6:30, 7:29] = True

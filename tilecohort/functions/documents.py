@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import json_object
 
@@ -18,16 +22,51 @@ def without_evidence(rows: DataFrame) -> DataFrame:
     return rows.drop(*EVIDENCE)
 
 
-def without_paths(document: Column) -> Column:
-    """A JSON text without the members that name a server's files, at any depth.
+_TOKEN = re.compile(r'\s+|"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+|"')
+
+
+def stripped(document: str, names: frozenset[str]) -> str:
+    """The document without the members of these names, whatever their values and at any depth; all else stays as it is written.
 
-    Members are cut out of the text: those with a string, number or word as value. Other members and their order stay.
+    One pass over the tokens: a member goes from its name to the end of its value, with the comma before it, or the one after it if it comes first.
     """
-    name = "|".join(PATHS)
-    value = r'(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)'
-    member = rf'"(?:{name})"\s*:\s*{value}'
-    # after a comma, or else before one, or alone
-    return F.regexp_replace(F.regexp_replace(document, rf",\s*{member}(?=\s*[,}}])", ""), rf"(?<=\{{)\s*{member}\s*(?:,\s*)?", "")
+    tokens = _TOKEN.findall(document)
+    out: list[str] = []
+    inside: list[list] = []  # of each open bracket: which one, whether a member stands already, and where what follows the last comma begins
+    i, n = 0, len(tokens)
+    while i < n:
+        token = tokens[i]
+        if token in "{[":
+            inside.append([token, False, len(out) + 1])
+        elif token in "}]" and inside:
+            inside.pop()
+        elif token == "," and inside and inside[-1][0] == "{":
+            inside[-1][2] = len(out)
+        elif token[0] == '"' and inside and inside[-1][0] == "{" and not any(t[0] not in ", \n\t\r" for t in out[inside[-1][2] :]):
+            after = next((k for k in range(i + 1, n) if not tokens[k].isspace()), n)
+            if after < n and tokens[after] == ":" and token[1:-1] in names:
+                i, depth = after + 1, 0
+                while i < n and (depth or tokens[i] not in ",}]"):
+                    depth += (tokens[i] in "{[") - (tokens[i] in "}]")
+                    i += 1
+                del out[inside[-1][2] :]
+                if not inside[-1][1] and i < n and tokens[i] == ",":
+                    i += 1  # the next member is the first one now
+                    while i < n and tokens[i].isspace():
+                        i += 1
+                    inside[-1][2] = len(out)
+                continue
+            inside[-1][1] = True
+        out.append(token)
+        i += 1
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def without_paths(document: pd.Series) -> pd.Series:
+    """JSON texts without the members that name a server's files, at any depth and with any value; null stays null."""
+    names = frozenset(PATHS)
+    return document.map(lambda d: stripped(d, names) if d is not None else None)
 
 
 def _field(document: Column, path: str) -> Column:

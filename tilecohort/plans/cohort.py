@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import documents, text
 from ..operators import assembly, clinical, metrics, ranking, reports, scaling, selection, steps, tiling, vectors
 from ..operators.scratch import new_path
-from ..sources import tables
+from ..sources import tables, versions
 from .catalogue import _CANDIDATES, _GRID, _KNN, _LANGS, _PATIENTS, _SURVIVAL, T_SQL, _candidates, _parts, _patients, _references, _slides, _survival, _tiles, query, t_p_sql, table
 
 # Statistics tables --------------------------------------------------------------------------
@@ -623,6 +623,26 @@ def guarded_append(spark, sf_dir):
     """An append that is run twice, then with rows that are new."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     path = new_path(spark, "append")
-    tables.append_new(rows, path, ["c_custkey"])
-    tables.append_new(rows.unionByName(rows.filter("c_custkey % 10 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000)), path, ["c_custkey"])
-    return spark.read.parquet(path)
+    versions.append_new(rows, path, ["c_custkey"])
+    versions.append_new(rows, path, ["c_custkey"])
+    versions.append_new(rows.unionByName(rows.filter("c_custkey % 10 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000)), path, ["c_custkey"])
+    return versions.read(spark, path)
+
+
+@query("SELECT 1 AS version, c_custkey, c_mktsegment AS segment FROM customer UNION ALL SELECT 2, c_custkey, upper(c_name) FROM customer WHERE c_custkey % 3 = 0")
+def published_versions(spark, sf_dir):
+    """Two versions of a table; the first is read after the second is published."""
+    rows, path = table(spark, sf_dir, "customer"), new_path(spark, "versions")
+    versions.publish(rows.select("c_custkey", F.col("c_mktsegment").alias("segment")), path)
+    first = versions.read(spark, path)
+    versions.publish(rows.filter("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("segment")), path)
+    return first.select(F.lit(1).alias("version"), "*").unionByName(versions.read(spark, path).select(F.lit(2).alias("version"), "*"))
+
+
+@query("""SELECT doc_id, '{"keep":' || doc_id || ',"list":[1,{"z":"' || coalesce(source, '') || '"},{}],"in":{"b":[]}}' AS document FROM documents""")
+def nested_path_strip(spark, sf_dir):
+    """Path members with objects, lists and texts as values, first, amid and last, at several depths."""
+    quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
+    parts = ['{"path":{"x":"/s","path":[1]},"keep":', F.col("doc_id").cast("string"), ',"debug_path":["/p",{"a":"}"}],"list":[1,{"z":', quoted(F.col("source")), ',"out_dir":null},{"save_dir":"a, \\"b"}],"in":{"path":1,"b":[]},"overview_path":{}}']
+    text_ = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return table(spark, sf_dir, "documents").select("doc_id", documents.without_paths(text_).alias("document"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -58,20 +59,41 @@ def first_seen(table: DataFrame, column: str, order: str) -> DataFrame:
     return table.filter(F.col(column).isNotNull()).groupBy(value.alias("value")).agg(F.min(order).alias("first"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, text) of text files, lines counted from 1; a large file is read in splits.
+
+    Each split numbers its own lines; the splits' line counts, a row a split, are summed up in order of their place in the file.
+    """
+    read = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    lines = read.withColumn("i", F.monotonically_increasing_id())
+    splits = lines.groupBy("path", "block").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(offsets, ["path", "block"]).select("path", (F.col("i") - F.col("first") + F.col("before") + 1).alias("line"), "text")
+
+
 def read_coordinates(spark: SparkSession, path: str, keep: list[str] | None = None) -> DataFrame:
-    """(x, y, keep) of CSV files with a header x0,y0 or x,y; a row whose coordinates are no whole numbers fails the query with its text."""
-    table = read_strings(spark, path)
-    low = {c.strip().lower(): c for c in table.columns}
-    names = next(((low[a], low[b]) for a, b in (("x0", "y0"), ("x", "y")) if a in low and b in low), None)
-    if names is None:
-        raise ValueError(f"{path}: no columns x0,y0 or x,y in {', '.join(table.columns)}")
-    whole = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in table.columns])
+    """(x, y, keep) of CSV files with a header x0,y0 or x,y; a fraction is cut off.
+
+    A row without two numbers fails the query with its file and line. Records are lines; empty lines are skipped. All files of a path need one header.
+    """
+    lines = numbered_lines(spark, path).withColumn("text", F.regexp_replace("text", "^\ufeff", ""))
+    headers = [r.text for r in lines.filter("line = 1").select("text").distinct().take(2)]
+    if len(headers) != 1:
+        raise ValueError(f"{path}: {'several headers' if headers else 'no header'}")
+    names = next(csv.reader(headers))
+    low = {c.strip().lower(): i for i, c in enumerate(names)}
+    pair = next(((low[a], low[b]) for a, b in (("x0", "y0"), ("x", "y")) if a in low and b in low), None)
+    if pair is None:
+        raise ValueError(f"{path}: no columns x0,y0 or x,y in {', '.join(names)}")
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = lines.filter("line > 1 AND trim(text) <> ''").withColumn("r", F.from_csv("text", fields, {"escape": '"'}))
     numbers = []
-    for c, to in zip(names, ("x", "y")):
-        value = F.trim(F.col(c)).try_cast("long")
-        wrong = F.raise_error(F.concat(F.lit("bad coordinates in "), F.col("_metadata.file_name"), F.lit(": "), whole)).cast("long")
-        numbers.append(F.when(value.isNull(), wrong).otherwise(value).alias(to))
-    return table.select(*numbers, *(keep or []))
+    for i, to in zip(pair, ("x", "y")):
+        value = F.trim(F.col(f"r.c{i}")).try_cast("double")
+        wrong = F.raise_error(F.concat(F.lit("bad coordinates in "), F.element_at(F.split("path", "/"), -1), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), F.col("text"))).cast("long")
+        numbers.append(F.when(value.isNull() | F.isnan(value) | (F.abs(value) > 9e18), wrong).otherwise(value.cast("long")).alias(to))
+    return rows.select(*numbers, *[F.col(f"r.c{names.index(k)}").alias(k) for k in keep or []])
 
 
 def resolve_regions(files: DataFrame, folder: str = "folder", path: str = "path") -> DataFrame:
@@ -216,18 +238,6 @@ def write_csv(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
     table.write.mode(mode).csv(path, header=True)
 
 
-def append_new(table: DataFrame, path: str, key: list[str]) -> None:
-    """Appends rows whose key the Parquet table lacks; runs again without effect."""
-    spark = table.sparkSession
-    try:
-        old = spark.read.parquet(path).select(*key)
-        table = table.join(old, key, "left_anti")
-    except Exception as e:  # the table doesn't exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    table.dropDuplicates(key).write.mode("append").parquet(path)
-
-
 def public_json(row: Column, fields: list[str]) -> Column:
     """A document of the fields whose names don't begin with an underscore."""
     return F.to_json(F.struct(*[row[f].alias(f) for f in fields if not f.startswith("_")]), {"ignoreNullFields": "false"})
