@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, hot_joined, one_text_each, split_hot, written
@@ -30,7 +30,7 @@ from .words import column, inside, mix64, multipliers, slices, split, windows, w
 WINDOW = 13
 K = 5
 _FOUND = "h long, s long, doc long, pos long, n_words long, sha string"
-_SECOND = "doc long, w1 long, w2 int, pos long, n_words long, n_removed long, sha string, text string, cut array<long>"
+_SECOND = "doc long, w1 long, w2 int, pos long, n_words long, n_removed long, sha string"
 
 
 def segments(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -96,10 +96,10 @@ def _spread(packed: np.ndarray, n: int) -> np.ndarray:
 
 
 def _second(docs: DataFrame) -> DataFrame:
-    """Of documents with ``cut`` (runs to remove) and ``ask`` (segments to compare by window): the windows asked for and the text to go on with, or else the result."""
+    """Of documents with ``cut`` (runs to remove) and ``ask`` (segments to compare by window): the windows asked for, or else the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.schema([("doc", pa.int64()), ("w1", pa.int64()), ("w2", pa.int32()), ("pos", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("cut", pa.list_(pa.int64()))])
+        fields = pa.schema([("doc", pa.int64()), ("w1", pa.int64()), ("w2", pa.int32()), ("pos", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string())])
 
         def rows(n: int, **cols) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in fields], schema=fields)
@@ -119,8 +119,6 @@ def _second(docs: DataFrame) -> DataFrame:
                 ok = at + WINDOW <= w.bounds[doc + 1]
                 doc, pos, at = doc[ok], pos[ok], at[ok]
                 yield rows(len(at), doc=pa.array(ids[doc]), w1=pa.array(one[at].view(np.int64)), w2=pa.array((two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pos=pa.array(pos))
-                take = pa.array(which)
-                yield rows(len(which), doc=pa.array(ids[which]), text=column(part, "text").take(take), cut=cuts.take(take))
             rest = np.setdiff1d(np.arange(part.num_rows), which)
             if len(rest):
                 yield rows(len(rest), **_result(w, ids, cuts, rest))
@@ -166,31 +164,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # frequent anchors: with a thousandth of a sample of documents' rows or more, so a thousand at most; this only decides how rows meet
     some = at.filter(F.pmod(F.xxhash64("doc"), F.lit(64)) == 0)
     hot = written(some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * 1000 > some.count()).select("h"), "hot")
-    several_docs = lambda rows: rows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
     often, seldom = split_hot(at, hot, "h")
-    shared_hot = written(several_docs(often), "hot")
-    seeds = written(often.join(F.broadcast(shared_hot), "h", "left_semi").unionByName(seldom.join(several_docs(seldom), "h", "left_semi")), "seeds")
-    discard(found)
-
-    first = written(seeds.groupBy("h", "s").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "segments")
-    several = lambda rows: rows.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("h")
-    placed = hot_joined(seeds, first, ["h", "s"], "n", "inner")
-    cut = placed.filter("doc > first").groupBy("doc").agg(F.collect_list("pos").alias("cut"))
-    own_often, own_seldom = split_hot(placed.filter("doc = first"), shared_hot, "h")
-    several_hot = several(first.join(F.broadcast(shared_hot), "h", "left_semi"))
-    asked_of = own_often.join(F.broadcast(several_hot), "h", "left_semi").unionByName(own_seldom.join(several(first.join(F.broadcast(shared_hot), "h", "left_anti")), "h", "left_semi"))
-    ask = asked_of.groupBy("doc").agg(F.collect_list("pos").alias("ask"))
-    todo = written(cut.join(ask, "doc", "full"), "todo")
-    for table in (seeds, first, hot, shared_hot):
+    # other anchors are dealt out once; windows over anchor and segment, then over anchor, need no further move
+    segment, anchor = Window.partitionBy("h", "s"), Window.partitionBy("h")
+    placed = seldom.withColumn("first", F.min("doc").over(segment)).withColumns({"a": F.min("doc").over(anchor), "b": F.max("doc").over(anchor), "one": F.min("s").over(anchor) == F.max("s").over(anchor)})
+    cold = placed.filter("a < b AND (doc > first OR NOT one)").select("doc", "pos", "first")
+    # hot anchors are summed up by segment, and copies of hot segments stay where they are
+    segments_ = often.groupBy("h", "s").agg(F.min("doc").alias("first"), F.max("doc").alias("b"), F.count("*").alias("n"))
+    first = written(segments_, "segments")
+    by_anchor = first.groupBy("h").agg(F.min("first").alias("a"), F.max("b").alias("z"), (F.min("s") == F.max("s")).alias("one")).filter("a < z").select("h", "one")
+    shared = hot_joined(often, first.select("h", "s", "first", "n"), ["h", "s"], "n", "inner").join(F.broadcast(by_anchor), "h")
+    marked = cold.unionByName(shared.filter("doc > first OR NOT one").select("doc", "pos", "first"))
+    runs = lambda of: F.collect_list(F.when(of, F.col("pos")))
+    todo = written(marked.groupBy("doc").agg(runs(F.col("doc") > F.col("first")).alias("cut"), runs(F.col("doc") == F.col("first")).alias("ask")), "todo")
+    for table in (found, first, hot):
         discard(table)
-    step = written(_second(named.join(todo, "doc").dropDuplicates(["doc"])), "step")
-    discard(todo)
+    texts = named.join(todo, "doc").dropDuplicates(["doc"])
+    step = written(_second(texts), "step")
 
     asked = step.filter("w1 IS NOT NULL").select("w1", "w2", "doc", "pos")
     origin = written(asked.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("first < b").select("w1", "w2", "first", "n"), "origin")
     more = hot_joined(asked, origin, ["w1", "w2"], "n", "inner").filter("doc > first").groupBy("doc").agg(F.collect_list(F.shiftleft("pos", 4).bitwiseOR(F.lit(1))).alias("more"))
-    going = step.filter("text IS NOT NULL").select("doc", "text", "cut").join(more, "doc", "left")
-    late = _last(going.select("doc", "text", F.concat(F.coalesce("cut", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>"))).alias("cut")))
-    early = step.filter("w1 IS NULL AND text IS NULL").select("doc", "n_words", "n_removed", "sha")
+    # texts that asked are read again; keeping them would write them once more
+    going = named.join(todo.filter(F.size("ask") > 0).join(more, "doc", "left"), "doc").dropDuplicates(["doc"])
+    late = _last(going.select("doc", "text", F.concat("cut", F.coalesce("more", F.array().cast("array<long>"))).alias("cut")))
+    early = step.filter("w1 IS NULL").select("doc", "n_words", "n_removed", "sha")
     changed = early.unionByName(late).select("doc", "n_removed", F.col("sha").alias("new"))
     return whole.join(changed, "doc", "left").select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("new", "sha").alias("kept_sha256"))
