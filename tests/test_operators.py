@@ -130,7 +130,6 @@ def test_masks_and_boxes():
     mask = np.zeros((40, 40), bool)
     mask[6:30, 7:29] = True
     assert image.components(mask) == [(7, 6, 22, 24, 528)]
-    assert image.merged_boxes([(0, 0, 4, 4), (5, 0, 4, 4), (30, 30, 2, 2)], 2) == [(0, 0, 9, 4), (30, 30, 2, 2)]
     assert image.entropy(np.array([[0, 255]])) == 1.0
 
 

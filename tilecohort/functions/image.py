@@ -53,19 +53,30 @@ def tile_metrics(pixels: pd.Series, side: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([metrics(np.asarray(p, np.int64).reshape(s, s, 3)) for p, s in zip(pixels, side)], columns=NAMES)
 
 
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """A number over 0 for each 4-connected part of a mask (the place of its last pixel), 0 elsewhere.
+
+    Every pixel points at the largest number around it, and pointers are followed to their end, so rounds grow with the logarithm of a part's extent.
+    """
+    h, w = mask.shape
+    point = np.where(mask, np.arange(1, mask.size + 1).reshape(h, w), 0)
+    while True:
+        padded = np.pad(point, 1)
+        most = np.max([padded[1:-1, 1:-1], padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]], axis=0) * mask
+        # what a pixel's own mark learns, all pixels of that mark learn
+        learnt = np.zeros(mask.size + 1, np.int64)
+        np.maximum.at(learnt, point.ravel(), most.ravel())
+        new = learnt[point] * mask
+        while (learnt[new] > new).any():
+            new = learnt[new] * mask
+        if (new == point).all():
+            return point
+        point = new
+
+
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(x, y, width, height, area) of the 4-connected parts of a mask, largest first."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        best = label.copy()
-        best[1:] = np.maximum(best[1:], label[:-1])
-        best[:-1] = np.maximum(best[:-1], label[1:])
-        best[:, 1:] = np.maximum(best[:, 1:], label[:, :-1])
-        best[:, :-1] = np.maximum(best[:, :-1], label[:, 1:])
-        best[~mask] = 0
-        if (best == label).all():
-            break
-        label = best
+    label = labelled(mask)
     out = []
     for k in np.unique(label[label > 0]):
         ys, xs = np.nonzero(label == k)
@@ -78,20 +89,3 @@ def mask_boxes(mask: pd.Series, width: pd.Series, least: pd.Series) -> pd.Series
     """Boxes of the connected parts of flat boolean masks with an area of at least ``least``."""
     keys = ("x", "y", "w", "h", "area")
     return pd.Series([[dict(zip(keys, b)) for b in components(np.asarray(m, bool).reshape(-1, w)) if b[4] >= a] for m, w, a in zip(mask, width, least)])
-
-
-def merged_boxes(boxes: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
-    """Joins boxes (x, y, width, height) that touch or lie within a gap until none do."""
-    todo, done = sorted(boxes), []
-    while todo:
-        x, y, w, h = todo.pop(0)
-        for other in todo + done:
-            a, b, c, d = other
-            if x <= a + c + gap and a <= x + w + gap and y <= b + d + gap and b <= y + h + gap:
-                (todo if other in todo else done).remove(other)
-                left, top = min(x, a), min(y, b)
-                todo.insert(0, (left, top, max(x + w, a + c) - left, max(y + h, b + d) - top))
-                break
-        else:
-            done.append((x, y, w, h))
-    return sorted(done)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import image, screening
+from ..operators import regions
 from .catalogue import query, table
 
 
@@ -134,12 +135,35 @@ def plain_tile_metrics(spark, sf_dir):
     return rows.select("vec_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("tissue", "dark", "entropy")])
 
 
-@query()
+def _parts_sql(group: str, y: str, x: str, least: int) -> str:
+    """Boxes of connected pixels: each pixel takes the least place around it, step by step, for as many steps as a part may be long."""
+    return f"""WITH RECURSIVE px AS MATERIALIZED (SELECT {group} AS g, {y} AS y, {x} AS x FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings WHERE len(embedding) = 64) WHERE embedding[i + 1] > 0.05),
+nb AS MATERIALIZED (SELECT a.g, a.y, a.x, b.y AS ny, b.x AS nx FROM (SELECT px.*, unnest([[0, 0], [0, 1], [0, -1], [1, 0], [-1, 0]]) AS o FROM px) a JOIN px b ON a.g = b.g AND b.y = a.y + o[1] AND b.x = a.x + o[2]),
+r AS (SELECT 0 AS step, g, y, x, y * 1000 + x AS l FROM px UNION ALL SELECT step + 1, nb.g, nb.y, nb.x, min(l) FROM r JOIN nb ON r.g = nb.g AND r.y = nb.ny AND r.x = nb.nx WHERE step < 100 GROUP BY step, nb.g, nb.y, nb.x)
+SELECT g::BIGINT AS "group", min(x)::BIGINT AS x, min(y)::BIGINT AS y, (max(x) - min(x) + 1)::BIGINT AS w, (max(y) - min(y) + 1)::BIGINT AS h, count(*) AS area FROM r WHERE step = 100 GROUP BY g, l HAVING count(*) >= {least}"""
+
+
+@query(_parts_sql("vec_id", "i // 8", "i % 8", 2))
 def mask_parts(spark, sf_dir):
     """Connected parts of each tile's dark pixels."""
     dark = F.transform("embedding", lambda v: v > 0.05)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(image.mask_boxes(dark, F.lit(8), F.lit(2))).alias("b"))
-    return rows.select("vec_id", "b.*")
+    return rows.select(F.col("vec_id").alias("group"), *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x", "y", "w", "h", "area")])
+
+
+def _mask_tiles(spark, sf_dir):
+    """Eight by eight tiles a slide, the last slide as far as it goes."""
+    place = F.col("vec_id") % 64
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("group"), F.floor(place / 8).alias("ty"), (place % 8).alias("tx"), F.transform("embedding", lambda v: v > 0.05).alias("mask"))
+
+
+_SLIDE_PARTS = _parts_sql("vec_id // 64", "vec_id % 64 // 8 * 8 + i // 8", "vec_id % 8 * 8 + i % 8", 1)
+
+
+@query(_SLIDE_PARTS)
+def slide_mask_parts(spark, sf_dir):
+    """Connected parts over the borders of the tiles that hold a slide's mask."""
+    return regions.mask_parts(_mask_tiles(spark, sf_dir), ["group"])
 
 
 @query()
