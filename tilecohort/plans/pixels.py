@@ -171,7 +171,9 @@ def slide_dark_regions(spark, sf_dir):
     """Dark regions of overviews that are put together from 64 tiles each."""
     tiles = _tiles(spark, sf_dir).select(F.floor(F.col("vec_id") / 64).alias("slide"), (F.col("vec_id") % 64).alias("place"), F.posexplode("pixels").alias("k", "v"))
     y, x = F.floor(F.col("place") / 8) * 8 + F.floor(F.col("k") / 24), F.col("place") % 8 * 24 + F.col("k") % 24
-    # an overview is 64 by 64 pixels
-    whole = tiles.groupBy("slide").agg(F.array_sort(F.collect_list(F.struct((y * 192 + x).alias("p"), "v"))).alias("l")).filter(F.size("l") == 64 * 64 * 3)
+    # an overview is 64 by 64 pixels; where a tile lacks there is glass
+    places = tiles.select("slide").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(64 * 64 * 3 - 1))))
+    full = places.join(tiles.select("slide", (y * 192 + x).cast("int").alias("p"), "v"), ["slide", "p"], "left")
+    whole = full.groupBy("slide").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("v", F.lit(255)).alias("v")))).alias("l"))
     views = whole.select("slide", F.transform("l", lambda s: s["v"]).alias("pixels"), F.lit(64).alias("width"), F.lit(10.0).alias("scale_x"), F.lit(10.0).alias("scale_y"))
     return screening.region_boxes(views, ["slide"], least_area=60)
