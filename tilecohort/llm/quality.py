@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import quantiles
 from .common import discard, first_by_hash, written
 from .words import binary_array, column, inside, per_text, raw, slices, split, windows, word_hashes
 
@@ -94,10 +95,15 @@ def ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             out = np.bincount(doc, weights=own * without, minlength=len(good)) / (size + SHRINK)
             yield pa.RecordBatch.from_arrays([pa.array(out), column(part, "quality")], names=["score", "quality"])
 
-    scored = marked.mapInArrow(score, "score double, quality int")
-    of = lambda q, p: F.percentile(F.when(F.col("quality") == q, F.col("score")), F.lit(p))
-    low, high = scored.agg(of(1, LOST), of(0, 1 - SPARED)).first()
+    scored = written(marked.mapInArrow(score, "score double, quality int"), "scored")
+
+    def percentile(quality: int, at: float) -> float | None:
+        found = quantiles(scored.filter(F.col("quality") == quality).select("score"), [], "score", at=at).first()
+        return found.at if found else None
+
+    low, high = percentile(1, LOST), percentile(0, 1 - SPARED)
     discard(marked)
+    discard(scored)
     threshold = low - MARGIN
     if high is not None:
         threshold = min(threshold, (low + high) / 2)
