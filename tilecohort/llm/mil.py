@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, written
 from .quality import sample_of
 from .words import column, raw, slices, split, word_hashes
 
@@ -24,8 +25,8 @@ HASHED = 128
 HIDDEN, GATE = 24, 12
 #: Labelled documents of each class that the classifier learns from, at most.
 TRAIN_DOCS = 1024
-#: Passages of a document that the classifier learns from, at most; scoring uses all.
-TRAIN_PASSAGES = 320
+#: Passages of the documents of a class that it learns from, at most: documents are taken whole, in order of their hash, as long as they fit.
+TRAIN_PASSAGES = 1 << 15
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>=@\\^~{}[]")] = True
@@ -133,13 +134,12 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, seed: int = 7) -> M
     return m
 
 
-def _few(n: int) -> np.ndarray:
-    """Which passages of n a document trains with: all, or TRAIN_PASSAGES at equal steps from first to last."""
-    return np.arange(n) if n <= TRAIN_PASSAGES else np.linspace(0, n - 1, TRAIN_PASSAGES).astype(int)
-
-
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model | float:
-    """Fits on at most TRAIN_DOCS documents of each class, the first by hash, and TRAIN_PASSAGES passages of each; with one class or none, returns its constant score."""
+    """Fits on the whole texts of at most TRAIN_DOCS documents of each class, the first by hash, that have TRAIN_PASSAGES passages together; a longer document alone is left out.
+
+    With one class or none, returns its constant score. Labels that are null or conflict, and null ids, are left out; a label given twice counts once, and rows that repeat an id are bags
+    of their own. An empty table gives 0.5. The driver gets 2 * TRAIN_PASSAGES rows of numbers at most.
+    """
     chosen = sample_of(labels, doc_id, TRAIN_DOCS)
     rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(doc_id, text, "quality")  # 2 * TRAIN_DOCS ids at most
 
@@ -147,10 +147,14 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for part in slices(batches, text):
             x, first = encode(column(part, text))
             x = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([column(part, doc_id), column(part, "quality"), pa.array([x[a + _few(b - a)].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["id", "quality", "bag"])
+            yield pa.RecordBatch.from_arrays([column(part, doc_id), column(part, "quality"), pa.array(np.diff(first)), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["id", "quality", "n", "bag"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = sorted(rows.mapInArrow(bags, f"id {kind}, quality int, bag binary").collect(), key=lambda r: (r.id, r.bag))
+    encoded = written(rows.mapInArrow(bags, f"id {kind}, quality int, n long, bag binary"), "bags")
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id", F.xxhash64("bag")).rowsBetween(Window.unboundedPreceding, 0)  # TRAIN_DOCS ids a class
+    fit_in = encoded.filter(F.col("n") <= TRAIN_PASSAGES).withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") <= TRAIN_PASSAGES)
+    got = sorted(fit_in.select("id", "quality", "bag").collect(), key=lambda r: (r.id, r.bag))
+    discard(encoded)
     label = np.array([r.quality for r in got], float)
     if not len(got) or label.min() == label.max():
         return float(label[0]) if len(got) else 0.5
