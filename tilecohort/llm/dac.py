@@ -4,8 +4,9 @@ A shard is one byte string: a header, the document ids and where each begins,
 then levels. Level k holds the k-th 8-bit chunk of every id that is that long,
 a bitmap that says which of them continue, and a rank directory (set bits before
 each block of 512), so any token is read by one chunk and one rank a level and
-nothing else is decoded. Shards are rows of a Parquet table, which any store
-that Spark reads can hold; ascending shard numbers are ascending document ids.
+nothing else is decoded. Shards are rows of an uncompressed Parquet table, which any store
+that Spark reads can hold; ascending shard numbers are ascending document ids. The first
+``n_null`` documents of a shard have a null id, for which the shard holds 0.
 """
 
 from __future__ import annotations
@@ -25,13 +26,11 @@ from .words import column, slices
 END_ID = 1
 #: A shard is closed when it holds so many tokens.
 SHARD_TOKENS = 1 << 21
-#: What stands for a null document id in a shard; no document may have it as its own.
-NULL_ID = -(1 << 63)
 _MAGIC = b"DACSHRD1"
 _BLOCK = 512
 _BITS_IN_BYTE = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _SLICE = 1 << 20
-SHARDS = "shard long, first_doc long, n_docs long, n_tokens long, payload binary"
+SHARDS = "shard long, n_docs long, n_null long, n_tokens long, payload binary"
 
 
 def encode(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -98,24 +97,27 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, vocab_path: str, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encodes every whole text, ends it with id 1 and writes shards in ascending doc_id (then text) order.
+    """Encodes every whole text, ends it with id 1 and writes shards in ascending doc_id order.
 
-    A null text counts as empty. A null doc_id is written as NULL_ID, before all others, and read back as null;
-    repeated rows are documents each, an empty table gives no shard, other columns aren't read.
+    A null text counts as empty. Documents with a null doc_id come before all others and are read back with it;
+    repeated rows are documents each, those of one id in order of their texts' hash, an empty table gives no shard, other columns aren't read.
     Memory: one slice of text and one open shard a task.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).alias("t")).repartitionByRange(parts, "d").sortWithinPartitions("d", "t")
+    # the hash splits what one id, or none, holds over several ranges
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    ordered = rows.repartitionByRange(parts, "d", "h").sortWithinPartitions("d", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = SliceEncoder(vocab_path, None)
         shard, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def close() -> pa.RecordBatch:
-            ids, lengths, tokens = (np.concatenate(x) for x in zip(*held))
+            names, lengths, tokens = zip(*held)
+            ids, lengths, tokens = pa.concat_arrays(names), np.concatenate(lengths), np.concatenate(tokens)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            row = [[shard], [int(ids[0])], [len(ids)], [len(tokens)], [encode(ids, starts, tokens)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int64()] * 4 + [pa.binary()])], names=["shard", "first_doc", "n_docs", "n_tokens", "payload"])
+            row = [[shard], [len(ids)], [ids.null_count], [len(tokens)], [encode(ids.fill_null(0).to_numpy(), starts, tokens)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int64()] * 4 + [pa.binary()])], names=["shard", "n_docs", "n_null", "n_tokens", "payload"])
 
         for part in slices(batches, "t", _SLICE):
             w, at, ids = enc.ids(column(part, "t"))
@@ -126,7 +128,7 @@ def write_shards(docs: DataFrame, vocab_path: str, path: str, doc_id: str = "doc
             own = np.ones(len(tokens), bool)
             own[np.cumsum(lengths) - 1] = False
             tokens[own] = ids[ragged(at, w.codes)]
-            held.append((column(part, "d").to_numpy(), lengths, tokens))
+            held.append((column(part, "d"), lengths, tokens))
             size += len(tokens)
             if size >= SHARD_TOKENS:
                 yield close()
@@ -134,7 +136,37 @@ def write_shards(docs: DataFrame, vocab_path: str, path: str, doc_id: str = "doc
         if held:
             yield close()
 
-    ordered.mapInArrow(run, SHARDS).write.parquet(path)
+    ordered.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
+
+
+def _names(shard: Shard, n_null: int) -> pa.Array:
+    """A shard's document ids, the first n_null of them null."""
+    return pa.array(shard.doc_ids, mask=np.arange(len(shard.doc_ids)) < n_null)
+
+
+def lookup(shards: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", position: str = "position") -> DataFrame:
+    """(doc_id, position, token) of the tokens that ``wanted`` asks for by document and place in it, counted from 0.
+
+    Only the shards' directories and the tokens themselves are read, no block is decoded. A place beyond a document's end, an unknown or null id
+    and a null place give no row; a document that stands several times gives a row each, a repeated question one each. What is asked of one shard is one task.
+    """
+
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, n_null, payload in zip(column(batch, "shard").to_pylist(), column(batch, "n_null").to_pylist(), column(batch, "payload")):
+                s = Shard(payload.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s.doc_ids), number)), _names(s, n_null), pa.array(s.starts[:-1]), pa.array(np.diff(s.starts))], names=["shard", "d", "at", "n"])
+
+    places = shards.select("shard", "n_null", "payload").mapInArrow(directory, "shard long, d long, at long, n long")
+    asked = wanted.select(F.col(doc_id).cast("long").alias("d"), F.col(position).cast("long").alias("p")).join(places, "d").filter("p >= 0 AND p < n")
+
+    def read(questions: pa.Table, held: pa.Table) -> pa.Table:
+        shard = Shard(held["payload"].combine_chunks()[0].as_buffer()) if questions.num_rows else None
+        tokens = [shard.token(i) for i in (questions["at"].to_numpy() + questions["p"].to_numpy()).tolist()] if shard else []
+        return pa.table({"d": questions["d"], "p": questions["p"], "token": pa.array(tokens, pa.int64())})
+
+    found = asked.select("shard", "d", "p", "at").groupBy("shard").cogroup(shards.select("shard", "payload").groupBy("shard")).applyInArrow(read, "d long, p long, token long")
+    return found.select(F.col("d").alias(doc_id), F.col("p").alias(position), "token")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -142,15 +174,15 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, payload in zip(column(batch, "shard").to_pylist(), column(batch, "payload")):
+            for number, n_null, payload in zip(column(batch, "shard").to_pylist(), column(batch, "n_null").to_pylist(), column(batch, "payload")):
                 s = Shard(payload.as_buffer())
                 tokens = memoryview(s.all().astype("<u4").view(np.uint8))
                 crc = [zlib.crc32(tokens[4 * a : 4 * b]) for a, b in zip(s.starts.tolist(), s.starts[1:].tolist())]
-                cols = [np.full(len(crc), number), s.doc_ids, s.starts[:-1], np.diff(s.starts), np.array(crc, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                cols = [pa.array(np.full(len(crc), number)), _names(s, n_null), *(pa.array(c) for c in (s.starts[:-1], np.diff(s.starts), np.array(crc, np.int64)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("shard", "payload").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("shard", "n_null", "payload").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one row a shard of two million tokens, so this window is short
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, "shard").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
