@@ -137,16 +137,17 @@ class Model:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from at most SAMPLE rows of each language with text and a non-null lang, the first by a hash of the id.
 
-    The driver gets BUCKETS sums a language. With no such row the model knows no language.
+    The driver gets BUCKETS sums a language. With no such row the model knows no language. An id that stands in several languages teaches each by its
+    own rows; repeated rows teach each time.
     """
     named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    chosen = first_by_hash(named, ["lang"], "id", "lang", SAMPLE).dropDuplicates(["id"]).collect()  # SAMPLE ids of each language at most
+    chosen = first_by_hash(named, ["lang"], "id", "lang", SAMPLE).distinct().collect()  # SAMPLE ids of each language at most
     languages = sorted({r.lang for r in chosen})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool))
     index = {l: i for i, l in enumerate(languages)}
-    ids = docs.sparkSession.createDataFrame([(r.id, index[r.lang]) for r in chosen], T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("l", T.IntegerType())]))
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").select("t", "l")
+    ids = docs.sparkSession.createDataFrame([(r.id, r.lang, index[r.lang]) for r in chosen], T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("lang", T.StringType()), T.StructField("l", T.IntegerType())]))
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("t")).join(F.broadcast(ids), ["id", "lang"]).select("t", "l")
     n = len(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
