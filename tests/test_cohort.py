@@ -104,7 +104,7 @@ def test_table_readers(spark, tmp_path):
         tables.read_table(spark, "a.txt")
     assert tables.read_strings_or_none(spark, str(tmp_path / "none.csv"), ["a"]).count() == 0
     (tmp_path / "c.csv").write_text("x,y\n1,2\nbad,4\n")
-    with pytest.raises(Exception, match="bad coordinates in c.csv: bad,4"):
+    with pytest.raises(Exception, match="bad coordinates in c.csv, line 3: bad,4"):
         tables.read_coordinates(spark, str(tmp_path / "c.csv")).collect()
     files = spark.createDataFrame([("a", "a/roi_collection.json"), ("a", "a/images/1.png"), ("b", "b/images/2.png"), ("b", "b/images/1.png"), ("c", "c/x.jpg"), ("d", "d/x.txt")], "folder string, path string")
     assert sorted(tuple(r) for r in tables.resolve_regions(files).collect()) == [("a", "manifest", "a/roi_collection.json"), ("b", "images", "b/images/1.png"), ("b", "images", "b/images/2.png"), ("c", "image", "c/x.jpg")]

@@ -190,6 +190,6 @@ class Resampled:
         def quantile(q: float) -> Column:
             at = F.lit(q) * (F.size("v") - 1)
             a, b = F.element_at("v", (F.floor(at) + 1).cast("int")), F.element_at("v", (F.ceil(at) + 1).cast("int"))
-            return F.round(a + (b - a) * (at - F.floor(at)), 6)
+            return a + (b - a) * (at - F.floor(at))
 
         return self._named(whole.select("_g", F.when(F.col("curve") == 0, "roc").otherwise("pr").alias("curve"), "step", quantile(low).alias("low"), quantile(high).alias("high")))

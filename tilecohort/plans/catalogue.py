@@ -263,10 +263,11 @@ v AS (SELECT target, s, (tp - p)::BIGINT AS t0, tp::BIGINT AS t1, (fp - n)::BIGI
 roc AS (SELECT target, s, f0 AS x0, f1 AS x1, an AS a, t0 / ap::DOUBLE AS y0, t1 / ap::DOUBLE AS y1 FROM v WHERE f1 > f0),
 pr AS (SELECT target, s, t0 AS x0, t1 AS x1, ap AS a, CASE WHEN t0 + f0 > 0 THEN t0 / (t0 + f0)::DOUBLE ELSE 1.0 END AS y0, t1 / (t1 + f1)::DOUBLE AS y1 FROM v WHERE t1 > t0),
 al AS (""" + " UNION ALL ".join(_BAND.format(c=c) for c in ("roc", "pr")) + """ UNION ALL SELECT target, 'roc', 999, 1.0 FROM (SELECT DISTINCT target, s FROM v) UNION ALL SELECT target, 'pr', 999, ap / (ap + an)::DOUBLE FROM (SELECT DISTINCT target, s, ap, an FROM v))
-SELECT target, curve, step::INTEGER AS step, round(quantile_cont(y, 0.025), 6) AS low, round(quantile_cont(y, 0.975), 6) AS high FROM al GROUP BY target, curve, step""")
+SELECT target, curve, step::INTEGER AS step, round(quantile_cont(y, 0.025) + 1e-10, 6) AS low, round(quantile_cont(y, 0.975) + 1e-10, 6) AS high FROM al GROUP BY target, curve, step""")
 def bootstrap_bands(spark, sf_dir):
     """Where 95 % of 1,000 resampled ROC and precision-recall curves lie at 1,000 places."""
-    return bootstrap.Resampled(_scored(spark, sf_dir), ["target"], "doc_id").bands()
+    bands = bootstrap.Resampled(_scored(spark, sf_dir), ["target"], "doc_id").bands()
+    return bands.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in ("low", "high")})  # shares often lie halfway between two roundings
 
 
 @query(_SCORED + _CURVE + """, q AS (SELECT target, fpr AS x, max(tpr) AS y FROM (SELECT target, round(fp / nullif(an, 0), 6) AS fpr, round(tp / nullif(ap, 0), 6) AS tpr FROM d) GROUP BY ALL),
