@@ -168,15 +168,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # other anchors are dealt out once; windows over anchor and segment, then over anchor, need no further move
     segment, anchor = Window.partitionBy("h", "s"), Window.partitionBy("h")
     placed = seldom.withColumn("first", F.min("doc").over(segment)).withColumns({"a": F.min("doc").over(anchor), "b": F.max("doc").over(anchor), "one": F.min("s").over(anchor) == F.max("s").over(anchor)})
-    cold = placed.filter("a < b AND (doc > first OR NOT one)").select("doc", "pos", "first")
+    cold = placed.filter("a < b AND (doc > first OR NOT one)").select("doc", "pos", "first", "one")
     # hot anchors are summed up by segment, and copies of hot segments stay where they are
     segments_ = often.groupBy("h", "s").agg(F.min("doc").alias("first"), F.max("doc").alias("b"), F.count("*").alias("n"))
     first = written(segments_, "segments")
     by_anchor = first.groupBy("h").agg(F.min("first").alias("a"), F.max("b").alias("z"), (F.min("s") == F.max("s")).alias("one")).filter("a < z").select("h", "one")
     shared = hot_joined(often, first.select("h", "s", "first", "n"), ["h", "s"], "n", "inner").join(F.broadcast(by_anchor), "h")
-    marked = cold.unionByName(shared.filter("doc > first OR NOT one").select("doc", "pos", "first"))
+    marked = cold.unionByName(shared.select("doc", "pos", "first", "one"))
     runs = lambda of: F.collect_list(F.when(of, F.col("pos")))
-    todo = written(marked.groupBy("doc").agg(runs(F.col("doc") > F.col("first")).alias("cut"), runs(F.col("doc") == F.col("first")).alias("ask")), "todo")
+    todo = written(marked.groupBy("doc").agg(runs(F.col("doc") > F.col("first")).alias("cut"), runs((F.col("doc") == F.col("first")) & ~F.col("one")).alias("ask")).filter("size(cut) + size(ask) > 0"), "todo")
     for table in (found, first, hot):
         discard(table)
     texts = named.join(todo, "doc").dropDuplicates(["doc"])
