@@ -103,8 +103,8 @@ def declared_classes(rows: DataFrame, target: str, outputs: int) -> DataFrame:
 
 
 def hashed_order(key: Column | str, seed: int = 0) -> Column:
-    """A fixed shuffle: rows in the order of a hash of their key."""
-    return F.xxhash64(F.lit(seed), key)
+    """A fixed shuffle: rows in the order of the md5 of seed and key, which any engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(key) if isinstance(key, str) else key).cast("string")).cast("binary"))
 
 
 def seeded_sample(rows: DataFrame, by: list[str], key: str, n: int, seed: int = 42) -> DataFrame:

@@ -49,15 +49,26 @@ def running(dealt: DataFrame, by: list[str], order: list[Column], **sums: Column
     return joined.select(*dealt.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums])
 
 
+def _counts_upto(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _n, _c, _all): distinct values that aren't null, how often each occurs, how many rows have it or less, and all of the group."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = running(ranged(counted, by, F.col(value)), by, [F.col(value)], _c=F.col("_n"))
+    return with_group(upto, counted.groupBy(*by).agg(F.sum("_n").alias("_all")), by)
+
+
+def lower_median(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """The lower of the two middle values of each group, or the middle one; nulls don't count."""
+    middle = F.floor((F.col("_all") - 1) / 2)
+    held = _counts_upto(rows, by, value).filter((middle >= F.col("_c") - F.col("_n")) & (middle < F.col("_c")))
+    return held.select(*by, F.col(value).alias(name))
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, **at: float) -> DataFrame:
     """Exact percentiles with linear interpolation, a row a group; nulls don't count.
 
     The two ranks around each percentile are looked up in running counts of distinct values.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = running(ranged(counted, by, F.col(value)), by, [F.col(value)], _c=F.col("_n"))
-    totals = counted.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    both = with_group(upto, totals, by)
+    both = _counts_upto(rows, by, value)
     place = {name: F.lit(float(q)) * (F.col("_all") - 1) for name, q in at.items()}
     holds = lambda k: (k >= F.col("_c") - F.col("_n")) & (k < F.col("_c"))
     found = both.groupBy(*by).agg(

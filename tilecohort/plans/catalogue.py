@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
 from ..operators import assembly, bootstrap, metrics, ranking, scaling, steps, tiling, vectors
-from ..operators.ordered import quantiles
+from ..operators.ordered import lower_median
 from ..operators.scratch import new_path
 from ..streaming import steps as streams
 
@@ -182,16 +182,20 @@ def ols_line(spark, sf_dir):
     return metrics.ols(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
 
 
-def _survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _survival(spark: SparkSession, sf_dir: str, cut: bool = False) -> DataFrame:
+    """Orders as patients; with cut, ``high`` says whether a risk is over the lower median of the training orders, four fifths of all."""
     orders = table(spark, sf_dir, "orders")
-    # one row: the first day and the median risk
-    start = orders.agg(F.min("o_orderdate").alias("d0")).crossJoin(quantiles(orders, [], "o_totalprice", median=0.5))
+    start = orders.agg(F.min("o_orderdate").alias("d0"))  # one row
     days = F.datediff("o_orderdate", "d0")
-    return orders.join(F.broadcast(start)).select("o_orderkey", "o_custkey", "o_orderpriority", days.alias("time"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), F.col("o_totalprice").alias("risk"), (F.col("o_totalprice") > F.col("median")).cast("int").alias("high"))
+    rows = orders.crossJoin(F.broadcast(start)).select("o_orderkey", "o_custkey", "o_orderpriority", days.alias("time"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), F.col("o_totalprice").alias("risk"))
+    if not cut:
+        return rows
+    median = lower_median(orders.filter("o_orderkey % 5 <> 0"), [], "o_totalprice")  # one row
+    return rows.crossJoin(F.broadcast(median)).withColumn("high", (F.col("risk") > F.col("median")).cast("int")).drop("median")
 
 
 _SURVIVAL = """
-WITH d AS (SELECT min(o_orderdate) AS d0, quantile_cont(o_totalprice, 0.5) AS median FROM orders),
+WITH d AS (SELECT min(o_orderdate) AS d0, quantile_disc(o_totalprice, 0.5) FILTER (o_orderkey % 5 <> 0) AS median FROM orders),
 x AS (SELECT o_orderkey, o_custkey, o_orderpriority, date_diff('day', CAST(d0 AS DATE), CAST(o_orderdate AS DATE))::INTEGER AS time, (o_orderstatus = 'F')::INTEGER AS event, o_totalprice AS risk, (o_totalprice > median)::INTEGER AS high FROM orders, d)
 """
 _AT_RISK = """, t AS (SELECT o_orderpriority, time, sum(event) AS d, count(*) AS n FROM x GROUP BY ALL),
@@ -204,7 +208,7 @@ r AS (SELECT d, d1, sum(n) OVER w AS y, sum(n1) OVER w AS y1 FROM t WINDOW w AS
 s AS (SELECT sum(d1 - d * (y1 / y)) AS o, sum(CASE WHEN y > 1 THEN d * (y1 / y) * (1 - y1 / y) * (y - d) / (y - 1) ELSE 0 END) AS v FROM r WHERE d > 0)
 SELECT round(o * o / nullif(v, 0), 6) AS chi2, round(""" + chi2_p_sql("(o * o / nullif(v, 0))") + """, 5) AS p FROM s""")
 def logrank_statistic(spark, sf_dir):
-    return metrics.logrank(_survival(spark, sf_dir), "high", "time", "event").withColumn("p", F.round("p", 5))
+    return metrics.logrank(_survival(spark, sf_dir, cut=True), "high", "time", "event").withColumn("p", F.round("p", 5))
 
 
 @query(_SURVIVAL + _AT_RISK + """, k AS (SELECT *, max((d = y)::INTEGER) OVER w AS gone, sum(CASE WHEN d < y THEN ln(1 - d / y) ELSE 0 END) OVER w AS l FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY time ROWS UNBOUNDED PRECEDING))
@@ -313,6 +317,17 @@ t AS (SELECT *, round(1 / (1 + exp(-least(greatest(-3 * margin, -30), 30))), 6)
 """
 
 
+_WEIGHED = "sum(sim * exp(-(rn - 1) / 3.0::DOUBLE)) FILTER ({0}) / sum(exp(-(rn - 1) / 3.0::DOUBLE)) FILTER ({0})"
+
+
+@query(_KNN.replace("round(avg(sim) FILTER (good), 6)", f"round({_WEIGHED.format('good')}, 6)").replace("round(avg(sim) FILTER (NOT good), 6)", f"round({_WEIGHED.format('NOT good')}, 6)") + "SELECT id, 'weighted' AS aggregation, good_score, bad_score, margin FROM t UNION ALL SELECT id, 'max', good_top1, bad_top1, round(good_top1 - bad_top1, 6) FROM t")
+def ref_scores_by_aggregation(spark, sf_dir):
+    """Reference scores by the nearest one alone and by weights that fall with rank."""
+    tiles = _tiles(spark, sf_dir)
+    parts = [vectors.reference_scores(tiles, _references(tiles), aggregation=a).select("id", F.lit(a).alias("aggregation"), "good_score", "bad_score", "margin") for a in ("weighted", "max")]
+    return parts[0].unionByName(parts[1])
+
+
 @query(_UNIT + "SELECT id, unnest(range(len(u)))::INTEGER AS position, round(unnest(u), 6) AS value FROM u")
 def l2_normalize(spark, sf_dir):
     unit = _tiles(spark, sf_dir).select("id", vectors.normalized(F.col("vector")).alias("u"))

@@ -336,46 +336,41 @@ def supertile_priority(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT p_brand, p_partkey, p_size, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part),
-c AS (SELECT *, least(greatest(2, ceil(n * 0.25)), n) AS top FROM p)
-SELECT p_brand, count(*) AS pool, count(*) FILTER (n <= 8 OR r <= top) AS best, CASE WHEN any_value(n) <= 8 THEN 0 ELSE least(ceil(any_value(n) * 0.05), any_value(n) - any_value(top)) END::BIGINT AS reserve, sum(p_partkey) FILTER (n <= 8 OR r <= top)::BIGINT AS key_sum FROM c GROUP BY p_brand""")
+c AS (SELECT *, least(greatest(2, ceil(n * 0.25)), n) AS top FROM p), d AS (SELECT *, row_number() OVER (PARTITION BY p_brand, r > top ORDER BY md5('0:' || p_partkey), p_partkey) AS d FROM c)
+SELECT p_brand, p_partkey, CASE WHEN n <= 8 THEN 'all' WHEN r <= top THEN 'top' ELSE 'reserve' END AS kept_as FROM d WHERE n <= 8 OR r <= top OR d <= least(ceil(n * 0.05), n - top)""")
 def quality_keep(spark, sf_dir):
-    """The best of each brand's parts; which ones make up the reserve is a matter of the hash, so they are counted only."""
+    """The best of each brand's parts and a reserve of the others by hash."""
     parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
-    kept = selection.keep_with_reserve(parts, ["p_brand"], "p_size", "p_partkey", 0.25, 2, 0.05, 8)
-    pool = parts.groupBy("p_brand").agg(F.count("*").alias("pool"))
-    best = F.col("kept_as") != "reserve"
-    counted = kept.groupBy("p_brand").agg(F.count_if(best).alias("best"), F.count_if(~best).alias("reserve"), F.sum(F.when(best, F.col("p_partkey"))).alias("key_sum"))
-    return pool.join(counted, "p_brand")
+    return selection.keep_with_reserve(parts, ["p_brand"], "p_size", "p_partkey", 0.25, 2, 0.05, 8).select("p_brand", "p_partkey", "kept_as")
 
 
 _SCALED = "CASE WHEN h_{0} <= l_{0} THEN 0.5 ELSE least(greatest(({0} - l_{0}) / greatest(h_{0} - l_{0}, 1e-6), 0), 1) END"
 
 
 @query("""WITH t AS (SELECT p_brand AS slide, p_partkey AS id, (p_size * 13 % 97)::DOUBLE AS screen, p_retailprice AS focus, (p_partkey % 31)::DOUBLE AS ent, (p_partkey * 7 % 53)::DOUBLE AS hm FROM part),
-f AS (SELECT *, quantile_cont(screen, 0.1) OVER (PARTITION BY slide) AS fl FROM t), u AS (SELECT * FROM f WHERE screen >= fl),
-k AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY screen DESC, id) AS r, count(*) OVER (PARTITION BY slide) AS n FROM u), s AS (SELECT * FROM k WHERE r <= greatest(ceil(n * 0.3), 1)),
+f AS (SELECT *, quantile_cont(screen, 0.1) OVER (PARTITION BY slide) AS fl, count(*) OVER (PARTITION BY slide) AS a FROM t), u AS (SELECT *, screen >= fl AS up FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY slide, up ORDER BY screen DESC, id) AS r, row_number() OVER (PARTITION BY slide, up ORDER BY md5('0:' || id), id) AS d, count(*) OVER (PARTITION BY slide, up) AS n FROM u),
+s AS (SELECT * FROM k WHERE CASE WHEN up THEN r <= greatest(ceil(n * 0.3), 1) ELSE d <= ceil(a * 0.05) END),
 q AS (SELECT *, """ + ", ".join(f"quantile_cont({c}, 0.05) OVER w AS l_{c}, quantile_cont({c}, 0.95) OVER w AS h_{c}" for c in ("screen", "focus", "ent", "hm")) + """ FROM s WINDOW w AS (PARTITION BY slide)),
 x AS (SELECT slide, id, round(least(greatest(0.70 * """ + _SCALED.format("screen") + " + 0.30 * (0.50 * " + _SCALED.format("focus") + " + 0.20 * " + _SCALED.format("ent") + " + 0.30 * " + _SCALED.format("hm") + """), 0), 1), 6) AS score FROM q)
 SELECT *, row_number() OVER (PARTITION BY slide ORDER BY score DESC, id)::INTEGER AS rank FROM x""")
 def tile_prefilter(spark, sf_dir):
-    """Without a reserve, whose members depend on a hash."""
+    """The best of what a screening keeps, with a reserve of what it drops."""
     part = table(spark, sf_dir, "part")
     tiles = part.select(F.col("p_brand").alias("slide"), F.col("p_partkey").alias("id"), (F.col("p_size") * 13 % 97).cast("double").alias("screen"), F.col("p_retailprice").alias("focus"), (F.col("p_partkey") % 31).cast("double").alias("entropy"), (F.col("p_partkey") * 7 % 53).cast("double").alias("h_mean"))
-    kept = selection.prefilter(tiles, ["slide"], "screen", "id", {"focus": 0.50, "entropy": 0.20, "h_mean": 0.30}, reserve=0.0)
+    kept = selection.prefilter(tiles, ["slide"], "screen", "id", {"focus": 0.50, "entropy": 0.20, "h_mean": 0.30}, reserve=0.05)
     return kept.select("slide", "id", "score", "rank")
 
 
-@query("WITH n AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, n, ceil(n * 0.25)::BIGINT AS valid, (n - ceil(n * 0.25))::BIGINT AS train FROM n")
+@query("""SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('0:' || c_custkey), c_custkey) <= ceil(count(*) OVER (PARTITION BY c_mktsegment) * 0.25) THEN 'valid' ELSE 'train' END AS part FROM customer""")
 def stratified_split(spark, sf_dir):
-    """Sizes of both parts; which rows fall into which is a matter of the hash."""
-    parts = clinical.stratified_split(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey")
-    return parts.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("part") == "valid").alias("valid"), F.count_if(F.col("part") == "train").alias("train"))
+    return clinical.stratified_split(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey").select("c_custkey", "part")
 
 
-@query("SELECT o_custkey, 5::BIGINT AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 5")
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('42:' || o_orderkey), o_orderkey) AS r FROM orders) WHERE n >= 5 AND r <= 5""")
 def seeded_image_sample(spark, sf_dir):
-    """Five orders of each customer who has so many; how many were drawn, for which ones is a matter of the hash."""
-    return clinical.seeded_sample(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 5).groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("n"))
+    """Five orders of each customer who has so many."""
+    return clinical.seeded_sample(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 5)
 
 
 @query(_CANDIDATES + ", b AS (SELECT slide, id, cx, cy FROM q) SELECT slide, id, (cx BETWEEN 100 AND 2100 AND cy BETWEEN 100 AND 1100) OR (cx BETWEEN 5000 AND 6000 AND cy BETWEEN 0 AND 4000) AS inside FROM b")
