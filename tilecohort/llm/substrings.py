@@ -173,11 +173,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     segments_ = often.groupBy("h", "s").agg(F.min("doc").alias("first"), F.max("doc").alias("b"), F.count("*").alias("n"))
     first = written(segments_, "segments")
     by_anchor = first.groupBy("h").agg(F.min("first").alias("a"), F.max("b").alias("z"), (F.min("s") == F.max("s")).alias("one")).filter("a < z").select("h", "one")
-    shared = hot_joined(often, first.select("h", "s", "first", "n"), ["h", "s"], "n", "inner").join(F.broadcast(by_anchor), "h")
+    classes = written(first.select("h", "s", "first", "n").join(F.broadcast(by_anchor), "h"), "classes")  # a thousand anchors at most
+    shared = hot_joined(often, classes, ["h", "s"], "n", "inner")
     marked = cold.unionByName(shared.select("doc", "pos", "first", "one"))
     runs = lambda of: F.collect_list(F.when(of, F.col("pos")))
     todo = written(marked.groupBy("doc").agg(runs(F.col("doc") > F.col("first")).alias("cut"), runs((F.col("doc") == F.col("first")) & ~F.col("one")).alias("ask")).filter("size(cut) + size(ask) > 0"), "todo")
-    for table in (found, first, hot):
+    for table in (found, first, classes, hot):
         discard(table)
     texts = named.join(todo, "doc").dropDuplicates(["doc"])
     step = written(_second(texts), "step")
