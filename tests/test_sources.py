@@ -1,7 +1,9 @@
 """Published versions, numbered lines of split files, and members stripped from documents."""
 
 import json
+import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,27 @@ def test_members_go_at_any_depth(indent):
 def test_strip_keeps_nulls_and_what_is_no_json(spark):
     df = spark.createDataFrame([(None,), ("",), ("no json",), ('{"path": 1',), ('"open',)], "t string")
     assert [r.c for r in df.select(documents.without_paths("t").alias("c")).collect()] == [None, "", "no json", "{", '"open']
+
+
+def test_an_archive_is_read_by_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    tiles = {f"tile_({i}.5, {-i})_{i}.png": rng.bytes(2000) + bytes(500) for i in range(100)}
+    for name, method in (("slide one.zip", zipfile.ZIP_DEFLATED), ("b.zip", zipfile.ZIP_STORED)):
+        with zipfile.ZipFile(tmp_path / name, "w", method) as z:
+            z.writestr("about.txt", "no tile")
+            for entry, content in tiles.items():
+                z.writestr(entry, content)
+    zipfile.ZipFile(tmp_path / "empty.zip", "w").close()
+    found = tables.archive_entries(spark, str(tmp_path / "*.zip"), share_bytes=20_000)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.entry, r.x_um, r.y_um, bytes(r.image)) for r in rows) == sorted((a, e, float(e[6:].split(",")[0]), -float(e[6:].split(".")[0]), c) for a in ("slide one.zip", "b.zip") for e, c in tiles.items())
+    assert all(len({r.task for r in rows if r.path.endswith(a)}) > 1 for a in ("one.zip", "b.zip"))
+
+
+def test_a_damaged_archive_entry_fails(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("(1,2)", b"x" * 100)
+    content = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "a.zip").write_bytes(content.replace(b"x" * 100, b"x" * 99 + b"y"))
+    with pytest.raises(Exception, match="damaged archive entry"):
+        tables.archive_entries(spark, str(tmp_path / "a.zip")).collect()

@@ -6,10 +6,12 @@ import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -198,19 +200,67 @@ def microns_per_pixel(properties: Column, comment: Column, xml: Column, default:
     return F.coalesce(*[F.when(v > 0, F.struct(v.alias("mpp"), F.lit(n).alias("source"))) for n, v in options])
 
 
-def archive_entries(spark: SparkSession, path: str, pattern: str = r"\(?(-?[0-9.]+),\s*(-?[0-9.]+)\)?") -> DataFrame:
-    """(path, entry, x_um, y_um, image) of every tile of zipped tile caches; coordinates come from entry names, others are skipped."""
+#: Bytes of an archive that one task reads.
+ARCHIVE_SHARE = 64 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    found = [(name, at) for name in z.namelist() if (at := re.search(pattern, name))]
-                    for i in range(0, len(found), 256):
-                        some = found[i : i + 256]
-                        yield pd.DataFrame({"path": file, "entry": [n for n, _ in some], "x_um": [float(a[1]) for _, a in some], "y_um": [float(a[2].rstrip(".")) for _, a in some], "image": [z.read(n) for n, _ in some]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, entry string, x_um double, y_um double, image binary")
+def _opened(path: str) -> fs.NativeFile:
+    """A file as Spark names it, open for reading at any place."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def _entry(file: fs.NativeFile, name: str, start: int, stored: int, method: int, crc: int) -> bytes:
+    """The content of the entry whose header starts at ``start``."""
+    file.seek(start)
+    header = file.read(30)
+    file.seek(start + 30 + int.from_bytes(header[26:28], "little") + int.from_bytes(header[28:30], "little"))
+    data = file.read(stored)
+    if method == zipfile.ZIP_DEFLATED:
+        data = zlib.decompress(data, -zlib.MAX_WBITS)
+    if zlib.crc32(data) != crc:
+        raise ValueError(f"damaged archive entry: {name}")
+    return data
+
+
+def archive_entries(spark: SparkSession, path: str, pattern: str = r"\(?(-?[0-9.]+),\s*(-?[0-9.]+)\)?", share_bytes: int = ARCHIVE_SHARE) -> DataFrame:
+    """(path, entry, x_um, y_um, image) of every tile of zipped tile caches; coordinates come from entry names, others are skipped.
+
+    First only the directories of the archives are read; then the entries are dealt out by ranges of ``share_bytes``, so
+    many tasks read one archive. Repeated names give a row each. Entries that are encrypted, damaged or neither stored nor deflated raise.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file in batch["path"]:
+                # a small archive is read whole: zipfile looks for records before its beginning
+                with _opened(file) as f, zipfile.ZipFile(f if f.size() > 65_536 else io.BytesIO(f.read())) as z:
+                    found = [(i, at) for i in z.infolist() if (at := re.search(pattern, i.filename))]
+                for i, _ in found:
+                    if i.flag_bits & 1 or i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                        raise ValueError(f"archive entry of an unknown form: {file}, {i.filename}")
+                columns = {"entry": "filename", "start": "header_offset", "stored": "compress_size", "method": "compress_type", "crc": "CRC"}
+                rows = {c: [getattr(i, of) for i, _ in found] for c, of in columns.items()}
+                if found:
+                    yield pd.DataFrame({"path": [file] * len(found), "x_um": [float(a[1]) for _, a in found], "y_um": [float(a[2].rstrip(".")) for _, a in found]} | rows)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, rows in batch.groupby("path", sort=False):
+                with _opened(file) as f:
+                    for i in range(0, len(rows), 256):
+                        some = rows.iloc[i : i + 256].to_dict("list")
+                        images = [_entry(f, *r) for r in zip(*(some[c] for c in ("entry", "start", "stored", "method", "crc")))]
+                        yield pd.DataFrame({c: some[c] for c in ("path", "entry", "x_um", "y_um")} | {"image": images})
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    entries = files.mapInPandas(listed, "path string, x_um double, y_um double, entry string, start long, stored long, method int, crc long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(tasks, "path", F.floor(F.col("start") / share_bytes)).sortWithinPartitions("path", "start")
+    return dealt.mapInPandas(read, "path string, entry string, x_um double, y_um double, image binary")
 
 
 def labelled_tiles(files: DataFrame, root_labels: dict[str, str]) -> DataFrame:
