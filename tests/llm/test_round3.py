@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from test_llm import AWKWARD, DOCS, SF, WORD
 from tokenizers import Tokenizer
 
-from tilecohort.llm import centroids, dac, langid, mil, queries, runs, simhash
+from tilecohort.llm import centroids, dac, langid, leaks, mil, queries, runs, simhash
 from tilecohort.llm.common import hot_joined, new_path, salted
 
 
@@ -235,3 +236,26 @@ def test_long_documents_are_learned_whole(spark, monkeypatch):
     monkeypatch.setattr(mil, "TRAIN_PASSAGES", 40)
     mil.learn(docs, labels)
     assert sorted(sizes[0]) == [10] * 10 + [15] * 10 and sorted(sizes[1]) == [10] * 4 + [15] * 2
+
+
+def test_basis_from_all_passages(spark):
+    """More passages than any bounded sample would take: all are kept for the fit, which holds as much of them as numpy's singular vectors do."""
+    rng = np.random.default_rng(6)
+    topics = [rng.dirichlet(np.full(400, 0.05)) for _ in range(40)]
+    texts = [" ".join(f"w{x}" for x in rng.choice(400, 96, p=topics[i % 40])) for i in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(-1, None), (-2, " ")], "doc_id long, text string")
+    stats = leaks.statistics(docs).collect()
+    kept = [r for r in stats if r.bag is not None]
+    assert sum(len(r.sizes) for r in kept) == sum(r.n for r in stats if r.cell == -2) == 2500
+    assert sum(sum(r.tf) for r in kept) == 2500 * 96
+    items = spark.createDataFrame([(1, texts[0][:100])], "item_id long, text string")
+    (index,) = leaks._indexes(docs, items, "item_id", "text")
+    dense = np.zeros((2500, leaks.CELLS), np.float32)
+    at = 0
+    for r in kept:
+        for row, cell, x in leaks._passages(pa.RecordBatch.from_pylist([{"bag": r.bag, "tf": r.tf, "sizes": r.sizes, "weight": 1.0}]), index.idf):
+            dense[at + row, cell] = x
+            at += int(row[-1]) + 1
+    q = index.rows / np.where(index.idf > 0, index.idf, 1)[:, None]
+    best = np.linalg.svd(dense[:, dense.any(0)], compute_uv=False)[: leaks.RANK]
+    assert np.linalg.norm(dense @ q) ** 2 > 0.97 * (best**2).sum()

@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are weighted by TF-IDF over CELLS hashed terms, with block frequencies of
-the whole corpus. A randomised SVD of a bounded passage sample together with the items
-(a range finder, a power step, then the small eigenproblem in its basis) gives RANK
+the whole corpus. A randomised SVD of all its passages together with the items
+(a range finder, a power step, then the small eigenproblem of its image) gives RANK
 directions. Every passage of every text is projected there and compared with every item
 by cosine. A passage that holds a whole item and much other text besides has a cosine of the item's length over its own at
 best, so it is a candidate from REACH of that cosine on, which doesn't depend on what surrounds the item. A basis serves MAX_ITEMS items at most, for it loses
@@ -19,20 +19,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
-from .words import LOWER, column, give_back, mix64, slices, split, word_hashes
+from .words import LOWER, column, give_back, slices, split, word_hashes
 
 CELLS = 1 << 15
 #: Words of a block; a passage is two or three successive blocks of a text.
 BLOCK = 32
-#: Passages that the basis is fitted on besides the items, at most.
-SAMPLE = 2048
+#: Passages of a row of bags, multiplied at once: few, for their common cells make the columns.
+PACK = 32
+#: Passages of a task of the fit; a task sends CELLS * RANK numbers.
+_PASSAGES_OF_TASK = 1 << 16
 RANK = 128
 #: Items of one basis; more go through in several searches.
 MAX_ITEMS = 256
+#: Sums of the sketch that a passage is added to; with one, passages that meet there could not be told apart.
+_SUMS = 4
 #: Longest piece of an item; longer items are cut and any piece counts.
 PIECE = 60
 SUBSEQUENCE, INFORMATIVE, ANSWER, SURE = 0.65, 0.6, 0.5, 0.8
@@ -92,31 +97,35 @@ def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (cell, n): blocks that hold the cell, under cell -1 the number of blocks and under -2 that of passages; rows (h, bag): a bottom-SAMPLE sample of each task's distinct passages."""
+    """Rows (cell, n): blocks that hold the cell, under cell -1 the number of blocks and under -2 that of passages; rows (bag, tf, sizes): the cells of all passages, PACK a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, blocks, passages = np.zeros(CELLS, np.int64), 0, 0
-        low: list[tuple[int, bytes]] = []
         for part in slices(batches, text, _SLICE):
             w, h, first, block = _split(column(part, text))
+            if not len(w.codes):
+                continue
             cell = _cells(h)[w.codes]
             df += np.bincount(np.unique(block * CELLS + cell) % CELLS, minlength=CELLS)
             blocks += int(first[-1])
             # passages are every third block of a text with the two after it
-            start = np.searchsorted(block, np.arange(first[-1] + 1))
-            lead = np.concatenate([np.arange(a, b, 3) for a, b in zip(first[:-1], first[1:])] or [first[:0]])
-            end = start[np.minimum(lead + 3, np.repeat(first[1:], -(-np.diff(first) // 3)))]
-            rank = mix64(h[w.codes[start[lead]]] + mix64(h[w.codes[end - 1]]) + (end - start[lead]).astype(np.uint64)).view(np.int64) if len(lead) else lead
-            passages += len(lead)
-            few = np.unique(rank, return_index=True)[1][:SAMPLE]  # passages that differ
-            low = sorted({*low, *((int(rank[i]), cell[start[lead[i]] : end[i]].astype(np.int32).tobytes()) for i in few)})[:SAMPLE]
+            of_text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            count = -(-np.diff(first) // 3)
+            passage = (np.cumsum(count) - count)[of_text] + (np.arange(first[-1]) - first[:-1][of_text]) // 3
+            key, tf = np.unique(passage[block] * CELLS + cell, return_counts=True)
+            size = np.bincount(key // CELLS)
+            passages += len(size)
+            at = np.concatenate([[0], np.cumsum(size)])
+            packs = [(slice(at[i], at[min(i + PACK, len(size))]), slice(i, i + PACK)) for i in range(0, len(size), PACK)]
+            low, tf, size = (key % CELLS).astype(np.uint16), tf.astype(np.uint8), size.astype(np.uint8)  # a passage has 3 * BLOCK words at most
+            none = pa.nulls(len(packs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array([x[p[k]].tobytes() for p in packs], pa.binary()) for x, k in ((low, 0), (tf, 0), (size, 1)))], names=names)
         if blocks:
             seen = np.append(np.flatnonzero(df), [-1, -2])
-            n = np.append(df[seen[:-2]], [blocks, passages])
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["cell", "n", "h", "bag"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(low), pa.int64()), pa.nulls(len(low), pa.int64()), pa.array([x[0] for x in low], pa.int64()), pa.array([x[1] for x in low], pa.binary())], names=["cell", "n", "h", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(np.append(df[seen[:-2]], [blocks, passages])), *[pa.nulls(len(seen), pa.binary())] * 3], names=names)
 
-    return docs.select(text).mapInArrow(run, "cell long, n long, h long, bag binary")
+    names = ["cell", "n", "bag", "tf", "sizes"]
+    return docs.select(text).mapInArrow(run, "cell long, n long, bag binary, tf binary, sizes binary")
 
 
 def _vector(bag: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +144,30 @@ def _orthonormal(z: np.ndarray) -> np.ndarray:
     return np.pad(z, ((0, 0), (0, RANK - z.shape[1])))
 
 
+def _passages(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, cell, weight) of the entries of each pack of passages, every passage of length 1 times its weight; bags without sizes are one passage."""
+    for bag, tf, sizes, weight in zip(*(column(batch, c).to_pylist() for c in ("bag", "tf", "sizes", "weight"))):
+        if sizes is None:
+            cell, x = _vector(np.frombuffer(bag, np.int32), idf)
+            yield np.zeros(len(cell), np.int64), cell, (x * weight).astype(np.float32)
+        else:
+            cell, size = np.frombuffer(bag, np.uint16).astype(np.int64), np.frombuffer(sizes, np.uint8).astype(np.int64)
+            x = np.frombuffer(tf, np.uint8) * idf[cell]
+            length = np.maximum(1e-9, np.sqrt(np.add.reduceat(x * x, np.cumsum(size) - size)))
+            row = np.repeat(np.arange(len(size)), size)
+            yield row, cell, (x / length[row] * weight).astype(np.float32)
+
+
 def basis(bags: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """CELLS by RANK: the leading right singular vectors of the weighted bags, by a randomised SVD.
 
-    bags: (bag binary, weight double). Three passes over them: a random sketch, a power step, and the image of the basis,
-    whose RANK by RANK eigenproblem turns the basis into singular vectors. Each task sums a_i (a_i . Q) over its rows,
-    blocks of cells are summed in the cluster and the driver gets CELLS * RANK numbers a pass.
+    bags: (bag binary, weight double), or packs of passages with tf and sizes as ``statistics`` makes them. Two passes over all of them:
+    a random sketch adds each passage under random signs to _SUMS of RANK sums; their span goes through a power step, whose
+    image gives the singular vectors (Nystroem's method). Each task sums a_i (a_i . Q) over its rows, blocks of cells are
+    summed in the cluster and the driver gets CELLS * RANK numbers a pass.
     """
     spark = bags.sparkSession
+    bags = bags.select("bag", "weight", *[F.col(c) if c in bags.columns else F.lit(None).cast("binary").alias(c) for c in ("tf", "sizes")])
     shared = spark.sparkContext.broadcast(idf)
     width = CELLS // _BLOCKS_OF_CELLS
 
@@ -150,20 +175,30 @@ def basis(bags: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
         sketch = spark.sparkContext.broadcast(q)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = sketch.value
-            if q is None:
-                q = np.random.default_rng(seed).normal(size=(CELLS, RANK)).astype(np.float32)
-            z = np.zeros((CELLS, RANK), np.float32)
+            q, z = sketch.value, np.zeros((CELLS, RANK), np.float32)
+            rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
             for batch in batches:
-                for bag, weight in zip(column(batch, "bag").to_pylist(), column(batch, "weight").to_pylist()):
-                    cell, x = _vector(np.frombuffer(bag, np.int32), shared.value)
-                    x = (x * weight).astype(np.float32)
-                    z[cell] += x[:, None] * (x @ q[cell])
+                for row, cell, x in _passages(batch, shared.value):
+                    n = int(row[-1]) + 1 if len(row) else 0
+                    if q is None:
+                        for _ in range(_SUMS):
+                            np.add.at(z.reshape(-1), cell * RANK + rng.integers(0, RANK, n)[row], x * rng.choice(np.array([-1, 1], np.float32), n)[row])
+                    else:
+                        held = np.zeros(CELLS, bool)
+                        held[cell] = True
+                        some = np.flatnonzero(held)
+                        dense = np.zeros((n, len(some)), np.float32)
+                        dense[row, (np.cumsum(held) - 1)[cell]] = x
+                        z[some] += dense.T @ (dense @ q[some])
             if z.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS_OF_CELLS)), pa.array([z[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS_OF_CELLS)], pa.binary())], names=["block", "z"])
+            del q, z
+            give_back()
 
         def add(table: pa.Table) -> pa.Table:
-            z = sum(np.frombuffer(b, np.float32).astype(float) for b in table["z"].to_pylist())
+            z = np.zeros(width * RANK)
+            for b in table["z"]:
+                z += np.frombuffer(b.as_buffer(), np.float32)
             return pa.table({"block": table["block"].slice(0, 1), "z": pa.array([z.astype(np.float32).tobytes()], pa.binary())})
 
         z = np.zeros((CELLS, RANK), np.float32)
@@ -174,12 +209,17 @@ def basis(bags: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
         sketch.destroy()
         return z
 
-    q = _orthonormal(image(_orthonormal(image(None))))
-    value, vector = np.linalg.eigh(q.T.astype(float) @ image(q))
-    q = q @ vector[:, np.argsort(-value)].astype(np.float32)
+    q = _orthonormal(image(None))
+    z = image(q)
+    value, vector = np.linalg.eigh(q.T.astype(float) @ z)
+    keep = value > 1e-7 * max(float(value.max()), 1e-30)
+    z = z @ (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)  # its left singular vectors are those wanted
+    value, vector = np.linalg.eigh(z.T.astype(float) @ z)
+    keep = np.flatnonzero(value > 1e-7 * max(float(value.max(initial=0)), 1e-30))[::-1]
+    q = z @ (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
     shared.destroy()
     give_back()
-    return q
+    return np.pad(q, ((0, 0), (0, RANK - q.shape[1])))
 
 
 def common_subsequence(x: list, at: dict, n: int) -> int:
@@ -273,13 +313,13 @@ class Index:
 
 
 def build(stats: DataFrame, idf: np.ndarray, items: Items, passages: int) -> Index:
-    """Index of the items; the basis comes from a sample of the texts' passages and the items."""
+    """Index of the items; the basis comes from all passages of the texts and the items, which weigh as much together."""
     spark = stats.sparkSession
-    # the tasks' samples are thinned by their hash to half as many again as wanted before the few are put in order
-    top = min((1 << 63) - 1, -(1 << 63) + int((1.5 * SAMPLE + 64) / max(1, passages) * (1 << 64)))
-    sample = stats.filter((F.col("h").isNotNull()) & (F.col("h") <= top)).select("h", "bag").distinct().orderBy("h", "bag").limit(SAMPLE).select("bag", F.lit(1.0).alias("weight"))
-    bags = [(x.astype(np.int32).tobytes(), float(np.sqrt(SAMPLE / len(items.words)))) for x in items.bags]
-    q = basis(sample.unionByName(spark.createDataFrame(bags, "bag binary, weight double")), idf) if bags else np.zeros((CELLS, RANK), np.float32)
+    weight = float(np.sqrt(max(1, passages) / max(1, len(items.words))))
+    bags = [(x.astype(np.int32).tobytes(), weight) for x in items.bags]
+    corpus = stats.filter("bag IS NOT NULL").select("bag", "tf", "sizes", F.lit(1.0).alias("weight"))
+    both = corpus.unionByName(spark.createDataFrame(bags, "bag binary, weight double"), allowMissingColumns=True) if bags else corpus
+    q = basis(both.coalesce(-(-max(1, passages) // _PASSAGES_OF_TASK)), idf) if bags else np.zeros((CELLS, RANK), np.float32)
     short = idf.astype(np.float32)
     rows = q * short[:, None]
     latent = np.array([rows[bag].sum(0) for bag in items.bags], np.float32).reshape(-1, RANK)
