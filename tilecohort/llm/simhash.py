@@ -1,9 +1,9 @@
 """SimHash near-duplicates: fingerprints, deletion-variant signatures, components.
 
-Fingerprints that differ in at most BITS bits are cut into three segments, of which
-one then differs in at most one bit. So each segment is indexed once for each of its
-bits with that bit as a wildcard: 64 keys a fingerprint, and equal keys are joined
-and verified.
+Fingerprints are cut into three segments. Of two that differ in at most BITS bits, the last segments are equal, or else
+three bits at most are left to the others, so one of these differs in at most one bit. So the first two
+are indexed once for each of their bits with that bit as a wildcard, and the last one as it is: 43 keys a fingerprint, and
+equal keys are joined and verified.
 
 Equal fingerprints are one node. A group of near copies shares most keys, so pairs aren't
 formed within a bucket: each fingerprint is first verified against a few with an equal
@@ -28,7 +28,7 @@ from .words import column, joined, slices, split
 
 SHINGLE = 4
 BITS = 4
-#: (first bit, bits) of the segments; BITS // 3 = 1.
+#: (first bit, bits) of the segments; (BITS - 1) // 2 = 1, so the last one needs no wildcards.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints of a bucket of equal segments that its members are compared with first.
 HUBS = 16
@@ -71,9 +71,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def variants(fp: Column) -> Column:
-    """The 64 keys of a fingerprint: (number of the wildcard bit, its segment with that bit cleared) in one long."""
-    keys = []
-    for start, width in SEGMENTS:
+    """The 43 keys of a fingerprint, each in one long: (number of the wildcard bit, its segment with that bit cleared), and the last segment."""
+    keys = [F.element_at(plain(fp), -1)]
+    for start, width in SEGMENTS[:-1]:
         segment = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
         keys += [segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << j))) + F.lit((start + j) << 22) for j in range(width)]
     return F.array(*keys)
@@ -114,7 +114,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     mixed = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("lo"), F.max(member).alias("hi")).filter("lo.c <> hi.c").select("key", "n", "lo", "hi"), "mixed")
     pairs = mixed.filter((F.col("n") == 2) & _near(F.col("lo.fp"), F.col("hi.fp"))).select(F.col("lo.c").alias("u"), F.col("hi.c").alias("v"))
     many = mixed.filter("n > 2").select(F.col("key").alias("k"), "n", F.col("hi.c").alias("most"))
-    # a fingerprint is in 64 buckets, so 64 * SHARE buckets at most hold a SHARE-th of all fingerprints each
+    # a fingerprint is in 43 buckets, so 43 * SHARE buckets at most hold a SHARE-th of all fingerprints each
     hot = [r.k for r in many.filter(F.col("n") * SHARE > labelled.count()).select("k").collect()]
     is_hot = lambda k: k.isin(hot) if hot else F.lit(False)
     of = (F.col("key") == F.col("k")) & (F.col("c") != F.col("most"))
