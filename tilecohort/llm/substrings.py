@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, hot_joined, one_text_each, split_hot, written
+from .common import HOT, discard, hot_joined, one_text_each, written
 from .words import column, inside, mix64, multipliers, slices, split, windows, word_hashes
 
 WINDOW = 13
 K = 5
+#: Tasks that the rows of a hot segment are dealt out to.
+PIECES = 64
 _FOUND = "h long, s long, doc long, pos long, n_words long, sha string"
 _SECOND = "doc long, w1 long, w2 int, pos long, n_words long, n_removed long, sha string"
 
@@ -164,21 +166,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # frequent anchors: with a thousandth of a sample of documents' rows or more, so a thousand at most; this only decides how rows meet
     some = at.filter(F.pmod(F.xxhash64("doc"), F.lit(64)) == 0)
     hot = written(some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * 1000 > some.count()).select("h"), "hot")
-    often, seldom = split_hot(at, hot, "h")
-    # other anchors are dealt out once; windows over anchor and segment, then over anchor, need no further move
-    segment, anchor = Window.partitionBy("h", "s"), Window.partitionBy("h")
-    placed = seldom.withColumn("first", F.min("doc").over(segment)).withColumns({"a": F.min("doc").over(anchor), "b": F.max("doc").over(anchor), "one": F.min("s").over(anchor) == F.max("s").over(anchor)})
-    cold = placed.filter("a < b AND (doc > first OR NOT one)").select("doc", "pos", "first", "one")
-    # hot anchors are summed up by segment, and copies of hot segments stay where they are
-    segments_ = often.groupBy("h", "s").agg(F.min("doc").alias("first"), F.max("doc").alias("b"), F.count("*").alias("n"))
-    first = written(segments_, "segments")
-    by_anchor = first.groupBy("h").agg(F.min("first").alias("a"), F.max("b").alias("z"), (F.min("s") == F.max("s")).alias("one")).filter("a < z").select("h", "one")
-    classes = written(first.select("h", "s", "first", "n").join(F.broadcast(by_anchor), "h"), "classes")  # a thousand anchors at most
-    shared = hot_joined(often, classes, ["h", "s"], "n", "inner")
-    marked = cold.unionByName(shared.select("doc", "pos", "first", "one"))
+    # hot anchors are summed up by segment; what is known of them and of their hot segments, a thousand at most each, goes to the rows
+    # (other anchors' rows are one group there, combined where they are)
+    often = at.join(F.broadcast(hot.withColumn("often", F.lit(True))), "h", "left").groupBy(*[F.when(F.col("often"), F.col(c)).alias(c) for c in ("h", "s")])
+    every = written(often.agg(F.min("doc").alias("known"), F.max("doc").alias("b"), F.count("*").alias("n")), "segments")
+    sums = every.filter("h IS NOT NULL")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    anchors = sums.groupBy("h").agg(((F.min("s") == F.max("s")) | (F.min("known") == F.max("b"))).alias("alone"))
+    segments_ = sums.filter(F.col("n") * HOT > F.lit(int(total))).select("h", "s", "known")
+    rows = at.join(F.broadcast(anchors), "h", "left").join(F.broadcast(segments_), ["h", "s"], "left")
+    # rows are dealt out once, by anchor, those of hot anchors by segment and those of hot segments by document;
+    # windows over segment and anchor need no further move
+    dealt = rows.withColumn("part", F.when(F.col("alone").isNull(), 0).when(F.col("known").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(PIECES))).otherwise(F.col("s")))
+    segment, anchor = Window.partitionBy("h", "part", "s"), Window.partitionBy("h", "part")
+    alone = (F.min("s").over(anchor) == F.max("s").over(anchor)) | (F.min("doc").over(anchor) == F.max("doc").over(anchor))
+    placed = dealt.withColumn("first", F.coalesce("known", F.min("doc").over(segment))).withColumn("one", F.coalesce("alone", alone))
+    marked = placed.filter("doc > first OR NOT one").select("doc", "pos", "first", "one")
     runs = lambda of: F.collect_list(F.when(of, F.col("pos")))
     todo = written(marked.groupBy("doc").agg(runs(F.col("doc") > F.col("first")).alias("cut"), runs((F.col("doc") == F.col("first")) & ~F.col("one")).alias("ask")).filter("size(cut) + size(ask) > 0"), "todo")
-    for table in (found, first, classes, hot):
+    for table in (found, every, hot):
         discard(table)
     texts = named.join(todo, "doc").dropDuplicates(["doc"])
     step = written(_second(texts), "step")
