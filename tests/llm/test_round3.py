@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from test_llm import AWKWARD, DOCS, SF, WORD
 from tokenizers import Tokenizer
 
-from tilecohort.llm import centroids, dac, langid, leaks, mil, queries, runs, simhash
+from tilecohort.llm import centroids, dac, langid, leaks, mil, queries, runs, simhash, substrings
 from tilecohort.llm.common import hot_joined, new_path, salted
 
 
@@ -259,3 +259,34 @@ def test_basis_from_all_passages(spark):
     q = index.rows / np.where(index.idf > 0, index.idf, 1)[:, None]
     best = np.linalg.svd(dense[:, dense.any(0)], compute_uv=False)[: leaks.RANK]
     assert np.linalg.norm(dense @ q) ** 2 > 0.97 * (best**2).sum()
+
+
+def test_keys_of_near_fingerprints(spark):
+    """43 keys a fingerprint, and any two that differ in at most four bits share one."""
+    rng = random.Random(8)
+    pairs = [(a, a ^ sum(1 << b for b in rng.sample(range(64), n))) for n in range(5) for a in (rng.getrandbits(64) for _ in range(400))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long").select(simhash.variants(F.col("a")).alias("a"), simhash.variants(F.col("b")).alias("b"))
+    got = rows.agg(F.min(F.size("a")), F.max(F.size("a")), F.min(F.size(F.array_intersect("a", "b")))).first()
+    assert (got[0], got[1]) == (43, 43) and got[2] > 0
+
+
+def test_passages_of_hot_anchors(spark):
+    """A passage of nearly all documents, in a few of them with other words after it: hot anchors with hot and seldom segments."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(30)]
+    texts = {}
+    for d in range(1500):
+        own = [f"o{rng.randrange(4000)}" for _ in range(12)]
+        cut = shared[: rng.randrange(14, 30)] if d % 40 == 0 else shared
+        texts[d * 3 + 1] = own[:6] + cut + own[6:]
+    first = {}
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - 12):
+            first.setdefault(tuple(texts[d][i : i + 13]), d)
+    want = {}
+    for d, w in texts.items():
+        gone = {i + k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for k in range(13)}
+        want[d] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()} == want

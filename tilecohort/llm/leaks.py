@@ -31,13 +31,13 @@ CELLS = 1 << 15
 BLOCK = 32
 #: Passages of a row of bags, multiplied at once: few, for their common cells make the columns.
 PACK = 32
-#: Passages of a task of the fit; a task sends CELLS * RANK numbers.
-_PASSAGES_OF_TASK = 1 << 16
+#: Passages of a task of the fit, and tasks at most; a task sends CELLS * RANK numbers.
+_PASSAGES_OF_TASK, _TASKS = 1 << 16, 256
 RANK = 128
 #: Items of one basis; more go through in several searches.
 MAX_ITEMS = 256
 #: Sums of the sketch that a passage is added to; with one, passages that meet there could not be told apart.
-_SUMS = 4
+_SUMS = 3
 #: Longest piece of an item; longer items are cut and any piece counts.
 PIECE = 60
 SUBSEQUENCE, INFORMATIVE, ANSWER, SURE = 0.65, 0.6, 0.5, 0.8
@@ -47,8 +47,8 @@ REACH = 0.5
 NEAR = 0.5
 FREE_SUBSEQUENCE, FREE_INFORMATIVE, FREE_ANSWER = 0.5, 0.55, 0.75
 _CELLS_OF_SEARCH = 1 << 20
-_BLOCKS_OF_CELLS = 16
-_BLOCKS_AT_ONCE = 512
+_BLOCKS_OF_CELLS = 64
+_BLOCKS_AT_ONCE = 48
 _SLICE = 1 << 20
 _TABLE = LOWER.copy()
 _TABLE[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = 0x20
@@ -106,13 +106,18 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             if not len(w.codes):
                 continue
             cell = _cells(h)[w.codes]
-            df += np.bincount(np.unique(block * CELLS + cell) % CELLS, minlength=CELLS)
             blocks += int(first[-1])
             # passages are every third block of a text with the two after it
             of_text = np.repeat(np.arange(len(first) - 1), np.diff(first))
             count = -(-np.diff(first) // 3)
             passage = (np.cumsum(count) - count)[of_text] + (np.arange(first[-1]) - first[:-1][of_text]) // 3
-            key, tf = np.unique(passage[block] * CELLS + cell, return_counts=True)
+            # one order by passage, cell and block of the passage serves the blocks' counts and the passages' cells
+            place = (np.arange(first[-1]) - first[:-1][of_text]) % 3
+            order = np.sort((passage[block] * CELLS + cell) * 4 + place[block])
+            df += np.bincount(order[np.append(True, order[1:] != order[:-1])] // 4 % CELLS, minlength=CELLS)
+            order //= 4
+            lead = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+            key, tf = order[lead], np.diff(np.append(lead, len(order)))
             size = np.bincount(key // CELLS)
             passages += len(size)
             at = np.concatenate([[0], np.cumsum(size)])
@@ -144,6 +149,13 @@ def _orthonormal(z: np.ndarray) -> np.ndarray:
     return np.pad(z, ((0, 0), (0, RANK - z.shape[1])))
 
 
+def _held(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells in order, and the place of each cell among them."""
+    held = np.zeros(CELLS, bool)
+    held[cell] = True
+    return np.flatnonzero(held), (np.cumsum(held) - 1)[cell]
+
+
 def _passages(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, cell, weight) of the entries of each pack of passages, every passage of length 1 times its weight; bags without sizes are one passage."""
     for bag, tf, sizes, weight in zip(*(column(batch, c).to_pylist() for c in ("bag", "tf", "sizes", "weight"))):
@@ -184,11 +196,9 @@ def basis(bags: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
                         for _ in range(_SUMS):
                             np.add.at(z.reshape(-1), cell * RANK + rng.integers(0, RANK, n)[row], x * rng.choice(np.array([-1, 1], np.float32), n)[row])
                     else:
-                        held = np.zeros(CELLS, bool)
-                        held[cell] = True
-                        some = np.flatnonzero(held)
+                        some, place = _held(cell)
                         dense = np.zeros((n, len(some)), np.float32)
-                        dense[row, (np.cumsum(held) - 1)[cell]] = x
+                        dense[row, place] = x
                         z[some] += dense.T @ (dense @ q[some])
             if z.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS_OF_CELLS)), pa.array([z[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS_OF_CELLS)], pa.binary())], names=["block", "z"])
@@ -266,7 +276,9 @@ class Index:
         vector, square = np.zeros((n, RANK), np.float32), np.add.reduceat(self.idf[cells] ** 2, start[:-1])
         for i in range(0, n, _BLOCKS_AT_ONCE):
             stop = min(n, i + _BLOCKS_AT_ONCE)
-            vector[i:stop] = np.add.reduceat(self.rows[cells[start[i] : start[stop]]], start[i:stop] - start[i])
+            cell, block = cells[start[i] : start[stop]], np.repeat(np.arange(stop - i), np.diff(start[i : stop + 1]))
+            some, place = _held(cell)
+            vector[i:stop] = np.bincount(block * len(some) + place, minlength=(stop - i) * len(some)).astype(np.float32).reshape(stop - i, -1) @ self.rows[some]
         # a passage is a block with the two after it, as far as its text goes
         own_vector, own_square = vector.copy(), square.copy()
         for k in (1, 2):
@@ -319,7 +331,7 @@ def build(stats: DataFrame, idf: np.ndarray, items: Items, passages: int) -> Ind
     bags = [(x.astype(np.int32).tobytes(), weight) for x in items.bags]
     corpus = stats.filter("bag IS NOT NULL").select("bag", "tf", "sizes", F.lit(1.0).alias("weight"))
     both = corpus.unionByName(spark.createDataFrame(bags, "bag binary, weight double"), allowMissingColumns=True) if bags else corpus
-    q = basis(both.coalesce(-(-max(1, passages) // _PASSAGES_OF_TASK)), idf) if bags else np.zeros((CELLS, RANK), np.float32)
+    q = basis(both.coalesce(min(_TASKS, -(-max(1, passages) // _PASSAGES_OF_TASK))), idf) if bags else np.zeros((CELLS, RANK), np.float32)
     short = idf.astype(np.float32)
     rows = q * short[:, None]
     latent = np.array([rows[bag].sum(0) for bag in items.bags], np.float32).reshape(-1, RANK)
