@@ -306,10 +306,11 @@ k AS (SELECT *, least(greatest(4, ceil(n * 0.22)), 56, n)::INTEGER AS keep FROM
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tiling.supertiles(_parts(spark, sf_dir), "width", "height", 512)
-    scored = cells.select("slide", F.floor(F.col("x0") / 512).cast("int").alias("gx"), F.floor(F.col("y0") / 512).cast("int").alias("gy"), ((F.col("slide") * 7 + F.col("x0") * 13 + F.col("y0") * 29) % 1009).alias("score"))
-    n = scored.groupBy("slide").agg(F.count("*").alias("n"))
-    return scored.join(n, "slide").withColumn("keep", F.least(tiling.keep_count(F.col("n"), 0.22, 4, 56), F.col("n")).cast("int"))
+    # counted before the cells are made: Spark takes an exploded table for as small as what it comes from and would broadcast it in a join
+    n = F.sum(tiling.cell_count(F.col("width"), F.col("height"), 512)).over(Window.partitionBy("slide"))
+    cells = tiling.supertiles(_parts(spark, sf_dir).withColumn("n", n), "width", "height", 512)
+    scored = cells.select("slide", F.floor(F.col("x0") / 512).cast("int").alias("gx"), F.floor(F.col("y0") / 512).cast("int").alias("gy"), ((F.col("slide") * 7 + F.col("x0") * 13 + F.col("y0") * 29) % 1009).alias("score"), "n")
+    return scored.withColumn("keep", F.least(tiling.keep_count(F.col("n"), 0.22, 4, 56), F.col("n")).cast("int"))
 
 
 @query("WITH RECURSIVE" + _CELLS.removeprefix("WITH").rstrip() + """, o AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY score DESC, gy, gx) AS i FROM k),
