@@ -18,7 +18,7 @@ def joined_by_broadcast(df):
     return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["supertile_keep_counts"])
+@pytest.mark.parametrize("name", ["supertile_keep_counts", "supertile_priority"])
 def test_cells_are_not_broadcast(spark, parts, name):
     assert not joined_by_broadcast(catalogue.QUERIES[name](spark, parts))
 
