@@ -1,8 +1,10 @@
 """Tables that Spark takes for smaller than they are, and inputs with nulls, repeats and fractions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tilecohort.llm import simhash
 from tilecohort.operators import tiling
 from tilecohort.plans import catalogue, cohort
 
@@ -36,3 +38,30 @@ def test_cell_count_is_that_of_the_grid(spark):
     made = tiling.supertiles(slides, "width", "height", 512).groupBy("slide").agg(F.count("*").alias("n"))
     said = slides.select("slide", tiling.cell_count(F.col("width"), F.col("height"), 512).alias("n")).filter("n > 0")
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, said.collect()))
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, 300)
+    fps = np.unique(np.concatenate([fps, fps[:100] ^ 0b11, fps[:50] ^ (1 << 40)]))
+    nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fps)], "doc long, fp long")
+    plans = {}
+
+    def spy(f):
+        def run(df, *label):
+            plans[label or f"components {len(plans)}"] = joined_by_broadcast(df)
+            return f(df, *label)
+
+        return run
+
+    monkeypatch.setattr(simhash, "written", spy(simhash.written))
+    monkeypatch.setattr(simhash, "connected", spy(simhash.connected))
+    got = {(r.node, r.component) for r in simhash.linked(nodes).collect()}
+    assert not plans[("minor",)] and not [v for k, v in plans.items() if str(k).startswith("components ")][-1]
+    first = list(range(len(fps)))
+    for i, x in enumerate(fps.tolist()):
+        for j in range(i):
+            if (x ^ int(fps[j])).bit_count() <= simhash.BITS:
+                low, high = sorted((first[i], first[j]))
+                first = [low if c == high else c for c in first]
+    assert got == {(i, c) for i, c in enumerate(first) if first.count(c) > 1} and got

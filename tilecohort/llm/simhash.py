@@ -106,7 +106,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     same = written(connected(links), "components")
     sizes = same.groupBy("component").agg(F.count("*").alias("size"))
     named = hot_joined(same, written(sizes, "sizes"), ["component"], "size", "inner").select(F.col("node").alias("doc"), F.col("component").alias("c"), "size")
-    labelled = written(nodes.join(named, "doc", "left").select("fp", F.coalesce("c", "doc").alias("c"), F.coalesce("size", F.lit(1).cast("long")).alias("size")), "labelled")
+    labelled = written(nodes.join(named.hint("merge"), "doc", "left").select("fp", F.coalesce("c", "doc").alias("c"), F.coalesce("size", F.lit(1).cast("long")).alias("size")), "labelled")
 
     # buckets of several components; the one with most members anywhere isn't compared with itself
     keys = labelled.select("fp", "c", "size", F.explode(variants(F.col("fp"))).alias("key"))
@@ -118,12 +118,13 @@ def linked(nodes: DataFrame) -> DataFrame:
     hot = [r.k for r in many.filter(F.col("n") * SHARE > labelled.count()).select("k").collect()]
     is_hot = lambda k: k.isin(hot) if hot else F.lit(False)
     of = (F.col("key") == F.col("k")) & (F.col("c") != F.col("most"))
-    rare = keys.filter(~is_hot(F.col("key"))).join(many.filter(~is_hot(F.col("k"))), of)
+    # merged: Spark takes an exploded table for as small as what it comes from and would broadcast the keys
+    rare = keys.filter(~is_hot(F.col("key"))).join(many.filter(~is_hot(F.col("k"))).hint("merge"), of)
     minor = written(keys.filter(is_hot(F.col("key"))).join(F.broadcast(many.filter(is_hot(F.col("k")))), of).unionByName(rare).select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2")), "minor")
     # the rows of a hot bucket are dealt out to PIECES tasks, each with all its smaller components
     left = keys.select("key", "fp", "c", F.when(is_hot(F.col("key")), F.pmod(F.xxhash64("fp"), F.lit(PIECES))).otherwise(0).cast("int").alias("piece"))
     right = minor.select(F.col("key").alias("k"), "fp2", "c2", F.explode(F.when(is_hot(F.col("key")), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))).alias("p"))
-    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("piece") == F.col("p")) & (F.col("c") != F.col("c2")) & _near(F.col("fp"), F.col("fp2")))
+    across = left.join(right.hint("merge"), (F.col("key") == F.col("k")) & (F.col("piece") == F.col("p")) & (F.col("c") != F.col("c2")) & _near(F.col("fp"), F.col("fp2")))
     more = pairs.unionByName(across.select(F.col("c").alias("u"), F.col("c2").alias("v"))).distinct()
     result = written(connected(same.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
     for table in (links, same, labelled, mixed, minor):
@@ -143,7 +144,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     one_text_each(rows, "doc_id", "n_shingles", "fp")
     nodes = written(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "nodes")
     same = linked(nodes.select("doc", "fp"))
-    classes = written(nodes.join(same.withColumnRenamed("node", "doc"), "doc", "left").select("fp", "n", F.coalesce("component", "doc").alias("component")), "classes")
+    classes = written(nodes.join(same.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("fp", "n", F.coalesce("component", "doc").alias("component")), "classes")
     found = hot_joined(rows, classes, ["fp"], "n", "left")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
