@@ -1,11 +1,12 @@
 """Tables that Spark takes for smaller than they are, and inputs with nulls, repeats and fractions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tilecohort.llm import simhash
-from tilecohort.operators import tiling
+from tilecohort.operators import index, tiling, vectors
 from tilecohort.plans import catalogue, cohort
 
 
@@ -65,3 +66,62 @@ def test_keys_of_fingerprints_are_not_broadcast(spark, monkeypatch):
                 low, high = sorted((first[i], first[j]))
                 first = [low if c == high else c for c in first]
     assert got == {(i, c) for i, c in enumerate(first) if first.count(c) > 1} and got
+
+
+@pytest.fixture()
+def listed(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    x[:60] = x[0]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>")
+    index.build(rows, str(tmp_path / "index"))
+    return rows, str(tmp_path / "index"), x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("probes", [1000, 7])
+@pytest.mark.parametrize("edge", [4096, 30])
+def test_search_in_blocks(spark, monkeypatch, listed, probes, edge):
+    """Long and short lists, many equal vectors, small slices: as by brute force; only the table of lists is broadcast."""
+    monkeypatch.setattr(index, "BLOCK", edge)
+    rows, path, x = listed
+    got = index.search(rows, path, 5, probes, skip_self=True)
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 1
+    _, centres = index.opened(spark, path)
+    own = np.zeros(400, int)
+    for r in index.vectors_of(spark, path).collect():
+        own[r.id] = r.list
+    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+    want = set()
+    for i in range(400):
+        refs = [j for j in range(400) if j != i and own[j] in near[i]]
+        want |= {(i, j, n + 1) for n, j in enumerate(sorted(refs, key=lambda j: (-round(float(x[i] @ x[j]), 12), j))[:5])}
+    assert {(r.id, r.ref, r["rank"]) for r in got.collect()} == want
+
+
+def test_queries_move_once_a_block(spark, listed):
+    rows, path, _ = listed
+    _, centres = index.opened(spark, path)
+    sizes = np.array([5, 30, 2, 2, 70, 1] + [0] * (len(centres) - 6))
+    first, pieces = index.blocks(sizes, 31)
+    assert list(zip(first, pieces))[:6] == [(0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (6, 1)]
+    asked = index._unit(rows, "id", "vector")
+    assert index._sent(asked, centres, len(centres), *index.blocks(sizes, 1000)).count() == 400
+    sent = index._sent(asked, centres, len(centres), first, pieces)
+    assert sent.count() == sent.select("id", "b").distinct().count() == 400 * 7
+
+
+def test_best_of_a_block_in_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-1, 2, (50, 3)).astype(float)
+    x[7] = np.nan
+    ids = rng.permutation(50) * 3
+    unit = vectors._matrix(pa.array(x.tolist()))
+    want = []
+    for i in range(50):
+        refs = [j for j in range(50) if ids[j] != ids[i] and np.isfinite(unit[i] @ unit[j])]
+        want += [(ids[i], ids[j], round(float(unit[i] @ unit[j]), 12)) for j in sorted(refs, key=lambda j: (-round(float(unit[i] @ unit[j]), 12), ids[j]))[:4]]
+    for size in (1, 120, 1 << 21):
+        monkeypatch.setattr(vectors, "SLICE", size)
+        got = vectors._best(ids, ids, unit, pa.array(x.tolist()), 4, True).to_pydict()
+        assert list(zip(got["id"], got["ref"], got["sim"])) == want
+    assert vectors._best(ids, ids[:0], unit[:0], pa.array(x.tolist()), 4, True).num_rows == 0

@@ -3,8 +3,9 @@
 Centres are fitted on a bounded sample; every vector is stored under its nearest
 centre, as a Parquet table partitioned by it. A query reads the lists of its nearest
 centres only, and within them similarities are exact. New vectors are added under the
-same centres, without a rebuild. Lists and the queries that ask for them are cut into blocks, so a
-long list or one that many queries ask for is many tasks.
+same centres, without a rebuild. A search packs short lists into blocks and cuts long ones into several, and
+deals the queries into blocks too: every pair of blocks is one task's product, and a query moves once for each block
+that has a list it asks for, not once a list.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .vectors import _in_blocks, _matrix
+from .vectors import BLOCK, _best, _matrix
 
 #: Lists at most; a table of centres is broadcast.
 MOST_LISTS = 1024
 #: Numbers of the sample that centres are fitted on, on the driver; 32 vectors a list at most.
 SAMPLE_NUMBERS, SAMPLE_OF_LIST, ROUNDS = 1 << 22, 32, 10
+#: Blocks are BLOCK vectors long, and longer ones a SPREAD-th of all, up to so many numbers.
+SPREAD, BLOCK_NUMBERS = 16, 1 << 21
 META = "space string, dim int, lists int, extractor string"
 
 
@@ -64,6 +67,43 @@ def _listed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return rows.mapInArrow(run, "list int, id long, v array<double>")
 
 
+def blocks(sizes: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each list: short lists share a block, one of over ``edge`` vectors has several of its own."""
+    first, pieces = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    at = room = 0
+    for i, n in enumerate(sizes.tolist()):
+        if n > edge:
+            first[i], pieces[i] = at + (room > 0), -(-n // edge)
+            at, room = int(first[i] + pieces[i]), 0
+        else:
+            if room + n > edge:
+                at, room = at + 1, 0
+            first[i], room = at, room + n
+    return first, pieces
+
+
+def _sent(rows: DataFrame, centres: np.ndarray, probes: int, first: np.ndarray, pieces: np.ndarray) -> DataFrame:
+    """rows (id, v) once for each block (b) that has one of their ``probes`` nearest lists, with these as bits (asks)."""
+    shared = rows.sparkSession.sparkContext.broadcast((centres, first, pieces))  # MOST_LISTS rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, first, pieces = shared.value
+        of = np.zeros((len(first), int((first + pieces).max())), bool)
+        for i, (a, p) in enumerate(zip(first, pieces)):
+            of[i, a : a + p] = True
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                near = np.argsort(-(_matrix(batch.column(1)) @ centres.T), axis=1, kind="stable")[:, :probes]
+                asks = np.zeros((batch.num_rows, len(first)), bool)
+                np.put_along_axis(asks, near, True, 1)
+                row, block = np.nonzero(asks.astype(np.float32) @ of)
+                take, bits = pa.array(row), pa.array([b.tobytes() for b in np.packbits(asks, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column(0).take(take), bits.take(take), batch.column(1).take(take)], names=["b", "id", "asks", "v"])
+
+    return rows.mapInArrow(run, "b int, id long, asks binary, v array<double>")
+
+
 def build(rows: DataFrame, path: str, id_: str = "id", vector: str = "vector", *, extractor: str = "", lists: int | None = None) -> None:
     """Writes an index of the rows at a new path: centres, what they were made from, and the vectors under their lists.
 
@@ -120,6 +160,24 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = None, id_
     _, centres = opened(spark, path, _dim(asked) or None, extractor)
     probes = min(len(centres), probes or -(-2 * len(centres) // 3))
     held = vectors_of(spark, path).select(F.col("id").alias("ref"), "v", "list")
-    found = _in_blocks(_listed(asked, centres, probes), held, k, ["list"], skip_self, {"list": "int"})
+    sizes = np.zeros(len(centres), np.int64)
+    for row in held.groupBy("list").count().collect():  # MOST_LISTS rows
+        sizes[row["list"]] = row["count"]
+    n = asked.count()
+    edge = max(1, min(max(BLOCK, max(n, int(sizes.sum())) // SPREAD), BLOCK_NUMBERS // centres.shape[1]))
+    first, pieces = blocks(sizes, edge)
+    shares = max(1, -(-n // edge))
+    places = spark.createDataFrame([(i, int(a), int(p)) for i, (a, p) in enumerate(zip(first, pieces))], "list int, first int, pieces int")
+    q = _sent(asked, centres, probes, first, pieces).withColumn("c", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
+    dealt = held.join(F.broadcast(places), "list").withColumn("b", (F.col("first") + F.pmod(F.xxhash64("ref"), F.col("pieces"))).cast("int"))
+    r = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("c"), "b", "ref", "list", "v")
+    lists = len(centres)
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        asks = np.frombuffer(b"".join(left["asks"].to_pylist()), np.uint8).reshape(left.num_rows, -(-lists // 8))
+        wanted = np.unpackbits(asks, axis=1, count=lists).astype(bool)
+        return _best(left["id"].to_numpy(), right["ref"].to_numpy(), _matrix(right["v"].combine_chunks()), left["v"].combine_chunks(), k, skip_self, right["list"].to_numpy(), wanted)
+
+    found = q.groupBy("c", "b").cogroup(r.groupBy("c", "b")).applyInArrow(product, "id long, ref long, sim double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "ref"))
-    return found.select("id", "ref", "sim").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Vectors of a block; so many references are broadcast at most.
 BLOCK = 4096
+#: Similarities that a task holds at once.
+SLICE = 1 << 21
 LEAST_NORM = 1e-12
 TOP_K, LOGIT_SCALE, NOVELTY_K = 7, 3.0, 20
 W_NOVELTY, W_CENTROID = 0.55, 0.40
@@ -47,18 +49,41 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1)), LEAST_NORM)[:, None] if n else m
 
 
-def _best(q: np.ndarray, ids: np.ndarray, refs: pa.Array | np.ndarray, vectors: pa.Array, k: int, skip_self: bool) -> pa.Table:
-    """(id, ref, sim) of the k references of a block that are most like each query."""
-    order = np.argsort(ids, kind="stable")
-    ids, r = ids[order], refs[order]
-    sim = np.round(_matrix(vectors) @ r.T, 12)
-    if skip_self:
-        sim[q[:, None] == ids[None, :]] = -np.inf
-    m = min(k, len(ids))
-    best = np.argsort(-sim, axis=1, kind="stable")[:, :m]
-    score = np.take_along_axis(sim, best, 1)
-    keep = np.isfinite(score).ravel()
-    return pa.table({"id": pa.array(np.repeat(q, m)[keep]), "ref": pa.array(ids[best].ravel()[keep]), "sim": pa.array(score.ravel()[keep])})
+def _best(q: np.ndarray, ids: np.ndarray, refs: np.ndarray, vectors: pa.Array, k: int, skip_self: bool, lists: np.ndarray | None = None, wanted: np.ndarray | None = None) -> pa.Table:
+    """(id, ref, sim) of the k references of a block that are most like each query; SLICE similarities are in memory at once.
+
+    With ``lists``, the list of each reference, a query meets the references of the lists that its row of ``wanted`` has.
+    """
+    order = np.argsort(ids, kind="stable") if lists is None else np.lexsort((ids, lists))
+    ids, r, x, m = ids[order], refs[order], _matrix(vectors), len(ids)
+    edges = np.unique(lists[order], return_index=True) if lists is not None else ((), ())
+    spans = list(zip(edges[0], edges[1], [*edges[1][1:], m]))
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, SLICE // max(m, 1))
+    for at in range(0, len(q) if m else 0, step):
+        own, part = q[at : at + step], x[at : at + step]
+        if lists is None:
+            sim = part @ r.T
+        else:
+            sim = np.full((len(own), m), -np.inf)
+            for name, a, b in spans:
+                asks = np.flatnonzero(wanted[at : at + step, name])
+                sim[asks, a:b] = part[asks] @ r[a:b].T
+        if skip_self:
+            sim[own[:, None] == ids[None, :]] = -np.inf
+        sim[np.isnan(sim)] = -np.inf
+        near = sim > -np.inf
+        if m > k:
+            # what rounds to the k-th best or more
+            near &= sim >= np.partition(sim, m - k, axis=1)[:, m - k, None] - 2e-12
+        row, col = np.nonzero(near)
+        score = np.round(sim[row, col], 12)
+        best = np.lexsort((ids[col], -score, row))
+        row, col, score = row[best], col[best], score[best]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((own[row[keep]], ids[col[keep]], score[keep]))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.array([], t) for t in (np.int64, np.int64, float)]
+    return pa.table(dict(zip(("id", "ref", "sim"), map(pa.array, columns))))
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int, id_: str = "id", vector: str = "vector", *, by: list[str] | None = None, skip_self: bool = False) -> DataFrame:
