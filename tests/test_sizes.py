@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilecohort.llm import simhash
 from tilecohort.operators import index, tiling, vectors
-from tilecohort.plans import catalogue, cohort
+from tilecohort.plans import catalogue, cohort, indexed  # noqa: F401
 
 
 @pytest.fixture()
@@ -125,3 +125,9 @@ def test_best_of_a_block_in_slices(monkeypatch):
         got = vectors._best(ids, ids, unit, pa.array(x.tolist()), 4, True).to_pydict()
         assert list(zip(got["id"], got["ref"], got["sim"])) == want
     assert vectors._best(ids, ids[:0], unit[:0], pa.array(x.tolist()), 4, True).num_rows == 0
+
+
+def test_recall_broadcasts_tables_of_lists_alone(spark):
+    got = catalogue.QUERIES["index_recall"](spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 2
+    assert [tuple(r) for r in got.collect()] == [(500, True)]
