@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilecohort.llm import simhash
-from tilecohort.operators import index, tiling, vectors
+from tilecohort.operators import index, selection, tiling, vectors
 from tilecohort.plans import catalogue, cohort, indexed  # noqa: F401
 
 
@@ -131,3 +131,16 @@ def test_recall_broadcasts_tables_of_lists_alone(spark):
     got = catalogue.QUERIES["index_recall"](spark, "/root/testdata/sf0.001")
     assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 2
     assert [tuple(r) for r in got.collect()] == [(500, True)]
+
+
+def test_cells_to_be_separated_are_not_broadcast(spark, parts, monkeypatch):
+    plans = []
+
+    def spy(rows, *args, f=selection.independent, **more):
+        plans.append(joined_by_broadcast(rows))
+        return f(rows, *args, **more)
+
+    monkeypatch.setattr(selection, "independent", spy)
+    got = catalogue.QUERIES["supertile_selection"](spark, parts)
+    assert plans == [False]
+    assert {(r.slide, r["count"]) for r in got.groupBy("slide").count().collect()} == {(1, 4), (2, 16), (None, 4)}

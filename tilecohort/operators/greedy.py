@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,32 +28,50 @@ EDGE = 64
 _OPEN, _TAKEN, _PASSED, _SEEN = 0, 1, 2, 3
 
 
+#: Cells are numbered _ROW * x + y; cells that share a number only cost a comparison.
+_ROW, _FAR = 1 << 20, float(1 << 40)
+_AROUND = [_ROW * i + j for i in (0, -1, 1) for j in (0, -1, 1)]
+
+
+def _hit(points: dict[int, list[tuple[float, float]]], cell: int, x: float, y: float, r: float, square: bool) -> bool:
+    """Whether a point lies nearer than r to (x, y)."""
+    for d in _AROUND:
+        for px, py in points.get(cell + d, ()):
+            if (abs(px - x) < r and abs(py - y) < r) if square else (px - x) ** 2 + (py - y) ** 2 < r * r:
+                return True
+    return False
+
+
 def _rounds(batches: Iterator[pa.RecordBatch], square: bool) -> Iterator[pa.RecordBatch]:
     """Decides the rows of blocks, each in order with its taken rows first; memory holds the taken and open rows of one block."""
-    block, taken, waiting = None, {}, {}
+    last, taken, waiting = None, {}, {}
     for batch in batches:
-        col = {n: batch.column(batch.schema.get_field_index(n)) for n in ("_g", "_bx", "_by", "_x", "_y", "_r", "_s", "_own")}
-        status = np.full(batch.num_rows, _PASSED, np.int8)
-        for i, (g, bx, by, x, y, r, s) in enumerate(zip(*(col[n].to_pylist() for n in ("_g", "_bx", "_by", "_x", "_y", "_r", "_s")))):
-            if (g, bx, by) != block:
-                block, taken, waiting = (g, bx, by), {}, {}
+        if not batch.num_rows:
+            continue
+        g, bx, by, x, y, r, s, own = (batch.column(batch.schema.get_field_index(n)) for n in ("_g", "_bx", "_by", "_x", "_y", "_r", "_s", "_own"))
+        fresh = np.ones(batch.num_rows, bool)
+        fresh[1:] = np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (g, bx, by)], axis=0)
+        fresh[0] = last != (g[0].as_py(), bx[0].as_py(), by[0].as_py())
+        last = (g[-1].as_py(), bx[-1].as_py(), by[-1].as_py())
+        x, y, r = (c.to_numpy(zero_copy_only=False) for c in (x, y, r))
+        with np.errstate(invalid="ignore"):
+            column, line = (np.clip(np.nan_to_num(np.floor_divide(v, r)), -_FAR, _FAR).astype(np.int64) for v in (x, y))
+        status = [_PASSED] * batch.num_rows
+        for i, (new, cell, x, y, r, s) in enumerate(zip(fresh.tolist(), (column * _ROW + line).tolist(), x.tolist(), y.tolist(), r.tolist(), s.to_pylist())):
+            if new:
+                taken, waiting = {}, {}
             if s == _TAKEN:
-                taken.setdefault((x // r, y // r), []).append((x, y))
-                continue
-            cell = (x // r, y // r)
-            around = [(cell[0] + i, cell[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-            near = (lambda p: max(abs(p[0] - x), abs(p[1] - y)) < r) if square else (lambda p: (p[0] - x) ** 2 + (p[1] - y) ** 2 < r * r)  # noqa: B023, E731
-            if any(near(p) for c in around for p in taken.get(c, ())):
-                continue
-            if s == _SEEN or any(near(p) for c in around for p in waiting.get(c, ())):
+                taken.setdefault(cell, []).append((x, y))
+            elif taken and _hit(taken, cell, x, y, r, square):
+                pass
+            elif s == _SEEN or (waiting and _hit(waiting, cell, x, y, r, square)):
                 status[i] = _OPEN
                 waiting.setdefault(cell, []).append((x, y))
             else:
                 status[i] = _TAKEN
                 taken.setdefault(cell, []).append((x, y))
-        own = np.array(col["_own"].to_pylist(), bool)
         at = batch.schema.get_field_index("_s")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(status, pa.int8())).filter(pa.array(own))
+        yield batch.set_column(at, batch.schema.field(at), pa.array(status, pa.int8())).filter(own)
 
 
 def independent(rows: DataFrame, by: list[str], x: str, y: str, apart: Column | float, *order: Column, square: bool = False) -> DataFrame:
@@ -72,13 +91,15 @@ def independent(rows: DataFrame, by: list[str], x: str, y: str, apart: Column |
     found: list[DataFrame] = []
     names = [*rows.columns, "_g", "_x", "_y", "_r", "_s"]
     for turn in itertools.count():
-        edge, shift = F.col("_r") * EDGE, (turn % 2) / 2
+        # places often begin at 0, so no border lies there
+        edge, shift = F.col("_r") * EDGE, 0.25 + (turn % 2) / 2
         at = lambda v: F.floor(v / edge + shift).cast("long")  # noqa: B023, E731
         reach = lambda c: F.array_distinct(F.array(at(F.col(c) - F.col("_r")), at(F.col(c)), at(F.col(c) + F.col("_r"))))  # noqa: B023, E731
         shown = todo.withColumn("_bx", F.explode(reach("_x"))).withColumn("_by", F.explode(reach("_y")))
         own = (F.col("_bx") == at(F.col("_x"))) & (F.col("_by") == at(F.col("_y")))
         dealt = shown.withColumn("_own", own & (F.col("_s") == _OPEN)).withColumn("_s", F.when((F.col("_s") == _OPEN) & ~own, F.lit(_SEEN)).otherwise(F.col("_s")).cast("tinyint"))
-        sorted_ = dealt.repartition("_g", "_bx", "_by").sortWithinPartitions("_g", "_bx", "_by", (F.col("_s") != _TAKEN), *order)
+        # the hash comes first, for numbers are sorted faster than keys
+        sorted_ = dealt.repartition("_g", "_bx", "_by").sortWithinPartitions(F.xxhash64("_g"), "_g", "_bx", "_by", (F.col("_s") != _TAKEN), *order)
         decided = settled(sorted_.mapInArrow(lambda b: _rounds(b, square), sorted_.schema).select(*names), "greedy")
         found.append(decided.filter(F.col("_s") != _OPEN))
         open_ = decided.filter(F.col("_s") == _OPEN)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .clinical import hashed_order
 from .greedy import independent
 from .ordered import quantiles, with_group
-from .ranking import _first
 from .scaling import unit_scale
 
 
@@ -18,14 +17,14 @@ def separated(cells: DataFrame, by: list[str], score: str, keep: str) -> DataFra
     Cells lie two apart where the group has more than twice as many as it keeps, else any distinct ones do.
     Ties go to the upper, then the left cell. ``keep`` is a column that is constant in a group.
     """
-    sized = with_group(cells, cells.groupBy(*by).agg(F.count("*").alias("_all")), by)
+    # merged: cells made by an explode look small, and would be broadcast
+    sized = with_group(cells, cells.groupBy(*by).agg(F.count("*").alias("_all")).hint("merge"), by)
     down = [F.desc(score), F.col("gy"), F.col("gx")]
     apart = F.when(F.col("_all") > 2 * F.col(keep), 2).otherwise(1)
     found = independent(sized, by, "gx", "gy", apart, *down, square=True)
-    taken = _first(found.filter("taken"), by, F.col(keep), "_i", *down)
-    spare = _first(found.filter("NOT taken"), by, F.col(keep), "_i", *down)
-    both = taken.withColumn("_fill", F.lit(0)).unionByName(spare.withColumn("_fill", F.lit(1)))
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_fill", "_i"))).filter(F.col("_n") <= F.col(keep)).select(*cells.columns)
+    # the taken ones come first, and the others fill up
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("taken"), *down))
+    return found.withColumn("_n", place).filter(F.col("_n") <= F.col(keep)).select(*cells.columns)
 
 
 def dark_keep_count(n: Column, overlapping: Column) -> Column:
