@@ -104,17 +104,17 @@ def split_hot(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Da
 HOT = 1000
 
 
-def hot_joined(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
+def hot_joined(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, how: str = "left", merged: bool = False) -> DataFrame:
     """rows with the columns of their class, a row a key, by equal keys; ``size`` is the number of rows of a class.
 
     Classes of over a HOT-th of all rows, HOT at most, are broadcast, so their rows stay where they are; the others meet by a shuffle.
-    ``classes`` is read twice and should be a written table. Null keys find no class. An inner join
-    is merged, for it could broadcast the rows, and Spark takes those of an explode for far fewer than they are.
+    ``classes`` is read twice and should be a written table. Null keys find no class. ``merged``
+    keeps Spark from broadcasting either side, for it takes rows of an explode for far fewer than they are.
     """
     total = classes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     hot = F.broadcast(classes.filter(F.col(size) * HOT > F.lit(int(total))))
     seldom = classes.filter(F.col(size) * HOT <= F.lit(int(total)))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(seldom.hint("merge") if how == "inner" else seldom, keys, how))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(seldom.hint("merge") if merged else seldom, keys, how))
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, pieces: int = 16) -> DataFrame:

@@ -94,7 +94,7 @@ def _stars(nodes: DataFrame) -> DataFrame:
     drawn = keys.groupBy("key", F.pmod(F.xxhash64("key", "doc"), F.lit(HUBS)).alias("slot")).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "fp")).alias("m"))
     buckets = written(drawn.groupBy("key").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("m")).alias("hubs")), "buckets")
     near = F.filter("hubs", lambda m: (m["doc"] != F.col("doc")) & _near(m["fp"], F.col("fp")))
-    first = hot_joined(keys, buckets, ["key"], "n", "inner").select(F.col("doc").alias("u"), F.get(near, 0)["doc"].alias("v")).filter("v IS NOT NULL")
+    first = hot_joined(keys, buckets, ["key"], "n", "inner", merged=True).select(F.col("doc").alias("u"), F.get(near, 0)["doc"].alias("v")).filter("v IS NOT NULL")
     links = written(first.distinct(), "links")
     discard(buckets)
     return links
@@ -105,7 +105,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     links = _stars(nodes)
     same = written(connected(links), "components")
     sizes = same.groupBy("component").agg(F.count("*").alias("size"))
-    named = hot_joined(same, written(sizes, "sizes"), ["component"], "size", "inner").select(F.col("node").alias("doc"), F.col("component").alias("c"), "size")
+    named = hot_joined(same, written(sizes, "sizes"), ["component"], "size", "inner", merged=True).select(F.col("node").alias("doc"), F.col("component").alias("c"), "size")
     labelled = written(nodes.join(named.hint("merge"), "doc", "left").select("fp", F.coalesce("c", "doc").alias("c"), F.coalesce("size", F.lit(1).cast("long")).alias("size")), "labelled")
 
     # buckets of several components; the one with most members anywhere isn't compared with itself
